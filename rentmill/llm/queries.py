@@ -26,12 +26,66 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("points")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import curriculum, plan
+
+    mix = curriculum(plan(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
 QUERIES: dict[str, Query] = {
     "op3_repetition": op3_repetition,
+    "op4_mixing": op4_mixing,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op4_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS h,
+                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+            FROM documents
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS source_size,
+                   (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+            FROM d GROUP BY source
+        ), o AS (
+            SELECT *, sum(source_size) OVER () AS total,
+                   coalesce(sum(3 * source_size) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+                   sum(weight) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+            FROM s WINDOW f AS (ORDER BY 3 * source_size / weight, source NULLS LAST)
+        ), b AS (
+            SELECT *, min(3 * source_size * open < weight * (total - filled)) OVER
+                   (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS is_full
+            FROM o
+        ), g AS (
+            SELECT source, source_size, weight,
+                   CASE WHEN is_full THEN (3 * source_size)::DOUBLE
+                        ELSE (weight * (total - coalesce(sum(CASE WHEN is_full THEN 3 * source_size END) OVER (), 0)))::DOUBLE
+                             / (sum(CASE WHEN NOT is_full THEN weight END) OVER ())::DOUBLE END AS target
+            FROM b
+        ), c AS (
+            SELECT doc_id, size, source_size, target, weight, floor(target)::BIGINT AS goal,
+                   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id NULLS LAST, size
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+            FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+        ), t AS (
+            SELECT *, least(size, greatest(0, goal - start)) AS w0,
+                   least(size, greatest(0, goal - start - source_size)) AS w1,
+                   least(size, greatest(0, goal - start - 2 * source_size)) AS w2
+            FROM c
+        ), u AS (
+            SELECT *, (start + w0 / 2) / goal AS share FROM t
+        )
+        SELECT doc_id, size, source_size, target, (w0 + w1 + w2)::BIGINT AS taken,
+               CASE WHEN w0 = 0 THEN NULL
+                    WHEN weight = 2 THEN share
+                    WHEN weight = 1 THEN CASE WHEN share * 1.0 <= 0.625 THEN (sqrt(2.25 - 2 * share) - 1.5) / -1.0
+                                              ELSE (sqrt(1.0 - 2 * (share - 0.625)) - 1.0) / -1.0 + 0.5 END
+                    ELSE CASE WHEN share <= 0.375 THEN sqrt(0.25 + 2 * share) - 0.5
+                              ELSE sqrt(1.0 + 2 * (share - 0.375)) - 1.0 + 0.5 END END AS position
+        FROM u
+    """,
     "op6_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, coalesce(text, '') AS text,
