@@ -20,6 +20,21 @@ def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs).select("doc_id", "quality.*")
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode(docs, vocabulary_path(), decoded="decoded")
+    ids, text = F.sha2("ids", 256), F.sha2(F.col("decoded").cast("binary"), 256)
+    return out.select("doc_id", "n_tokens", ids.alias("ids_sha256"), text.alias("decoded_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import decide
 
@@ -36,6 +51,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_repetition": op3_repetition,
     "op4_mixing": op4_mixing,
+    "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
 }
 

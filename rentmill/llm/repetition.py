@@ -10,7 +10,7 @@ Null and empty texts have no words and fail the base rule. Repeated rows are jud
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .words import Words, covered, mix, slices, sums, text_bytes
+from .words import SPACE, Words, covered, flags, mix, slices, sums, text_bytes
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, dup_line_chars long, "
 
@@ -36,15 +36,8 @@ class Rules:
     max_symbols_per_word: float = 0.3
 
 
-def _flags(values: Iterable[int]) -> np.ndarray:
-    table = np.zeros(256, bool)
-    table[list(values)] = True
-    return table
-
-
-SPACE = _flags([0x20, *range(0x09, 0x0E)])
-SYMBOL = _flags(b"#*$%&|<>")
-FIRST = ~_flags(range(0x80, 0xC0))
+SYMBOL = flags(b"#*$%&|<>")
+FIRST = ~flags(range(0x80, 0xC0))
 
 
 def repeated(words: Words, n: int) -> np.ndarray:

@@ -5,7 +5,7 @@ A word is a longest run without ASCII white space, ``[^\\x20\\x09-\\x0D]+``. Nul
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -19,6 +19,16 @@ INV = pow(MULT, -1, 1 << 64)
 #: Bytes of text that are worked on at a time; a longer document makes a slice of its own.
 SLICE_BYTES = 8 << 20
 
+
+def flags(values: Iterable[int]) -> np.ndarray:
+    """Which of the 256 bytes are among ``values``."""
+    table = np.zeros(256, bool)
+    table[list(values)] = True
+    return table
+
+
+SPACE = flags([0x20, *range(0x09, 0x0E)])
+
 _powers: dict[int, np.ndarray] = {}
 
 
