@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -13,6 +13,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, learn
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", _remainder(3) == 1)
+    net = learn(docs.where("NOT held_out").select("doc_id", "text", "lang"))
+    return identify(docs.select("doc_id", "text", "held_out"), net).drop("text")
+
+
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repetition import quality
 
@@ -49,6 +61,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_langid": op1_langid,
     "op3_repetition": op3_repetition,
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
