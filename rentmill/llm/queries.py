@@ -60,15 +60,43 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    out = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid,
     "op3_repetition": op3_repetition,
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op9_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+        ), o AS (
+            SELECT doc_id, i, w[i : i + 12] AS g
+            FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d)
+        ), r AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM o) WHERE first < doc_id
+        ), c AS (
+            SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS i FROM r
+        ), x AS (
+            SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id
+        ), k AS (
+            SELECT d.doc_id, w, list_filter(w, lambda v, i: gone IS NULL OR NOT list_contains(gone, i)) AS kept
+            FROM d LEFT JOIN x ON d.doc_id = x.doc_id
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_removed,
+               sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+        FROM k
+    """,
     "op4_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS h,
