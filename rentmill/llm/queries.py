@@ -79,6 +79,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archive, write_archive
+
+    index = write_archive(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read_archive(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid,
     "op3_repetition": op3_repetition,
@@ -87,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_chat": op7_chat,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_warc": op10_warc,
 }
 
 SQL: dict[str, str] = {
