@@ -25,6 +25,13 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", "held_out"), net).drop("text")
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", _remainder(7) == 2)
+    return score(docs.withColumn("train", ~F.col("held_out"))).drop("text", "train")
+
+
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repetition import quality
 
@@ -88,6 +95,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid,
+    "op2_ppm": op2_ppm,
     "op3_repetition": op3_repetition,
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
