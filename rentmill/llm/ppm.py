@@ -34,7 +34,7 @@ from .chunks import chunk_count, chunk_of, order_of
 from .shared import materialise
 from .words import U64, Words, slices, text_bytes
 
-ORDER, BITS = 4, 9
+ORDER, BITS = 5, 9
 SYMBOLS, END, START = 257, 256, 257
 SLICE_BYTES, HELD = 2 << 20, 2_000_000
 BUCKETS = 256
