@@ -2,14 +2,21 @@
 
 Documents are dealt to chunks of about ``CHUNK_BYTES`` of text by a hash of doc_id. A chunk asks about each distinct
 item it contains once, so the shuffle grows with distinct items a chunk, not with occurrences; an item as common as
-can be costs a row or two a chunk. Replies come back by chunk and meet the documents there.
+can be costs a row or two a chunk. Replies come back by chunk and meet the documents there. Texts are shuffled once,
+each compressed; every step that groups the result of ``dealt`` by chunk shares that one exchange.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+from .words import slices
 
 CHUNK_BYTES = 8 << 20
 LAST = (1 << 63) - 1
@@ -27,3 +34,30 @@ def order_of(doc_id: Column) -> Column:
 
 def chunk_of(order: Column, count: int) -> Column:
     return F.pmod(F.xxhash64(order), F.lit(count)).cast("int")
+
+
+def dealt(docs: DataFrame, count: int) -> DataFrame:
+    """``docs`` with ``order`` and ``chunk``, and with the text compressed in the column ``packed``."""
+    docs = docs.withColumn("order", order_of(F.col("doc_id"))).withColumn("chunk", chunk_of(F.col("order"), count))
+    names = [c for c in docs.columns if c != "text"]
+    schema = StructType([docs.schema[c] for c in names] + [StructField("packed", BinaryType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for part in slices(batch):
+                packed = [compress(t) if t is not None else None for t in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(packed, pa.binary())], schema.fieldNames())
+
+    return docs.select(*names, "text").mapInArrow(pack, schema)
+
+
+def unpacked(table: pa.Table, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a chunk that ``dealt`` made, with their texts in place of ``packed``."""
+    expand = zstandard.ZstdDecompressor().decompress
+    at = table.schema.get_field_index("packed")
+    for batch in table.to_batches(max_chunksize=512):
+        texts = pa.array([expand(t) if t is not None else None for t in batch.column(at).to_pylist()], pa.binary()).cast(pa.string())
+        columns, names = list(batch.columns), list(batch.schema.names)
+        columns[at], names[at] = texts, "text"
+        yield from slices(pa.RecordBatch.from_arrays(columns, names), limit=limit)

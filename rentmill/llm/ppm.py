@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .chunks import chunk_count, chunk_of, order_of
+from .chunks import chunk_count, dealt, unpacked
 from .shared import materialise
 from .words import U64, Words, slices, text_bytes
 
@@ -184,15 +184,15 @@ def score(docs: DataFrame) -> DataFrame:
     known = lexicon.unionByName(trie)
 
     count = chunk_count(docs)
-    mine = docs.withColumn("chunk", chunk_of(order_of(F.col("doc_id")), count))
+    mine = dealt(docs, count)
+    names = docs.columns
 
     def ask(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
         found = []
-        for batch in table.combine_chunks().to_batches():
-            for part in slices(batch, limit=SLICE_BYTES):
-                text = pc.fill_null(part.column("text"), "")
-                found += [coded(word_keys(Words(text, lower=True)))[0], coded(grams(text)[0])[0]]
+        for part in unpacked(table, SLICE_BYTES):
+            text = pc.fill_null(part.column("text"), "")
+            found += [coded(word_keys(Words(text, lower=True)))[0], coded(grams(text)[0])[0]]
         keys = coded(np.concatenate(found))[0]
         return pa.table({"chunk": pa.array(np.full(len(keys), chunk, np.int32)), "key": keys})
 
@@ -207,25 +207,24 @@ def score(docs: DataFrame) -> DataFrame:
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
         parts = []
-        for batch in table.drop_columns(["chunk"]).combine_chunks().to_batches():
-            for part in slices(batch, limit=SLICE_BYTES):
-                text = pc.fill_null(part.column("text"), "")
-                words = Words(text, lower=True)
-                own, codes = coded(word_keys(words))
-                at = find(keys, own)
-                c = np.where(at >= 0, values[at], 0.0)[codes] if len(keys) else np.zeros(len(codes))
-                per = lambda x, n=part.num_rows, d=words.documents: np.bincount(d, weights=x, minlength=n)
-                n_tokens = words.counts + 1
-                base = per(np.log10(c + 1)) + known_end - n_tokens * token_cost
-                own, codes = coded(grams(text)[0])
-                found = values[find(keys, own)][codes]
-                lengths = grams_in(text)
-                total = np.bincount(np.repeat(np.arange(part.num_rows), lengths), weights=found, minlength=part.num_rows)
-                new = [n_tokens, (per(c > 0) + (ends > 0)).astype(np.int64), np.full(part.num_rows, train_tokens), base, total]
-                parts.append(pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, new)], schema.fieldNames()))
+        for part in unpacked(table, SLICE_BYTES):
+            text = pc.fill_null(part.column("text"), "")
+            words = Words(text, lower=True)
+            own, codes = coded(word_keys(words))
+            at = find(keys, own)
+            c = np.where(at >= 0, values[at], 0.0)[codes] if len(keys) else np.zeros(len(codes))
+            per = lambda x, n=part.num_rows, d=words.documents: np.bincount(d, weights=x, minlength=n)
+            n_tokens = words.counts + 1
+            base = per(np.log10(c + 1)) + known_end - n_tokens * token_cost
+            own, codes = coded(grams(text)[0])
+            found = values[find(keys, own)][codes]
+            lengths = grams_in(text)
+            total = np.bincount(np.repeat(np.arange(part.num_rows), lengths), weights=found, minlength=part.num_rows)
+            new = [n_tokens, (per(c > 0) + (ends > 0)).astype(np.int64), np.full(part.num_rows, train_tokens), base, total]
+            parts.append(pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *map(pa.array, new)], schema.fieldNames()))
         return pa.Table.from_batches(parts)
 
-    asked = mine.select("text", "chunk").groupBy("chunk").applyInArrow(ask, "chunk int, key long")
+    asked = mine.groupBy("chunk").applyInArrow(ask, "chunk int, key long")
     replies = asked.join(known, "key").select("chunk", "key", "value")
     return mine.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(add_up, schema)
 
