@@ -79,6 +79,12 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(rows.unionByName(extra), vocabulary_path()))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
@@ -93,6 +99,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid,
     "op2_ppm": op2_ppm,
@@ -101,8 +113,10 @@ QUERIES: dict[str, Query] = {
     "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_chat": op7_chat,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc": op10_warc,
+    "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {
