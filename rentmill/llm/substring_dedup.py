@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import StructType
 
-from .chunks import chunk_count, chunk_of, order_of
+from .chunks import chunk_count, chunk_of, dealt, unpacked
 from .words import Words, covered
 
 LENGTH = 13
@@ -53,7 +53,9 @@ def _column(table: pa.Table, name: str) -> pa.Array:
 
 
 def _words(table: pa.Table) -> tuple[Words, np.ndarray]:
-    return Words(_column(table, "text")), _column(table, "order").to_numpy()
+    parts = list(unpacked(table, 1 << 30))
+    texts = pa.concat_arrays([p.column("text") for p in parts]) if parts else pa.array([], pa.string())
+    return Words(texts), _column(table, "order").to_numpy()
 
 
 def _anchors(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +79,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"a window has {PERIOD} words at least")
     docs = docs.drop("kept_text", "n_words", "n_removed")
     count = chunk_count(docs)
-    mine = docs.withColumn("order", order_of(F.col("doc_id"))).withColumn("chunk", chunk_of(F.col("order"), count))
-    asked = "hash long, doc long"
+    mine = dealt(docs, count)
+    asked, names = "hash long, doc long", docs.columns
 
     def ask_anchors(table: pa.Table) -> pa.Table:
         words, order = _words(table)
@@ -113,7 +115,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         kept = np.concatenate(([0], np.cumsum(~gone)))[words.starts]
         lists = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), words.vocabulary.take(pa.array(words.codes[stays])))
         n_words = words.counts
-        out = table.drop_columns(["order", "chunk"])
+        texts = [p.column("text") for p in unpacked(table, 1 << 30)] if "text" in names else []
+        out = pa.table({n: pa.chunked_array(texts, pa.string()) if n == "text" else table.column(n) for n in names})
         for name, values in (("kept_text", pc.binary_join(lists, " ")), ("n_words", n_words), ("n_removed", n_words - np.diff(kept))):
             out = out.append_column(name, values if isinstance(values, pa.Array) else pa.array(values, pa.int64()))
         return out
@@ -125,8 +128,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         rows = rows.where("least < most")
         return rows.select(chunk_of(F.col("doc"), count).alias("chunk"), "hash", "least")
 
-    needed = mine.select("order", "text", "chunk")
-    anchors = shared(needed.groupBy("chunk").applyInArrow(ask_anchors, asked))
-    windows = needed.groupBy("chunk").cogroup(anchors.select("chunk", "hash").groupBy("chunk")).applyInArrow(ask_windows, asked)
+    anchors = shared(mine.groupBy("chunk").applyInArrow(ask_anchors, asked))
+    windows = mine.groupBy("chunk").cogroup(anchors.select("chunk", "hash").groupBy("chunk")).applyInArrow(ask_windows, asked)
     schema = StructType([*docs.schema.fields]).add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
     return mine.groupBy("chunk").cogroup(shared(windows).groupBy("chunk")).applyInArrow(drop, schema)
