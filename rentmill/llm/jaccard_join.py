@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .components import between, components
-from .shared import materialise
+from .shared import materialise, small_batches
 from .words import U64, Words, mix, slices
 
 WORDS, LEVEL = 5, 80
@@ -279,6 +279,7 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The membership of documents in classes of equal sets (doc_id, n_shingles, fp), the classes (fp, n, rep, sketch),
     and links between classes (a, b) that hold all their components together."""
+    small_batches(docs.sparkSession)
     facts = materialise(sized(docs), "sets")
     classes = facts.where("fp IS NOT NULL").groupBy("fp").agg(
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")

@@ -17,6 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send at most ``rows`` texts at a time to Python, so that neither side buffers many long ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, min(rows, int(spark.conf.get(name))))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rentmill/{name}-{uuid.uuid4().hex}"
 
