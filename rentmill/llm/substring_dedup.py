@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 from .chunks import chunk_count, chunk_of, dealt, unpacked
+from .shared import small_batches
 from .words import Words, covered
 
 LENGTH = 13
@@ -78,6 +79,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if length < PERIOD:
         raise ValueError(f"a window has {PERIOD} words at least")
     docs = docs.drop("kept_text", "n_words", "n_removed")
+    small_batches(docs.sparkSession)
     count = chunk_count(docs)
     mine = dealt(docs, count)
     asked, names = "hash long, doc long", docs.columns
@@ -123,12 +125,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     by_hash = W.partitionBy("hash")
 
-    def shared(rows: DataFrame) -> DataFrame:
+    def shared(rows: DataFrame, everyone: bool) -> DataFrame:
+        """Replies about hashes of two documents: to every chunk that asked, or only where a larger document did."""
         rows = rows.withColumns({"least": F.min("doc").over(by_hash), "most": F.max("doc").over(by_hash)})
-        rows = rows.where("least < most")
+        rows = rows.where("least < most" if everyone else "least < doc")
         return rows.select(chunk_of(F.col("doc"), count).alias("chunk"), "hash", "least")
 
-    anchors = shared(mine.groupBy("chunk").applyInArrow(ask_anchors, asked))
+    anchors = shared(mine.groupBy("chunk").applyInArrow(ask_anchors, asked), everyone=True)
     windows = mine.groupBy("chunk").cogroup(anchors.select("chunk", "hash").groupBy("chunk")).applyInArrow(ask_windows, asked)
     schema = StructType([*docs.schema.fields]).add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
-    return mine.groupBy("chunk").cogroup(shared(windows).groupBy("chunk")).applyInArrow(drop, schema)
+    return mine.groupBy("chunk").cogroup(shared(windows, everyone=False).groupBy("chunk")).applyInArrow(drop, schema)

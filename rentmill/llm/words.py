@@ -75,6 +75,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+        pa.default_memory_pool().release_unused()
 
 
 def sums(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
