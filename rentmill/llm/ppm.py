@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from .chunks import chunk_count, dealt, unpacked
-from .shared import materialise
+from .shared import materialise, small_batches
 from .words import U64, Words, slices, text_bytes
 
-ORDER, BITS = 5, 9
+ORDER, BITS = 4, 9
 SYMBOLS, END, START = 257, 256, 257
-SLICE_BYTES, HELD = 2 << 20, 2_000_000
+SLICE_BYTES, HELD, CHUNK_BYTES = 2 << 20, 1_000_000, 16 << 20
 BUCKETS = 256
 
 
@@ -167,6 +167,7 @@ def score(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, train, ...) with n_tokens, n_known, train_tokens, base_score and score."""
     docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
     docs = docs.withColumn("train", F.coalesce("train", F.lit(False)))
+    small_batches(docs.sparkSession)
     items = materialise(count_items(docs), "items")
     ends = docs.where("train").count()
     facts = items.where("key < 0 AND n > 0").agg(F.sum("n"), F.count("*")).first()
@@ -183,7 +184,7 @@ def score(docs: DataFrame) -> DataFrame:
     lexicon = items.where("key < 0 AND n > 0").select("key", F.col("n").cast("double").alias("value"))
     known = lexicon.unionByName(trie)
 
-    count = chunk_count(docs)
+    count = chunk_count(docs, chunk_bytes=CHUNK_BYTES)
     mine = dealt(docs, count)
     names = docs.columns
 
