@@ -106,10 +106,11 @@ def write_archive(pages: DataFrame, path: str | None = None, min_bytes: int = 0,
     path = path or new_path(spark, "warc")
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     facts = verdicts(rows, min_bytes)
-    facts = facts.select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), "copy_of")
-    rows = rows.withColumn("sha", F.sha1("payload"))
-    rows = rows.join(facts, rows.page_id.eqNullSafe(facts["_page"]) & (rows.sha == facts["_sha"]))
-    nth = F.row_number().over(W.partitionBy("_page", "_sha").orderBy("url"))
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("_page")
+    rows = rows.select("*", key, F.sha1("payload").alias("sha"))
+    # Join and window use the same plain columns, so pages are shuffled once.
+    rows = rows.join(facts.select(key, "sha", "copy_of"), ["_page", "sha"])
+    nth = F.row_number().over(W.partitionBy("_page", "sha").orderBy("url"))
     revisit = F.col("copy_of").isNotNull() & ((F.col("page_id").isNull() | (F.col("copy_of") != F.col("page_id"))) | (nth > 1))
     rows = rows.withColumn("revisit", revisit).select("page_id", "url", "payload", "revisit", "copy_of")
     files = f"{path}/archive"
