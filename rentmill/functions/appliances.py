@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from .lexicons import APPLIANCE_TERMS, CLAUSE_ENDS, HOOKUP_MARKERS, KITCHEN_BUNDLE, NEGATED_AFTER, NEGATED_BEFORE, SHARED_MARKERS
-from .text import find_any
+from .text import contains_any, find_any, let
 
 #: Characters before and after a hit that can qualify it, and those that can negate it.
 BEFORE, AFTER, NEAR = 32, 40, 14
@@ -23,25 +23,29 @@ def hits_pattern(terms: Sequence[str]) -> str:
 
 def classify(before: Column, term: Column, after: Column) -> Column:
     """Struct (present, evidence) of one hit, by what its own clause says around it."""
-    before, after = F.regexp_extract(before, CLAUSE + "$", 0), F.regexp_extract(after, "^" + CLAUSE, 0)
-    near = F.when(F.length(before) > NEAR, F.right(before, F.lit(NEAR))).otherwise(before)
-    around = F.concat(before, F.lit("\n"), after)
-    absent = F.coalesce(
-        F.concat(F.lit("hookup:"), find_any(around, HOOKUP_MARKERS)),
-        F.concat(F.lit("shared:"), find_any(around, SHARED_MARKERS)),
-        F.concat(F.lit("negated:"), find_any(after, NEGATED_AFTER)),
-        F.concat(F.lit("negated:"), F.trim(find_any(near, NEGATED_BEFORE))),
-    )
-    return F.struct(absent.isNull().alias("present"), F.coalesce(absent, term).alias("evidence"))
+    def read(s: Column) -> Column:
+        around = F.concat(s.before, F.lit("\n"), s.after)
+        near = F.when(F.length(s.before) > NEAR, F.right(s.before, F.lit(NEAR))).otherwise(s.before)
+        return F.coalesce(
+            F.concat(F.lit("hookup:"), find_any(around, HOOKUP_MARKERS)),
+            F.concat(F.lit("shared:"), find_any(around, SHARED_MARKERS)),
+            F.concat(F.lit("negated:"), find_any(s.after, NEGATED_AFTER)),
+            F.concat(F.lit("negated:"), F.trim(find_any(near, NEGATED_BEFORE))),
+        )
+
+    clause = F.struct(F.regexp_extract(before, CLAUSE + "$", 0).alias("before"), F.regexp_extract(after, "^" + CLAUSE, 0).alias("after"))
+    verdict = lambda absent: F.struct(absent.isNull().alias("present"), F.coalesce(absent, term).alias("evidence"))
+    return let(let(clause, read), verdict)
 
 
 def detect(folded: Column, terms: Sequence[str]) -> Column:
     """Struct (status, evidence): the first present hit, else the first absent one, else unknown."""
     groups = [F.regexp_extract_all(folded, F.lit(hits_pattern(terms)), F.lit(i)) for i in (1, 2, 3)]
-    hits = F.transform(F.arrays_zip(*groups), lambda h: classify(h["0"], h["1"], h["2"]))
-    first = F.coalesce(F.get(F.filter(hits, lambda h: h.present), F.lit(0)), F.get(hits, F.lit(0)))
-    status = F.when(first.isNull(), "unknown").when(first.present, "present").otherwise("absent")
-    return F.struct(status.alias("status"), first.evidence.alias("evidence"))
+    found = F.transform(F.arrays_zip(*groups), lambda h: classify(h["0"], h["1"], h["2"]))
+    hits = F.when(contains_any(folded, terms), found)
+    first = let(hits, lambda hs: F.coalesce(F.get(F.filter(hs, lambda h: h.present), F.lit(0)), F.get(hs, F.lit(0))))
+    status = lambda f: F.when(f.isNull(), "unknown").when(f.present, "present").otherwise("absent")
+    return let(first, lambda f: F.struct(status(f).alias("status"), f.evidence.alias("evidence")))
 
 
 def with_bundle(found: Column, bundle: Column) -> Column:
@@ -54,4 +58,4 @@ def detect_appliances(folded: Column) -> dict[str, Column]:
     """The five appliances in a folded text, whose sources were joined by a clause end (" . ")."""
     found = {name: detect(folded, terms) for name, terms in APPLIANCE_TERMS}
     bundle = detect(folded, KITCHEN_BUNDLE)
-    return found | {name: with_bundle(found[name], bundle) for name in ("fridge", "stove")}
+    return found | {n: let(F.struct(found[n].alias("own"), bundle.alias("all")), lambda s: with_bundle(s.own, s.all)) for n in ("fridge", "stove")}

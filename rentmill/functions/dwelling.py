@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .lexicons import ROOM_PHRASES, UNIT_PHRASES, UNIT_TYPES
-from .text import contains_any, find_any
+from .text import contains_any, find_any, let
 
 #: Half-room, piece and bedroom counts, and the largest number that is one.
 ROOMS = r"(?<![\d,.])(\d{1,2})\s*[-\s]?\s*1/2"
@@ -25,16 +25,22 @@ def rooms_to_bedrooms(rooms: Column) -> Column:
 
 def parse_dwelling(folded: Column) -> Column:
     """Struct of is_room, rooms, bedrooms, unit_type and evidence, of a folded text (sources joined by a space)."""
-    rooms = F.coalesce(first_count(folded, ROOMS) + F.lit(0.5), first_count(folded, PIECES).cast("double"))
-    bedrooms = F.coalesce(first_count(folded, BEDROOMS).cast("double"), rooms_to_bedrooms(rooms))
-    bedrooms = F.when(rooms.isNull() & first_count(folded, BEDROOMS).isNull(), None).otherwise(bedrooms)
     kind = F.lit(None).cast("string")
     for name, terms in reversed(UNIT_TYPES):
         kind = F.when(contains_any(folded, terms), name).otherwise(kind)
-    room, unit = find_any(folded, ROOM_PHRASES), find_any(folded, UNIT_PHRASES)
-    is_room = F.when(room.isNotNull(), True).when(unit.isNotNull() | rooms.isNotNull(), False)
-    evidence = F.when(room.isNotNull(), F.concat(F.lit("room:"), room)).when(unit.isNotNull(), F.concat(F.lit("unit:"), unit))
-    evidence = evidence.when(rooms.isNotNull(), F.concat(F.lit("rooms:"), rooms.cast("string")))
-    return F.struct(
-        is_room.alias("is_room"), rooms.alias("rooms"), bedrooms.alias("bedrooms"), kind.alias("unit_type"), evidence.alias("evidence")
+    read = F.struct(
+        F.coalesce(first_count(folded, ROOMS) + F.lit(0.5), first_count(folded, PIECES).cast("double")).alias("rooms"),
+        first_count(folded, BEDROOMS).cast("double").alias("bedrooms"), kind.alias("unit_type"),
+        find_any(folded, ROOM_PHRASES).alias("room"), find_any(folded, UNIT_PHRASES).alias("unit"),
     )
+
+    def dwelling(s: Column) -> Column:
+        is_room = F.when(s.room.isNotNull(), True).when(s.unit.isNotNull() | s.rooms.isNotNull(), False)
+        evidence = F.when(s.room.isNotNull(), F.concat(F.lit("room:"), s.room)).when(s.unit.isNotNull(), F.concat(F.lit("unit:"), s.unit))
+        evidence = evidence.when(s.rooms.isNotNull(), F.concat(F.lit("rooms:"), s.rooms.cast("string")))
+        bedrooms = F.coalesce(s.bedrooms, F.when(s.rooms.isNotNull(), rooms_to_bedrooms(s.rooms)))
+        return F.struct(
+            is_room.alias("is_room"), s.rooms.alias("rooms"), bedrooms.alias("bedrooms"), s.unit_type.alias("unit_type"), evidence.alias("evidence")
+        )
+
+    return let(read, dwelling)

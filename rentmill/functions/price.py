@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from .lexicons import ON_REQUEST, PERIOD_WORDS
-from .text import contains_any, fold
+from .text import contains_any, fold, let
 
 #: A grouped number, or a plain one, with up to two decimals; the characters after it that name a period.
 AMOUNT = r"\d{1,3}(?:[ ,.]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?"
@@ -20,11 +20,14 @@ MONEY = "decimal(18,2)"
 
 def to_decimal(raw: Column) -> Column:
     """The last of comma and point is the decimal mark, unless just three characters follow: then it groups."""
-    text = F.replace(raw, F.lit(" "), F.lit(""))
-    tail = F.regexp_extract(text, r"[.,]([^.,]*)$", 1)
-    head = F.regexp_replace(F.regexp_replace(text, r"[.,][^.,]*$", ""), "[.,]", "")
-    plain = F.when(~text.rlike("[.,]"), text).when(F.length(tail) == 3, F.regexp_replace(text, "[.,]", ""))
-    return plain.otherwise(F.concat(head, F.lit("."), tail)).try_cast(MONEY)
+
+    def read(text: Column) -> Column:
+        tail = F.regexp_extract(text, r"[.,]([^.,]*)$", 1)
+        head = F.regexp_replace(F.regexp_replace(text, r"[.,][^.,]*$", ""), "[.,]", "")
+        plain = F.when(~text.rlike("[.,]"), text).when(F.length(tail) == 3, F.regexp_replace(text, "[.,]", ""))
+        return plain.otherwise(F.concat(head, F.lit("."), tail)).try_cast(MONEY)
+
+    return let(F.replace(raw, F.lit(" "), F.lit("")), read)
 
 
 def period_of(window: Column) -> Column:
@@ -39,7 +42,7 @@ def candidates(folded: Column) -> Column:
 
     def read(pattern: str, groups: int) -> Column:
         parts = [F.regexp_extract_all(folded, F.lit(pattern), F.lit(i + 1)) for i in range(groups + 1)]
-        rows = F.arrays_zip(*(p.alias(f"g{i}") for i, p in enumerate(parts)))
+        rows = F.arrays_zip(*parts)
 
         def one(row: Column, at: Column) -> Column:
             raw = row["0"] if groups == 1 else F.when(row["0"] != "", row["0"]).otherwise(row["1"])
@@ -47,8 +50,7 @@ def candidates(folded: Column) -> Column:
 
         return F.filter(F.transform(rows, one), lambda c: c.amount.isNotNull())
 
-    marked = read(MARKED, 2)
-    return F.when(F.size(marked) > 0, marked).otherwise(read(AFTER_WORD, 1))
+    return let(read(MARKED, 2), lambda marked: F.when(F.size(marked) > 0, marked).otherwise(read(AFTER_WORD, 1)))
 
 
 def monthly(amount: Column, period: Column) -> Column:
@@ -60,13 +62,15 @@ def monthly(amount: Column, period: Column) -> Column:
 def parse_price(sources: Sequence[Column], folded: bool = False) -> Column:
     """Struct (amount, period, monthly) or null, from texts in order of trust. The largest positive amount of the
     first text that has one counts, unless a text before it, or itself, says the price is on request."""
-    result = F.lit(None).cast(f"struct<amount:{MONEY},place:int,period:string>")
-    for source in reversed(list(sources)):
-        text = source if folded else fold(source)
-        best = F.array_max(candidates(text))
-        result = F.when(contains_any(text, ON_REQUEST), None).when(best.amount > 0, best).otherwise(result)
-    price = F.struct(result.amount.alias("amount"), result.period.alias("period"), monthly(result.amount, result.period).alias("monthly"))
-    return F.when(result.amount.isNotNull(), price)
+    read = lambda text: F.struct(contains_any(text, ON_REQUEST).alias("asked"), F.array_max(candidates(text)).alias("best"))
+    found = F.transform(F.array(*(s if folded else fold(s) for s in sources)), read)
+    deciding = F.get(F.filter(found, lambda f: f.asked | F.coalesce(f.best.amount > 0, F.lit(False))), F.lit(0))
+
+    def price(f: Column) -> Column:
+        rent = monthly(f.best.amount, f.best.period).alias("monthly")
+        return F.when(~f.asked, F.struct(f.best.amount.alias("amount"), f.best.period.alias("period"), rent))
+
+    return let(deciding, price)
 
 
 def is_short_term(price: Column) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cache
 
 from pyspark.sql import Column, functions as F
@@ -14,6 +15,13 @@ from .lexicons import APOSTROPHES, DASHES, FRACTION_SLASH
 BLOCKS = ((0x80, 0x3000), (0x3000, 0x3040), (0xFB00, 0xFB50), (0xFE00, 0xFE70), (0xFF00, 0xFFF0))
 #: Lower-cased by its place in the word, so it is left to ``lower``.
 FINAL_SIGMA = "Σ"
+#: Characters that become several and are common in ads.
+FREQUENT = "½¼¾…"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def fold_character(c: str) -> str:
@@ -35,6 +43,17 @@ def tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(c for c, _ in single + deleted), "".join(t for _, t in single), tuple(several)
 
 
+def ranges(points: list[int], gap: int = 64) -> str:
+    """A short character class with all ``points``, and with others that lie between near ones beyond Latin script."""
+    spans: list[list[int]] = []
+    for p in points:
+        if spans and p - spans[-1][1] <= (gap if p > 0x250 else 1):
+            spans[-1][1] = p
+        else:
+            spans.append([p, p])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
+
+
 def fold(text: Column) -> Column:
     """Lower-case text without accents, with plain punctuation and single spaces; null becomes empty.
 
@@ -42,10 +61,15 @@ def fold(text: Column) -> Column:
     one. Characters outside ``BLOCKS`` only lose their case."""
     source, target, several = tables()
     text = F.coalesce(text, F.lit(""))
-    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in several))
-    wide = F.aggregate(pairs, text, lambda t, p: F.replace(t, p.a, p.b))
-    text = F.when(text.rlike("[" + "".join(f"\\x{{{ord(a):x}}}" for a, _ in several) + "]"), wide).otherwise(text)
-    text = F.lower(F.translate(text, source, target))
+    for a, b in several:
+        if a in FREQUENT:
+            text = F.replace(text, F.lit(a), F.lit(b))
+    rare = [{"a": a, "b": b} for a, b in several if a not in FREQUENT]
+    # One constant, where an array of literals would make a plan of thousands of nodes.
+    pairs = F.from_json(F.lit(json.dumps(rare)), "array<struct<a:string,b:string>>")
+    some = ranges([ord(p["a"]) for p in rare])
+    wide = lambda t: F.when(t.rlike(some), F.aggregate(pairs, t, lambda t, p: F.replace(t, p.a, p.b))).otherwise(t)
+    text = F.lower(F.translate(let(text, wide), source, target))
     return F.trim(F.regexp_replace(text, r"[\s\x1c-\x1f\x{85}\x{1680}\x{2028}\x{2029}]+", " "))
 
 
