@@ -20,6 +20,8 @@ from .words import slices
 
 CHUNK_BYTES = 8 << 20
 LAST = (1 << 63) - 1
+#: Columns that are added to documents; the names keep clear of theirs.
+ORDER, CHUNK, PACKED = "_rm_order", "_rm_chunk", "_rm_packed"
 
 
 def chunk_count(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> int:
@@ -37,10 +39,10 @@ def chunk_of(order: Column, count: int) -> Column:
 
 
 def dealt(docs: DataFrame, count: int) -> DataFrame:
-    """``docs`` with ``order`` and ``chunk``, and with the text compressed in the column ``packed``."""
-    docs = docs.withColumn("order", order_of(F.col("doc_id"))).withColumn("chunk", chunk_of(F.col("order"), count))
+    """``docs`` with ORDER and CHUNK, and with the text compressed in the column PACKED."""
+    docs = docs.withColumn(ORDER, order_of(F.col("doc_id"))).withColumn(CHUNK, chunk_of(F.col(ORDER), count))
     names = [c for c in docs.columns if c != "text"]
-    schema = StructType([docs.schema[c] for c in names] + [StructField("packed", BinaryType())])
+    schema = StructType([docs.schema[c] for c in names] + [StructField(PACKED, BinaryType())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=1).compress
@@ -53,9 +55,9 @@ def dealt(docs: DataFrame, count: int) -> DataFrame:
 
 
 def unpacked(table: pa.Table, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a chunk that ``dealt`` made, with their texts in place of ``packed``."""
+    """Slices of a chunk that ``dealt`` made, with their texts in place of PACKED."""
     expand = zstandard.ZstdDecompressor().decompress
-    at = table.schema.get_field_index("packed")
+    at = table.schema.get_field_index(PACKED)
     for batch in table.to_batches(max_chunksize=512):
         texts = pa.array([expand(t) if t is not None else None for t in batch.column(at).to_pylist()], pa.binary()).cast(pa.string())
         columns, names = list(batch.columns), list(batch.schema.names)

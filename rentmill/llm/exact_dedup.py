@@ -69,8 +69,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns.
 
     The winners meet their texts again by doc_id and digest; of fully equal rows one stays."""
-    stay = decide(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("points").alias("_points"))
-    mine = docs.withColumns({"_digest": digest(F.col("text")), "_length": F.length(F.coalesce("text", F.lit("")))})
-    same = mine.doc_id.eqNullSafe(stay._id) & (mine._digest == stay._sha) & (mine._length == stay._points)
-    nth = F.row_number().over(W.partitionBy("_id", "_sha", "_points").orderBy("_digest"))
-    return mine.join(stay, same).withColumn("_nth", nth).where("_nth = 1").select(docs.columns)
+    stay = decide(docs).where("kept").select(F.col("doc_id").alias("_rm_id"), F.col("text_sha256").alias("_rm_sha"), F.col("points").alias("_rm_points"))
+    mine = docs.withColumns({"_rm_digest": digest(F.col("text")), "_rm_length": F.length(F.coalesce("text", F.lit("")))})
+    same = mine.doc_id.eqNullSafe(stay["_rm_id"]) & (mine["_rm_digest"] == stay["_rm_sha"]) & (mine["_rm_length"] == stay["_rm_points"])
+    nth = F.row_number().over(W.partitionBy("_rm_id", "_rm_sha", "_rm_points").orderBy("_rm_digest"))
+    return mine.join(stay, same).withColumn("_rm_nth", nth).where("_rm_nth = 1").select(docs.columns)

@@ -316,7 +316,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns: of each component the one of smallest doc_id. Rows that
     repeat doc_id and text count as one."""
-    stay = near_duplicates(docs.select("doc_id", "text")).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    nth = F.row_number().over(W.partitionBy("_stay", F.xxhash64("text")).orderBy(F.lit(0)))
-    rows = docs.join(stay, docs.doc_id.eqNullSafe(stay["_stay"])).withColumn("_nth", nth)
-    return rows.where("_nth = 1").select(docs.columns)
+    stay = near_duplicates(docs.select("doc_id", "text")).where("doc_id <=> component_id").select(F.col("doc_id").alias("_rm_stay")).distinct()
+    nth = F.row_number().over(W.partitionBy("_rm_stay", F.xxhash64("text")).orderBy(F.lit(0)))
+    rows = docs.join(stay, docs.doc_id.eqNullSafe(stay["_rm_stay"])).withColumn("_rm_nth", nth)
+    return rows.where("_rm_nth = 1").select(docs.columns)

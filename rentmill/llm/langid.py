@@ -185,8 +185,8 @@ def learn(labelled: DataFrame, settings: Settings = Settings()) -> Network | Non
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, min(1.0, each / n)).otherwise(share)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    sample = labelled.withColumn("_place", place).where((place < share) & has_letter(F.col("text")))
-    sample = sample.orderBy("_place", "doc_id", "lang").limit(s.rows).select("doc_id", "lang", "text")
+    sample = labelled.withColumn("_rm_place", place).where((place < share) & has_letter(F.col("text")))
+    sample = sample.orderBy("_rm_place", "doc_id", "lang").limit(s.rows).select("doc_id", "lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,11 +224,11 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
                 new = [names.take(pa.array(found)), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], schema.fieldNames())
 
-    worded = F.col("_letter")
-    out = docs.withColumn("_letter", has_letter(F.col("text")))
+    worded = F.col("_rm_letter")
+    out = docs.withColumn("_rm_letter", has_letter(F.col("text")))
     schema = StructType([*out.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     out = out.mapInArrow(run, schema)
     return out.withColumns({
         "lang_pred": F.when(worded, F.col("lang_pred")).otherwise("und"),
         "score": F.when(worded, F.col("score")).otherwise(0.0),
-    }).drop("_letter")
+    }).drop("_rm_letter")

@@ -123,16 +123,18 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     The one copy of a source that is cut keeps its first words, joined by one space."""
     key = ["doc_id", "source", "size"]
-    nth = F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0)))
-    mine = docs.withColumn("size", size(F.col("text"))).withColumn("_nth", nth)
-    taken = plan(docs).withColumn("_nth", nth).where("taken > 0").select(*(F.col(k).alias(f"_{k}") for k in [*key, "_nth"]), "copies")
-    same = mine["_nth"] == taken["__nth"]
-    for k in key:
-        same = same & mine[k].eqNullSafe(taken[f"_{k}"])
-    rows = mine.join(taken, same).withColumn("_copy", F.explode("copies"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_copy.words").cast("int")), " ")
-    whole = F.col("_copy.words") == F.col("size")
+    nth = lambda names: F.row_number().over(W.partitionBy(*names).orderBy(F.lit(0)))
+    own = ["doc_id", "source", "_rm_size"]
+    mine = docs.withColumn("_rm_size", size(F.col("text"))).withColumn("_rm_mine", nth(own))
+    taken = plan(docs).withColumn("nth", nth(key)).where("taken > 0")
+    taken = taken.select(*(F.col(k).alias(f"_rm_t_{k}") for k in [*key, "nth"]), F.col("copies").alias("_rm_copies"))
+    same = mine["_rm_mine"] == taken["_rm_t_nth"]
+    for left, right in zip(own, key, strict=True):
+        same = same & mine[left].eqNullSafe(taken[f"_rm_t_{right}"])
+    rows = mine.join(taken, same).withColumn("_rm_copy", F.explode("_rm_copies"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_rm_copy.words").cast("int")), " ")
+    whole = F.col("_rm_copy.words") == F.col("_rm_size")
     rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")))
-    return rows.orderBy("_copy.position", "doc_id").select(docs.columns)
+        rows = rows.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return rows.orderBy("_rm_copy.position", "doc_id").select(docs.columns)

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .chunks import chunk_count, dealt, unpacked
+from .chunks import CHUNK, chunk_count, dealt, unpacked
 from .shared import materialise, small_batches
 from .words import U64, Words, slices, text_bytes
 
@@ -189,13 +189,13 @@ def score(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def ask(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
+        chunk = table.column(CHUNK)[0].as_py()
         found = []
         for part in unpacked(table, SLICE_BYTES):
             text = pc.fill_null(part.column("text"), "")
             found += [coded(word_keys(Words(text, lower=True)))[0], coded(grams(text)[0])[0]]
         keys = coded(np.concatenate(found))[0]
-        return pa.table({"chunk": pa.array(np.full(len(keys), chunk, np.int32)), "key": keys})
+        return pa.table({CHUNK: pa.array(np.full(len(keys), chunk, np.int32)), "key": keys})
 
     known_end = float(np.log10(ends + 1))
     token_cost = float(np.log10(train_tokens + kinds + 1))
@@ -225,9 +225,9 @@ def score(docs: DataFrame) -> DataFrame:
             parts.append(pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *map(pa.array, new)], schema.fieldNames()))
         return pa.Table.from_batches(parts)
 
-    asked = mine.groupBy("chunk").applyInArrow(ask, "chunk int, key long")
-    replies = asked.join(known, "key").select("chunk", "key", "value")
-    return mine.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(add_up, schema)
+    asked = mine.groupBy(CHUNK).applyInArrow(ask, f"{CHUNK} int, key long")
+    replies = asked.join(known, "key").select(CHUNK, "key", "value")
+    return mine.groupBy(CHUNK).cogroup(replies.groupBy(CHUNK)).applyInArrow(add_up, schema)
 
 
 def grams_in(text: pa.StringArray) -> np.ndarray:

@@ -88,24 +88,24 @@ def measure(col: pa.Array, lengths: tuple[int, ...]) -> dict[str, np.ndarray]:
     return out
 
 
-def quality(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:
-    """``docs`` with the struct column ``quality``: the measures, ``base_failed`` and ``kept``.
+def quality(docs: DataFrame, rules: Rules = Rules(), text: str = "text", column: str = "quality") -> DataFrame:
+    """``docs`` with the struct ``column``: the measures, ``base_failed`` and ``kept``.
 
     A column of that name is replaced."""
     lengths = tuple(n for n, _ in rules.max_coverage)
     kind = MEASURES + ", ".join(f"dup_{n}gram_chars long" for n in lengths)
     names = [x.split()[0] for x in kind.split(", ")]
-    docs = docs.drop("quality")
-    schema = StructType([*docs.schema.fields, StructField("quality", StructType.fromDDL(kind))])
+    docs = docs.drop(column)
+    schema = StructType([*docs.schema.fields, StructField(column, StructType.fromDDL(kind))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 found = measure(part.column(text), lengths)
                 struct = pa.StructArray.from_arrays([pa.array(found[n], pa.int64()) for n in names], names)
-                yield pa.RecordBatch.from_arrays([*part.columns, struct], [*part.schema.names, "quality"])
+                yield pa.RecordBatch.from_arrays([*part.columns, struct], [*part.schema.names, column])
 
-    q = lambda name: F.col(f"quality.{name}")
+    q = lambda name: F.col(column)[name]
     base = (q("n_words") < rules.min_words) | (q("n_repeat_words") > F.lit(rules.max_repeat_words) * q("n_words"))
     bad = (q("dup_line_chars") > F.lit(rules.max_dup_line_chars) * q("word_chars")) | (
         q("n_symbols") > F.lit(rules.max_symbols_per_word) * q("n_words")
@@ -113,10 +113,10 @@ def quality(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> Data
     for n, share in rules.max_coverage:
         bad = bad | (q(f"dup_{n}gram_chars") > F.lit(share) * q("word_chars"))
     out = docs.mapInArrow(run, schema)
-    return out.withColumn("quality", F.col("quality").withField("base_failed", base).withField("kept", ~base & ~bad))
+    return out.withColumn(column, F.col(column).withField("base_failed", base).withField("kept", ~base & ~bad))
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    judged = quality(docs, rules)
-    return judged.where("quality.kept").drop("quality")
+    judged = quality(docs, rules, column="_rm_quality")
+    return judged.where("_rm_quality.kept").drop("_rm_quality")

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import StructType
 
-from .chunks import chunk_count, chunk_of, dealt, unpacked
+from .chunks import CHUNK, ORDER, chunk_count, chunk_of, dealt, unpacked
 from .shared import small_batches
 from .words import Words, covered
 
@@ -56,7 +56,7 @@ def _column(table: pa.Table, name: str) -> pa.Array:
 def _words(table: pa.Table) -> tuple[Words, np.ndarray]:
     parts = list(unpacked(table, 1 << 30))
     texts = pa.concat_arrays([p.column("text") for p in parts]) if parts else pa.array([], pa.string())
-    return Words(texts), _column(table, "order").to_numpy()
+    return Words(texts), _column(table, ORDER).to_numpy()
 
 
 def _anchors(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,9 +129,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         """Replies about hashes of two documents: to every chunk that asked, or only where a larger document did."""
         rows = rows.withColumns({"least": F.min("doc").over(by_hash), "most": F.max("doc").over(by_hash)})
         rows = rows.where("least < most" if everyone else "least < doc")
-        return rows.select(chunk_of(F.col("doc"), count).alias("chunk"), "hash", "least")
+        return rows.select(chunk_of(F.col("doc"), count).alias(CHUNK), "hash", "least")
 
-    anchors = shared(mine.groupBy("chunk").applyInArrow(ask_anchors, asked), everyone=True)
-    windows = mine.groupBy("chunk").cogroup(anchors.select("chunk", "hash").groupBy("chunk")).applyInArrow(ask_windows, asked)
+    anchors = shared(mine.groupBy(CHUNK).applyInArrow(ask_anchors, asked), everyone=True)
+    windows = mine.groupBy(CHUNK).cogroup(anchors.select(CHUNK, "hash").groupBy(CHUNK)).applyInArrow(ask_windows, asked)
     schema = StructType([*docs.schema.fields]).add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
-    return mine.groupBy("chunk").cogroup(shared(windows, everyone=False).groupBy("chunk")).applyInArrow(drop, schema)
+    return mine.groupBy(CHUNK).cogroup(shared(windows, everyone=False).groupBy(CHUNK)).applyInArrow(drop, schema)
