@@ -201,3 +201,70 @@ SQL: dict[str, str] = {
                      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
     """,
 }
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _covered(n: int) -> str:
+    """CTE g<n>: the words (doc_id, i) inside ``n``-word windows that a document has more than once."""
+    return f"""
+        c{n} AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i : i + {n - 1}]) AS c
+                 FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {n - 1})) AS i FROM d)),
+        g{n} AS (SELECT doc_id, count(*) AS words, sum(length(w[i])) AS chars
+                 FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + {n - 1})) AS i FROM c{n} WHERE c > 1) JOIN d USING (doc_id) GROUP BY 1)"""
+
+
+SQL |= {
+    "op3_repetition": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '{WORD}'), []) AS w FROM documents),
+        {", ".join(_covered(n) for n in (3, 5, 7, 10))},
+        l AS (SELECT doc_id, sum(c - 1) AS lines, sum((c - 1) * length(line)) AS chars FROM (
+                  SELECT doc_id, line, count(*) AS c FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+                  WHERE regexp_matches(line, '{WORD}') GROUP BY ALL) GROUP BY 1),
+        m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+                     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.lines, 0)::BIGINT AS n_dup_lines,
+                     coalesce(g3.words, 0)::BIGINT AS n_repeat_words, coalesce(l.chars, 0)::BIGINT AS dup_line_chars,
+                     coalesce(g5.chars, 0)::BIGINT AS dup_5gram_chars, coalesce(g7.chars, 0)::BIGINT AS dup_7gram_chars,
+                     coalesce(g10.chars, 0)::BIGINT AS dup_10gram_chars
+              FROM d LEFT JOIN l USING (doc_id) LEFT JOIN g3 USING (doc_id) LEFT JOIN g5 USING (doc_id) LEFT JOIN g7 USING (doc_id)
+              LEFT JOIN g10 USING (doc_id)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+        SELECT *, NOT base_failed AND NOT (dup_line_chars > 0.3 * word_chars OR n_symbols > 0.3 * n_words OR dup_5gram_chars > 0.4 * word_chars
+               OR dup_7gram_chars > 0.35 * word_chars OR dup_10gram_chars > 0.3 * word_chars) AS kept
+        FROM b
+    """,
+    "op7_chat": """
+        WITH r AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+        ), e AS (
+            SELECT *, length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')) AS body,
+                   length(replace(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'), chr(10), chr(92) || 'n')) AS head FROM r
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sum(head + body + 24)::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
+    "op8_jaccard_join": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), []) AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, w[i : i + 4] AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, least(len(w), 1)))) AS i FROM d)
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), e AS (
+            SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL)
+            JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * shared >= 80 * (p.n + q.n - shared)
+        ), r AS (SELECT doc_id, doc_id AS z FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.z = e.x)
+        SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(z) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+    """,
+    "op10_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages), h AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex FROM p),
+        b AS (SELECT *, array_to_string(list_transform(generate_series(1, 40), lambda i: lpad(bin(strpos('0123456789abcdef', substr(hex, i, 1)) - 1), 4, '0')), '') AS bits FROM h),
+        f AS (SELECT page_id, payload_bytes, array_to_string(list_transform(generate_series(0, 31), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  1 + list_sum(list_transform(generate_series(1, 5), lambda k: (substr(bits, 5 * j + k, 1)::INT << (5 - k))))::INT, 1)), '') AS payload_digest FROM b),
+        w AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM f)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to FROM w
+    """,
+}
