@@ -266,7 +266,8 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
                     far = np.nonzero(root[i + 1 :] != root[i])[0] + i + 1
                     far = far[100 * np.minimum(n[far], n[i]) >= LEVEL * np.maximum(n[far], n[i])]
                     if len(far):
-                        different = np.bitwise_count(bits[far] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                        # Of signed numbers numpy counts the bits of the absolute value.
+                        different = np.bitwise_count((bits[far] ^ bits[i]).view(U64)).sum(axis=1, dtype=np.int64)
                         far = far[9 * different <= n[far] + n[i]]
                         found += [(min(fp[i], fp[j]), max(fp[i], fp[j])) for j in far]
             pairs = list(dict.fromkeys((int(a), int(b)) for a, b in found))
