@@ -45,19 +45,22 @@ def low(keys: np.ndarray, symbols: int) -> np.ndarray:
     return keys & ((1 << (BITS * symbols)) - 1)
 
 
-def grams(col: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-    """The (ORDER + 1)-gram that ends at each byte, and at the end, of each text, and each text's number of them."""
+def grams(col: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The (ORDER + 1)-grams that end at each byte of all texts, those at the end of each text, and the number of
+    bytes of each text."""
     data, offsets = text_bytes(pc.ascii_lower(col))
-    n = len(col)
     lengths = np.diff(offsets)
-    symbols = np.full(len(data) + n * (ORDER + 1), START, np.int64)
-    owner = np.repeat(np.arange(n), lengths)
-    symbols[np.arange(len(data)) + owner * (ORDER + 1) + ORDER] = data
-    symbols[offsets[1:] + np.arange(n) * (ORDER + 1) + ORDER] = END
+    symbols = data.astype(np.int64)
     keys = symbols.copy()
     for k in range(1, ORDER + 1):
         keys[k:] |= symbols[:-k] << (BITS * k)
-    return keys[symbols != START], lengths + 1
+    before = sum(START << (BITS * k) for k in range(ORDER + 1))
+    for k in range(ORDER):  # what precedes a text is START
+        at = offsets[:-1][lengths > k] + k
+        keys[at] = low(keys[at], k + 1) | (before & ~((1 << (BITS * (k + 1))) - 1))
+    last = np.full(len(col), before, np.int64)
+    last[lengths > 0] = keys[offsets[1:][lengths > 0] - 1]
+    return keys, low(last << BITS, ORDER + 1) | END, lengths
 
 
 def word_keys(words: Words) -> np.ndarray:
@@ -91,8 +94,8 @@ def count_items(docs: DataFrame) -> DataFrame:
                 train = part.column("train").to_numpy(zero_copy_only=False).astype(np.int64)
                 words = Words(text, lower=True)
                 held.append(tally(word_keys(words), train[words.documents]))
-                keys, counts = grams(text)
-                held.append(tally(keys, np.repeat(train, counts)))
+                keys, ends, counts = grams(text)
+                held.append(tally(np.concatenate((keys, ends)), np.concatenate((np.repeat(train, counts), train))))
             if sum(len(k) for k, _ in held) > HELD:
                 held[:] = [joined()]
                 if len(held[0][0]) > HELD:
@@ -193,7 +196,7 @@ def score(docs: DataFrame) -> DataFrame:
         found = []
         for part in unpacked(table, SLICE_BYTES):
             text = pc.fill_null(part.column("text"), "")
-            found += [coded(word_keys(Words(text, lower=True)))[0], coded(grams(text)[0])[0]]
+            found += [coded(word_keys(Words(text, lower=True)))[0], coded(np.concatenate(grams(text)[:2]))[0]]
         keys = coded(np.concatenate(found))[0]
         return pa.table({CHUNK: pa.array(np.full(len(keys), chunk, np.int32)), "key": keys})
 
@@ -217,10 +220,13 @@ def score(docs: DataFrame) -> DataFrame:
             per = lambda x, n=part.num_rows, d=words.documents: np.bincount(d, weights=x, minlength=n)
             n_tokens = words.counts + 1
             base = per(np.log10(c + 1)) + known_end - n_tokens * token_cost
-            own, codes = coded(grams(text)[0])
+            inner, last, lengths = grams(text)
+            own, codes = coded(np.concatenate((inner, last)))
             found = values[find(keys, own)][codes]
-            lengths = grams_in(text)
-            total = np.bincount(np.repeat(np.arange(part.num_rows), lengths), weights=found, minlength=part.num_rows)
+            total = found[len(inner) :].copy()
+            some = lengths > 0
+            if some.any():
+                total[some] += np.add.reduceat(found[: len(inner)], (np.cumsum(lengths) - lengths)[some])
             new = [n_tokens, (per(c > 0) + (ends > 0)).astype(np.int64), np.full(part.num_rows, train_tokens), base, total]
             parts.append(pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *map(pa.array, new)], schema.fieldNames()))
         return pa.Table.from_batches(parts)
@@ -228,7 +234,3 @@ def score(docs: DataFrame) -> DataFrame:
     asked = mine.groupBy(CHUNK).applyInArrow(ask, f"{CHUNK} int, key long")
     replies = asked.join(known, "key").select(CHUNK, "key", "value")
     return mine.groupBy(CHUNK).cogroup(replies.groupBy(CHUNK)).applyInArrow(add_up, schema)
-
-
-def grams_in(text: pa.StringArray) -> np.ndarray:
-    return pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64) + 1

@@ -84,6 +84,20 @@ def sums(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
+#: A random number for each byte; their sums, weighted by powers of MULT along a word, are its hash before mixing.
+BYTES = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], U64)
+
+
+def word_hashes(vocabulary: pa.StringArray) -> np.ndarray:
+    """A 64-bit hash of each of the words, none of which is empty."""
+    if not len(vocabulary):
+        return np.empty(0, U64)
+    data, offsets = text_bytes(vocabulary)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    weights = powers(MULT, int(np.diff(offsets).max()))
+    return mix(np.add.reduceat(BYTES[data] * weights[place], offsets[:-1]))
+
+
 class Words:
     """Words of a column of texts: ``codes`` into ``vocabulary`` and ``starts``, each document's first word."""
 
@@ -116,8 +130,7 @@ class Words:
     @cached_property
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        own = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.vocabulary.to_pylist()), U64, len(self.vocabulary))
-        return own[self.codes] if len(own) else np.empty(0, U64)
+        return word_hashes(self.vocabulary)[self.codes]
 
     @cached_property
     def _rolling(self) -> np.ndarray:
