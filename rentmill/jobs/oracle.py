@@ -230,7 +230,34 @@ STORED = f"""{JUDGED}, stored AS (
         FROM judged
     )"""
 
+CARDS = f"""
+    anchors AS ({synthetic.CARDS}),
+    items AS (SELECT page_id, split_part(split_part(href, '/item/', 2), '/', 1) AS id, split_part(href, '?', 1) AS href, text, ord FROM anchors),
+    best AS (SELECT page_id, id, arg_max(struct_pack(href := href, text := text), [length(text), -ord]) AS card FROM items GROUP BY ALL),
+    last AS (SELECT id, arg_max(card, page_id) AS card FROM best GROUP BY id),
+    lines AS (SELECT id, card.href AS href, list_filter(list_transform(string_split(card.text, chr(10)), lambda s: trim(s)), lambda s: s <> '' AND NOT starts_with(s, 'Publié')) AS ls FROM last),
+    priced_line AS (SELECT *, list_filter(ls, lambda s: contains(s, '$'))[1] AS price_text FROM lines),
+    others AS (SELECT *, list_filter(ls, lambda s: s IS DISTINCT FROM price_text) AS rest FROM priced_line),
+    split AS (SELECT *, len(rest) > 1 AND length(rest[-1]) <= 48 AS is_placed FROM others),
+    titled AS (
+        SELECT id, href, price_text, CASE WHEN is_placed THEN rest[-1] END AS location_text,
+               list_sort(list_transform(range(1, len(rest) + 1 - is_placed::INT), lambda i: {{'n': length(rest[i]), 'i': -i, 's': rest[i]}}), 'DESC')[1].s AS title
+        FROM split
+    ),
+    corpus AS (
+        SELECT *, {fold("price_text")} AS fp, {fold("title")} AS ft, '' AS fd, {fold("location_text")} AS fl, NULL::DOUBLE AS latitude, NULL::DOUBLE AS longitude FROM titled
+    )"""
+OPENED = f"""
+    opened AS (
+        SELECT *, NOT coalesce(monthly > 2000 OR period IN ('week', 'day'), false) AND NOT coalesce(length(location_text) > 0 AND province <> 'QC', false) AS worth_opening
+        FROM placed
+    )"""
+
 SQL: dict[str, str] = {
+    "card_listings": f"""WITH {CARDS}, {PRICES}, {PLACES}, {OPENED}
+        SELECT 'facebook' AS platform, id AS external_id, href AS url, title, price_text, location_text, worth_opening,
+               CASE WHEN worth_opening AND c_name IS NOT NULL THEN 'Laveuse incluse. ' || c_name END AS description
+        FROM opened LEFT JOIN customer ON c_custkey::VARCHAR = id""",
     "judge_listings": f"{JUDGED} SELECT platform, external_id, verdict, array_to_string(rejections, '|') AS rejections, array_to_string(unknowns, '|') AS unknowns FROM judged",
     "fold_documents": r"""
         WITH f AS (SELECT doc_id, trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '\s+', ' ', 'g')) AS folded FROM documents)

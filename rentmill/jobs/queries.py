@@ -107,8 +107,8 @@ def page_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def card_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards harvested, parsed, judged worth opening or not, and given their details."""
     anchors = synthetic.derive(spark, sf_dir, synthetic.CARDS)
-    found = cards.to_listings(cards.harvest(anchors), "facebook").withColumn("n", F.length("raw"))
-    last = store.last_by(found, ("platform", "external_id"), ["n", "url"]).drop("n")
+    found = cards.to_listings(cards.harvest(anchors), "facebook")
+    last = store.last_by(found, ("platform", "external_id"), ["page_id"])
     opened = cards.worth_opening(last)
     detail = spark.read.parquet(f"{sf_dir}/customer.parquet")
     detail = detail.select(F.col("c_custkey").cast("string").alias("external_id"), F.concat(F.lit("Laveuse incluse. "), "c_name").alias("detail"))

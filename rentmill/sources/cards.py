@@ -47,6 +47,7 @@ def card_parts(text: Column) -> Column:
 
 
 def to_listings(cards: DataFrame, platform: str) -> DataFrame:
+    """Cards (page_id, id, href, text) as listings, with the page each was seen on."""
     rows = cards.where(F.length("id") > 0).withColumn("parts", card_parts(F.col("text")))
     null = lambda kind: F.lit(None).cast(kind)
     return rows.select(
@@ -54,7 +55,7 @@ def to_listings(cards: DataFrame, platform: str) -> DataFrame:
         null("string").alias("description"), "parts.price_text", "parts.location_text", null("double").alias("latitude"),
         null("double").alias("longitude"), F.create_map().cast("map<string,string>").alias("attributes"),
         null("timestamp").alias("posted_at"), null("string").alias("seller_name"),
-        F.to_json(F.struct(F.col("text").alias("card_text"))).alias("raw"),
+        F.to_json(F.struct(F.col("text").alias("card_text"))).alias("raw"), "page_id",
     )
 
 
