@@ -18,7 +18,7 @@ from rentmill.functions.text import attribute_text, fold, joined
 NBSP, HALF = " ", "½"
 
 
-def reference_fold(value: str) -> str:
+def expected_fold(value: str) -> str:
     text = unicodedata.normalize("NFKC", value)
     for chars, to in ((lexicons.APOSTROPHES, "'"), (lexicons.DASHES, "-"), (lexicons.FRACTION_SLASH, "/")):
         for c in chars:
@@ -31,7 +31,7 @@ def test_fold(spark: SparkSession) -> None:
     texts = ["Gâtineau — 4½,  LAVEUSE/SÉCHEUSE incluses", f"1{NBSP}450 $", "l’unité", "", "ﬁn™ … ²", "ΟΔΟΣ Σ", "a\x1cb\x85c d", "x´y"]
     texts += [f"a{chr(i)}b" for i in [*range(1, 0x2000), *range(0xFB00, 0xFB07), *range(0xFF00, 0xFFEF)] if chr(i) != "Σ" and unicodedata.category(chr(i)) != "Cn"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4).select("t", fold(F.col("t")).alias("f")).collect()
-    wrong = [(r.t, r.f, reference_fold(r.t)) for r in rows if r.f != reference_fold(r.t)]
+    wrong = [(r.t, r.f, expected_fold(r.t)) for r in rows if r.f != expected_fold(r.t)]
     assert not wrong, wrong[:5]
     assert spark.createDataFrame([(None,)], "t string").select(fold(F.col("t"))).first()[0] == ""
 
