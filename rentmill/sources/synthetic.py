@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-NBSP, NARROW = " ", " "
+NBSP, NARROW = "\u00a0", "\u202f"
 
 
 def choose(expression: str, values: list[str]) -> str:

@@ -15,7 +15,7 @@ from rentmill.functions.geo import haversine_km, locate
 from rentmill.functions.price import parse_price
 from rentmill.functions.text import attribute_text, fold, joined
 
-NBSP, HALF = " ", "½"
+NBSP, HALF = "\u00a0", "½"
 
 
 def expected_fold(value: str) -> str:
