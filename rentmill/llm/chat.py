@@ -3,7 +3,8 @@
 A conversation is rendered whole, turns in order, as ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts a
 backslash is doubled and ``<|`` becomes ``<\\|``, so control strings in a text can't end its turn, and unescaping gives
 the text back. The rendered text is encoded once, with offsets; a token is under the loss mask if it lies in a span
-of assistant text, which a binary search over the sorted spans decides.
+of assistant text, which a binary search over the sorted spans decides. The whole head of an assistant's turn, with
+its newline, is one special token, so no token holds the end of the head and the start of the text.
 
 Rows are dealt by conv_id and sorted by turn inside their task, and rendered as they stream by, so no conversation is
 gathered in a list: one that is longer than ``PIECE`` characters is encoded in pieces that end where a turn ends (the
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Of special tokens that start at the same place the encoder takes the longest.
+HEAD = f"{START}assistant\n"
 PIECE = 1 << 20
 OUT = "conv_id long, piece long, last boolean, n_turns long, formatted string, ids array<int>, loss_mask array<boolean>, offsets array<int>"
 
@@ -85,7 +88,7 @@ def tokenizer(content: str):  # noqa: ANN201
 
     found = Tokenizer.from_str(content)
     found.encode_special_tokens = False
-    found.add_special_tokens([AddedToken(s, normalized=False) for s in (START, END)])
+    found.add_special_tokens([AddedToken(s, normalized=False) for s in (START, END, HEAD)])
     return found
 
 

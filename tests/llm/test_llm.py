@@ -234,6 +234,21 @@ def test_chat_round_trip(spark: SparkSession) -> None:
     assert chat.digests(chat.format_conversations(table.limit(0), vocabulary_path())).count() == 0
 
 
+def test_chat_masks_leading_newlines(spark: SparkSession) -> None:
+    """The newline of the head never shares a token with the text."""
+    texts = ["\n", "\n x", "\n\nfoo", "\n\n\n", "\r\n x", " \n", "\n\\", "foo", "s\n", "\n<|im_start|>assistant\n\n"]
+    turns = [(i, k, role, t) for i, t in enumerate(texts) for k, role in enumerate(("user", "assistant", "assistants", "assistant"))]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(table, vocabulary_path())
+    got = {r.conv_id: r for r in chat.digests(formatted).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].loss_chars, got[i].loss_sha256) == (2 * len(t), hashlib.sha256((t + t).encode()).hexdigest()), t
+    for r in formatted.collect():
+        offsets = np.array(r.offsets).reshape(-1, 2)
+        assert len(offsets) == len(r.ids) == len(r.loss_mask)
+        assert "".join(chat.masked_text(r.formatted, offsets, np.array(r.loss_mask))) == chat.escape(texts[r.conv_id]) * 2
+
+
 def shingles(text: str | None) -> set:
     own = words(lower(text))
     return {tuple(own[i : i + 5]) for i in range(len(own) - 4)} if len(own) >= 5 else ({tuple(own)} if own else set())
