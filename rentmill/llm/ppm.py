@@ -34,10 +34,10 @@ from .chunks import CHUNK, chunk_count, dealt, unpacked
 from .shared import materialise, small_batches
 from .words import U64, Words, slices, text_bytes
 
-ORDER, BITS = 4, 9
+ORDER, BITS = 5, 9
 SYMBOLS, END, START = 257, 256, 257
 SLICE_BYTES, HELD, CHUNK_BYTES = 2 << 20, 1_000_000, 16 << 20
-BUCKETS = 256
+BUCKETS = 1024
 
 
 def low(keys: np.ndarray, symbols: int) -> np.ndarray:

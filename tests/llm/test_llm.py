@@ -112,6 +112,14 @@ def test_ppm_scores_like_the_trie(docs: DataFrame, empty: DataFrame) -> None:
     assert untrained.score == pytest.approx(-(len(untrained.text.encode()) + 1) * math.log10(257))
 
 
+def test_ppm_knows_contexts_of_five_bytes(spark: SparkSession) -> None:
+    """Only the fifth byte back tells which symbol follows."""
+    texts = ["1abcdX"] * 5 + ["2abcdY"] * 5 + ["1abcdY"]
+    rows = spark.createDataFrame([(i, t, i < 10) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    score = {r.text: r.score for r in ppm.score(rows).collect()}
+    assert score["1abcdX"] > score["1abcdY"] + 0.5
+
+
 def test_repetition_measures(docs: DataFrame, empty: DataFrame) -> None:
     for r in repetition.quality(docs).collect():
         own, q = words(r.text), r.quality
