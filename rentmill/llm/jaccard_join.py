@@ -21,12 +21,17 @@ parities, so pairs with more than (a + b) / 9 different parities are no links. W
 first each class with its smallest partner, then what still lies between components. Texts travel by class, and only
 those of a fixed-size bitmap of the classes that are needed.
 
+**Numbers of links.** ``near_links`` goes on from the components: linked sets lie in the same one, so comparing all
+pairs of classes of each component, in pairs of blocks, visits every link once. A task counts the links of its classes
+as it finds them; no table of pairs is made. The pipeline needs components only and leaves this out.
+
 Null and empty texts have the empty set and link with nothing. Repeated rows form a class. A null doc_id's document
 takes part, but doesn't name a component unless alone.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +46,8 @@ from .words import U64, Words, mix, slices
 
 WORDS, LEVEL = 5, 80
 SKETCH, BLOCK, NEEDED_BITS = 1024, 1000, 1 << 23
+#: Shingles of a block of classes whose pairs are all compared, about.
+BLOCK_ELEMENTS = 1 << 20
 SALT = U64(0xD6E8FEB86659FD93)
 
 
@@ -217,16 +224,21 @@ def sieve(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.where(may_link(F.col("n_a"), F.col("n_b"), F.col("s_a"), F.col("s_b"))).select("a", "b")
 
 
-def checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The links among ``pairs`` (a, b), by the sets of their texts."""
-    need = materialise(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp").select("fp", "rep"), "need")
+def texts_of(need: DataFrame, docs: DataFrame) -> DataFrame:
+    """fp, text of the classes ``need`` (fp, rep); a doc_id that isn't unique gives texts of other classes, too."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(NEEDED_BITS))
     word = need.select(bit(F.col("rep")).alias("bit")).groupBy(F.expr("bit div 64").alias("word"))
     bitmap = word.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
     mine = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").withColumn("bit", bit(F.col("rep")))
     near = mine.join(F.broadcast(bitmap), F.expr("bit div 64") == bitmap.word)
     near = near.where(F.expr("shiftright(bits, cast(bit % 64 as int)) & 1L") == 1).select("rep", "text")
-    texts = near.join(need, near.rep.eqNullSafe(need.rep)).select("fp", "text")
+    return near.join(need, near.rep.eqNullSafe(need.rep)).select("fp", "text")
+
+
+def checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The links among ``pairs`` (a, b), by the sets of their texts."""
+    need = materialise(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp").select("fp", "rep"), "need")
+    texts = texts_of(need, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,15 +315,95 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return facts.select("doc_id", "n_shingles", "fp"), classes, links
 
 
+def linked_copies(sets: list[np.ndarray], copies: np.ndarray, first: int) -> np.ndarray:
+    """For each set, the sum of ``copies`` of those it links with. All are compared if ``first`` is 0, else each of the
+    first so many with each of the others."""
+    links, n = np.zeros(len(sets), np.int64), np.array([len(s) for s in sets], np.int64)
+    starts = np.cumsum(n) - n
+    distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    mine = np.zeros(len(distinct), np.int32)
+    for i in range(first or len(sets)):
+        j = max(first, i + 1)
+        if j == len(sets):
+            break
+        own = codes[starts[i] : starts[i] + n[i]]
+        mine[own] = 1
+        both = np.add.reduceat(mine[codes[starts[j] :]], starts[j:] - starts[j])
+        mine[own] = 0
+        link = 100 * both.astype(np.int64) >= LEVEL * (n[i] + n[j:] - both)
+        links[i] += copies[j:][link].sum()
+        links[j:][link] += copies[i]
+    return links
+
+
+def links_of_classes(docs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """fp, links: for the ``classes`` (fp, n, rep, copies) that link with others, the number of documents in these."""
+    rows = classes.select("fp", "n", "rep", "copies").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    homes = rows.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("elements"), F.sum("copies").alias("documents"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+    rows = materialise(rows.join(homes.where("size > 1").withColumn("blocks", blocks), "root"), "families")
+    two = rows.where("size = 2").select("fp", (F.col("documents") - F.col("copies")).alias("links"))
+    rows = rows.where("size > 2")
+    packs = max(1, math.ceil((rows.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) / BLOCK_ELEMENTS))
+
+    texts = texts_of(rows.select("fp", "rep"), docs)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int")).join(texts, "fp")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Components of one block go to tasks many at a time.
+    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(packs)))
+    rows = rows.select(
+        F.when(pack.isNull(), F.col("root")).alias("large"), pack.alias("pack"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+        "root", "block", "fp", "copies", "text",
+    )
+
+    def count(table: pa.Table) -> pa.Table:
+        first = table.column("x")[0].as_py()
+        cross = first != table.column("y")[0].as_py()
+        families: dict[int, dict[int, tuple[np.ndarray, int, int]]] = {}
+        for batch in table.to_batches():
+            for part in slices(batch):
+                columns = (part.column(c).to_pylist() for c in ("root", "block", "fp", "copies"))
+                for root, block, fp, copies, elements in zip(*columns, shingle_sets(part.column("text")), strict=True):
+                    if len(elements) and fingerprint(elements) == fp:
+                        families.setdefault(root, {})[fp] = elements, copies, block
+        fps, links = [], []
+        for family in families.values():
+            order = sorted(family, key=lambda fp: family[fp][2] != first)  # noqa: B023
+            n = sum(family[fp][2] == first for fp in order)
+            if cross and n in (0, len(order)):
+                continue
+            fps += order
+            links.append(linked_copies([family[fp][0] for fp in order], np.array([family[fp][1] for fp in order], np.int64), n if cross else 0))
+        return pa.table({"fp": pa.array(fps, pa.int64()), "links": pa.array(np.concatenate(links) if links else [], pa.int64())})
+
+    many = rows.groupBy("large", "pack", "x", "y").applyInArrow(count, "fp long, links long")
+    return two.unionByName(many.groupBy("fp").agg(F.sum("links").alias("links")))
+
+
+def named(facts: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``facts`` with component_id."""
+    rooted = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    names = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
+    return facts.join(names, "fp", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
     facts, classes, links = link(docs)
+    return named(facts, classes, components(links)).select("doc_id", "n_shingles", "component_id")
+
+
+def near_links(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, n_links, component_id of each row of ``docs`` (doc_id, text); n_links is the number of other
+    rows whose sets it links with, equal sets among them."""
+    facts, classes, links = link(docs)
     labels = components(links)
-    rooted = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    names = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    rows = facts.join(names, "fp", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    copies = materialise(facts.where("fp IS NOT NULL").groupBy("fp").agg(F.count("*").alias("copies")), "copies")
+    found = links_of_classes(docs, classes.join(copies, "fp"), labels)
+    own = copies.join(found, "fp", "left").select("fp", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    rows = named(facts, classes, labels).join(own, "fp", "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -85,6 +85,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_links
+
+    return near_links(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
@@ -114,6 +120,7 @@ QUERIES: dict[str, Query] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_chat": op7_chat,
     "op8_jaccard_join": op8_jaccard_join,
+    "op8_jaccard_links": op8_jaccard_links,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc": op10_warc,
     "pipeline": pipeline,
@@ -268,3 +275,16 @@ SQL |= {
                CASE WHEN page_id <> first THEN first END AS refers_to FROM w
     """,
 }
+
+SQL["op8_jaccard_links"] = f"""
+        WITH d AS (
+            SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), []) AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, w[i : i + 4] AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, least(len(w), 1)))) AS i FROM d)
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), l AS (
+            SELECT x, count(*) AS k FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL)
+            JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * shared >= 80 * (p.n + q.n - shared) GROUP BY 1
+        )
+        SELECT c.doc_id, c.n_shingles, coalesce(k, 0)::BIGINT AS n_links, c.component_id
+        FROM ({SQL["op8_jaccard_join"]}) c LEFT JOIN l ON l.x = c.doc_id
+    """

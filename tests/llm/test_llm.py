@@ -308,6 +308,31 @@ def test_jaccard_join_with_many_near_copies(spark: SparkSession, monkeypatch: py
     assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(table).collect()} == want
 
 
+@pytest.mark.parametrize(("block", "elements"), [(1000, 1 << 20), (7, 1 << 20), (1000, 900)])
+def test_jaccard_counts_every_link(spark: SparkSession, docs: DataFrame, empty: DataFrame, monkeypatch: pytest.MonkeyPatch, block: int, elements: int) -> None:
+    """Of families of near copies, whose buckets are large, every pair counts; so do copies."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "BLOCK_ELEMENTS", elements)
+    rng = np.random.default_rng(6)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()] if block == 7 else []
+    for d in range(1000, 1060):
+        own = [f"{'abc'[d % 3]}{i}" for i in range(90)]
+        for i in rng.choice(90, rng.integers(0, 4), replace=False):
+            own[i] = f"x{d}_{i}"
+        rows.append((d, " ".join(own[: 90 - int(rng.integers(0, 16))])))
+    rows += [(2000 + i, rows[-1 - i % 2][1].upper()) for i in range(4)] + [(3000, "p q"), (3001, "P q"), (3002, "only one"), (3003, None), (3004, "")]
+    got = jaccard_join.near_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = [shingles(t) for _, t in rows]
+    near = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+    want = [(d, len(s), sum(near(s, t) for t in sets) - bool(s)) for (d, _), s in zip(rows, sets, strict=True)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in got), key=key) == sorted(want, key=key)
+    if block == 1000:
+        components = brute_components(dict(rows))
+        assert {r.doc_id: r.component_id for r in got} == components and max(Counter(components.values()).values()) > 9
+        assert jaccard_join.near_links(empty).count() == 0
+
+
 @pytest.mark.parametrize("size", [1, 2, 4, 7, 19, 20, 53, 250, 999])
 def test_partenum_signatures_meet(size: int) -> None:
     rng = np.random.default_rng(size)
