@@ -121,6 +121,14 @@ def find(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(known[at] == keys, at, -1) if len(known) else np.full(len(keys), -1)
 
 
+def find_many(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """``find`` for many keys in any order; looked up in order, they meet the cache."""
+    order = np.argsort(keys)
+    out = np.empty(len(keys), np.int64)
+    out[order] = find(known, keys[order])
+    return out
+
+
 def walk(keys: np.ndarray, counts: np.ndarray, short: Short) -> np.ndarray:
     """log10 probability of each gram's last symbol after the others. ``keys`` hold all grams, with their ``counts``
     in training, that share the last two symbols of their contexts."""
@@ -215,14 +223,14 @@ def score(docs: DataFrame) -> DataFrame:
             text = pc.fill_null(part.column("text"), "")
             words = Words(text, lower=True)
             own, codes = coded(word_keys(words))
-            at = find(keys, own)
+            at = find_many(keys, own)
             c = np.where(at >= 0, values[at], 0.0)[codes] if len(keys) else np.zeros(len(codes))
             per = lambda x, n=part.num_rows, d=words.documents: np.bincount(d, weights=x, minlength=n)
             n_tokens = words.counts + 1
             base = per(np.log10(c + 1)) + known_end - n_tokens * token_cost
             inner, last, lengths = grams(text)
             own, codes = coded(np.concatenate((inner, last)))
-            found = values[find(keys, own)][codes]
+            found = values[find_many(keys, own)][codes]
             total = found[len(inner) :].copy()
             some = lengths > 0
             if some.any():
