@@ -1,32 +1,41 @@
-"""N-gram Jaccard join with PartEnum signatures, and its connected components.
+"""N-gram Jaccard join with PartEnum signatures: all links counted, and connected components.
 
 A document's set is its distinct shingles of five lower-cased words (64-bit hashes; of a shorter document, the whole
-sequence). Two sets link when their Jaccard similarity is at least ``LEVEL`` percent.
+sequence). Two sets link when their Jaccard similarity is at least ``LEVEL`` percent. Sets are compared as classes of
+equal sets, named by 63-bit fingerprints.
 
 **Signatures.** Sizes are cut into bands, each ending a quarter above the one before, so linked sets lie in the same
 or in neighbouring bands; group g is bands g and g + 1. Linked sets of a group, the smaller of them in band g, differ
-in at most k = r // 4 elements (r: band g's largest size). The hash domain is cut into more than k partitions, so one
-partition at least has the same elements in both sets: its elements, hashed, are a signature of both. A set emits one
-signature for each partition that isn't empty. Only if it has k such partitions or fewer could the equal partition be
-an empty one, and such a set also emits each of its elements, in its group, as signatures; the other set of such a
-link has k or fewer, too, and linked sets share elements.
-
-**Candidates.** Sets are compared as classes of equal sets, by 63-bit fingerprints. Of each signature's classes, each
-is paired with the first and with the one before it: all pairs up to three classes. Larger buckets are kept, and
-after the links of these pairs have been found, only buckets whose classes are not yet in one component are looked
-into again, in blocks of ``BLOCK`` classes, for pairs across components.
-
-**Filter and check.** A sketch of 1,024 parities is exact one way: sets that differ in d elements differ in at most d
-parities, so pairs with more than (a + b) / 9 different parities are no links. What passes is checked on the texts:
-first each class with its smallest partner, then what still lies between components. Texts travel by class, and only
-those of a fixed-size bitmap of the classes that are needed.
-
-**Numbers of links.** ``near_links`` goes on from the components: linked sets lie in the same one, so comparing all
-pairs of classes of each component, in pairs of blocks, visits every link once. A task counts the links of its classes
-as it finds them; no table of pairs is made. The pipeline needs components only and leaves this out.
-
-Null and empty texts have the empty set and link with nothing. Repeated rows form a class. A null doc_id's document
-takes part, but doesn't name a component unless alone.
+in at most k = r // 4 elements (r: band g's largest size). The hash domain is cut on two levels: into more than k / 2
+partitions, and each of these into three parts. One partition at least holds at most one of the differing elements, so
+two of its three parts are equal in both sets: of each partition all subsets of two parts are enumerated, and the
+elements of each subset that isn't empty, hashed, are a signature.
+
+A pair shares no signature only if all its equal subsets are empty. A partition whose elements lie in two parts or
+three then holds two differing elements, one whose elements lie in one part holds one; so twice the number of the
+former plus the number of the latter is at most k, for either set. Sets for which that holds also emit each of their
+elements, in the group, as a signature; linked sets share elements.
+
+Elements that very many documents share (found by counting all elements, Misra-Gries) would make signatures that very
+many classes share. They are left out: sets differ no more without them, so all of the above holds of what is left.
+Only a set for which the sum above is at most k without them emits the signatures of its whole set as well. Which
+elements are left out changes the work, never the result.
+
+**Candidates.** Of each signature's classes, each is paired with the first and with the one before it: all pairs up
+to three classes. Larger buckets are kept; once the pairs have been joined to components, buckets whose classes are
+not yet in one component are looked into, in blocks of ``BLOCK`` classes, for pairs across components. A sketch of
+1,024 parities is exact one way: sets that differ in d elements differ in at most d parities, so pairs with more than
+(a + b) / 9 different parities are no links and are dropped. A component of what is left holds every link of its sets.
+
+**Check.** The texts of each component, one a class, meet in one task (large components: in pairs of blocks), where
+sets are compared exactly. ``near_links`` compares all pairs and counts links; ``near_duplicates`` only searches each
+component breadth first, which visits near copies of each other once. Either way a task yields just the links that
+hold its sets together, and components of these links are the result; no table of all pairs is made. Texts travel
+once a block, and only those of a fixed-size bitmap of the classes that are needed.
+
+A class that has many copies is signed where its first text is, not once a copy. Null and empty texts have the empty
+set and link with nothing. Repeated rows form a class. A null doc_id's document takes part, but doesn't name a
+component unless alone.
 """
 
 from __future__ import annotations
@@ -38,22 +47,27 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import MapType
 
-from .components import between, components
+from .components import components
 from .shared import materialise, small_batches
 from .words import U64, Words, mix, slices
 
 WORDS, LEVEL = 5, 80
 SKETCH, BLOCK, NEEDED_BITS = 1024, 1000, 1 << 23
-#: Shingles of a block of classes whose pairs are all compared, about.
+#: Shingles of a block of classes that are compared with each other, about.
 BLOCK_ELEMENTS = 1 << 20
+PARTS = 3
+#: Bounds of what is broadcast: elements left out of signatures, and classes of many copies.
+COMMON, COMMON_SHARE, HOT_CLASSES, HOT_COPIES = 4096, 1000, 10_000, 100
+#: Signatures that a task holds at a time, about.
+HELD = 1 << 18
 SALT = U64(0xD6E8FEB86659FD93)
 
 
-def salted(n: int) -> np.uint64:
+def salted(n: np.ndarray | int) -> np.ndarray:
     """A different number for each ``n``."""
-    return U64((int(SALT) * n) & 0xFFFF_FFFF_FFFF_FFFF)
+    return np.atleast_1d(np.asarray(n)).astype(U64) * SALT
 
 
 def band_ends(size: int) -> list[int]:
@@ -64,146 +78,298 @@ def band_ends(size: int) -> list[int]:
     return ends
 
 
-def shingle_sets(col: pa.Array) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    words = Words(pc.fill_null(col, ""), lower=True)
-    at, hashes = words.windows(WORDS)
-    first = np.searchsorted(at, words.starts)
-    counts = words.counts
-    short = {k: dict(zip(*(x.tolist() for x in words.windows(k)), strict=True)) for k in np.unique(counts[(counts > 0) & (counts < WORDS)]).tolist()}
-    for i, n in enumerate(counts.tolist()):
-        if n >= WORDS:
-            yield np.unique(hashes[first[i] : first[i + 1]])
-        elif n:
-            yield mix(np.array([short[n][int(words.starts[i])]], U64) ^ salted(n))
-        else:
-            yield np.empty(0, U64)
-
-
-def fingerprint(elements: np.ndarray) -> int:
-    """63 bits of a set that isn't empty."""
-    total = mix(elements ^ SALT).sum(dtype=U64) ^ salted(len(elements))
-    return int(mix(np.array([total], U64))[0] >> U64(1))
-
-
-def sketch(elements: np.ndarray) -> list[int]:
-    parities = np.bincount((mix(elements + SALT) >> U64(54)).astype(np.int64), minlength=SKETCH) & 1
-    return np.packbits(parities.astype(np.uint8)).view(np.int64).tolist()
-
-
-def signatures(elements: np.ndarray) -> np.ndarray:
-    n = len(elements)
-    ends = band_ends(n)
-    own = len(ends) - 1
-    contents, out = mix(elements), []
-    high = (elements >> U64(32)).astype(np.int64)
-    for group in {max(0, own - 1), own}:
-        k = ends[group] // 4
-        partitions = k + 1 + (k * 8 + 99) // 100 + (k > 0)
-        part = (high * partitions) >> 32
-        starts = np.nonzero(np.diff(part, prepend=-1))[0]
-        name = salted(group)
-        out.append(mix(np.add.reduceat(contents, starts) ^ mix(part[starts].astype(U64) + name)))
-        if len(starts) <= k:
-            out.append(mix(elements ^ mix(np.array([name ^ U64(1 << 40)]))))
-    return np.concatenate(out)
+class Sets:
+    """The shingle sets of many texts: ``elements``, sorted within each set, one set after the other, and ``sizes``."""
+
+    def __init__(self, elements: np.ndarray, sizes: np.ndarray) -> None:
+        self.elements, self.sizes = elements, sizes
+        self.starts = np.cumsum(sizes) - sizes
+
+    @classmethod
+    def of_texts(cls, col: pa.Array) -> Sets:
+        words = Words(pc.fill_null(col, ""), lower=True)
+        at, hashes = words.windows(WORDS)
+        counts = words.counts
+        per = np.maximum(counts - WORDS + 1, 0)
+        short = np.nonzero((counts > 0) & (counts < WORDS))[0]
+        per[short] = 1
+        edges = np.concatenate(([0], np.cumsum(per)))
+        elements = np.empty(edges[-1], U64)
+        alone = edges[:-1][short]
+        inside = np.ones(len(elements), bool)
+        inside[alone] = False
+        elements[inside] = hashes
+        if len(short):
+            elements[alone] = mix(words.spans(words.starts[short], counts[short]) ^ salted(counts[short]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            elements[a:b].sort()
+        owner = np.repeat(np.arange(len(per)), per)
+        new = np.ones(len(elements), bool)
+        new[1:] = (elements[1:] != elements[:-1]) | (owner[1:] != owner[:-1])
+        return cls(elements[new], np.bincount(owner[new], minlength=len(per)))
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.elements[self.starts[i] : self.starts[i] + self.sizes[i]]
+
+    @property
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), self.sizes)
+
+    def take(self, chosen: np.ndarray) -> Sets:
+        """The chosen sets, by index in ascending order."""
+        mine = np.zeros(len(self), bool)
+        mine[chosen] = True
+        return Sets(self.elements[np.repeat(mine, self.sizes)], self.sizes[chosen])
+
+    def without(self, common: np.ndarray) -> Sets:
+        """The sets without the elements of the sorted ``common``."""
+        if not len(common) or not len(self.elements):
+            return self
+        at = np.minimum(np.searchsorted(common, self.elements), len(common) - 1)
+        rare = common[at] != self.elements
+        return Sets(self.elements[rare], np.bincount(self.owners[rare], minlength=len(self)))
+
+    def fingerprints(self) -> np.ndarray:
+        """63 bits of each set; those of empty sets mean nothing."""
+        sums = np.zeros(len(self), U64)
+        some = np.nonzero(self.sizes)[0]
+        if len(some):
+            sums[some] = np.add.reduceat(mix(self.elements ^ SALT), self.starts[some])
+        return (mix(sums ^ salted(self.sizes)) >> U64(1)).view(np.int64)
+
+    def sketches(self) -> np.ndarray:
+        """For each set 1,024 parities, as 16 numbers."""
+        bits = (mix(self.elements + SALT) >> U64(54)).astype(np.int64)
+        parities = np.bincount(self.owners * SKETCH + bits, minlength=len(self) * SKETCH) & 1
+        return np.packbits(parities.astype(np.uint8)).view(np.int64).reshape(len(self), -1)
+
+
+def subsets(sets: Sets, groups: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of all subsets of two parts of each partition of each set, for its group and limit k, and the index of
+    the set of each; and for each set whether these could miss a link."""
+    n1 = limits // 2 + 2 + (limits * 3 + 99) // 100
+    first = np.cumsum(n1) - n1
+    high = (sets.elements >> U64(32)).astype(np.int64)
+    owners = sets.owners
+    place = first[owners] * PARTS + ((high * (n1 * PARTS)[owners]) >> 32)
+    sums, full = np.zeros(int(n1.sum()) * PARTS, U64), np.zeros(int(n1.sum()) * PARTS, bool)
+    if len(place):
+        starts = np.nonzero(np.diff(place, prepend=-1))[0]
+        sums[place[starts]] = np.add.reduceat(mix(sets.elements), starts)
+        full[place[starts]] = True
+    sums, full = sums.reshape(-1, PARTS), full.reshape(-1, PARTS)
+    kinds = full.sum(axis=1)
+    of = np.repeat(np.arange(len(sets)), n1)
+    spread = np.bincount(of, weights=np.minimum(kinds, 2), minlength=len(sets))
+    partition = np.arange(len(of)) - first[of]
+    name = mix((groups[of] << 32 | partition).astype(U64) * U64(PARTS) + SALT)
+    content = mix(sums.sum(axis=1, dtype=U64)[:, None] - sums) + name[:, None] + np.arange(PARTS, dtype=U64)
+    some = (kinds[:, None] - full) > 0
+    return mix(content[some]), np.broadcast_to(of[:, None], some.shape)[some], spread <= limits
+
+
+def signed_sets(sets: Sets, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of ``sets``, and the index of the set of each."""
+    ends = np.array(band_ends(int(sets.sizes.max(initial=1))))
+    own = np.searchsorted(ends, sets.sizes)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    rare = sets.without(common)
+    for group in (own - 1, own):
+        limits = np.where(group >= 0, ends[np.maximum(group, 0)] // 4, 0)
+        last = []
+        mine = np.nonzero((limits > 0) & (sets.sizes > 0))[0]
+        for level in (rare, sets):
+            sigs, of, missing = subsets(level.take(mine), group[mine], limits[mine])
+            found.append((sigs, mine[of]))
+            mine = mine[missing]
+            whole = level.sizes[mine] == sets.sizes[mine]
+            last.append(mine[whole])
+            mine = mine[~whole]
+        mine = np.sort(np.concatenate(last))
+        single = sets.take(mine)
+        found.append((mix(single.elements ^ mix(salted(group[mine] + 1))[single.owners]), mine[single.owners]))
+    return np.concatenate([s for s, _ in found]), np.concatenate([o for _, o in found])
+
+
+def signatures(elements: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+    """The signatures of one set, sorted and distinct. Sets of fewer than four elements link with equal ones only, and
+    have their fingerprint instead."""
+    sets = Sets(np.sort(elements), np.array([len(elements)]))
+    found = signed_sets(sets, np.empty(0, U64) if common is None else np.sort(common))[0]
+    return np.unique(found) if len(found) else sets.fingerprints().view(U64)
+
+
+def row_keys() -> dict[str, Column]:
+    """128 bits of doc_id and text, equal for repeated rows only. A class's text is found again by ``key``, where
+    fingerprints tell rows that have it by chance."""
+    return {"key": F.xxhash64("doc_id", "text"), "check": F.xxhash64(F.lit(1), "doc_id", "text")}
+
+
+def frequent(held: tuple[np.ndarray, np.ndarray] | None, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Misra-Gries counters of elements, with those of one more slice."""
+    values, counts = np.unique(elements, return_counts=True)
+    if held is not None:
+        values, back = np.unique(np.concatenate((held[0], values)), return_inverse=True)
+        counts = np.bincount(back, weights=np.concatenate((held[1], counts)), minlength=len(values)).astype(np.int64)
+    if len(values) > COMMON:
+        counts = counts - np.partition(counts, len(counts) - COMMON - 1)[len(counts) - COMMON - 1]
+        values, counts = values[counts > 0], counts[counts > 0]
+    return values, counts
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp (null: the empty set) and sketch of each document."""
-    schema = StructType([StructField("doc_id", LongType())]).add("n_shingles", "long").add("fp", "long").add("sketch", ArrayType(LongType()))
+    """key, check, doc_id, n_shingles, fp (null: the empty set) and sketch of each document; and rows of ``element``
+    and ``shared``, the elements that many documents of a task have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
             for part in slices(batch):
-                sets = list(shingle_sets(part.column("text")))
+                sets = Sets.of_texts(part.column("text"))
+                some = sets.sizes > 0
+                held = frequent(held, sets.elements)
+                flat = sets.sketches()[some]
+                bits = np.where(some, SKETCH // 64, 0)
+                none = pa.nulls(len(sets), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()),
-                        pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                        part.column("key"), part.column("check"), part.column("doc_id"), pa.array(sets.sizes), pa.array(sets.fingerprints(), mask=~some),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(bits))), pa.int32()), pa.array(flat.ravel())), none, none,
                     ],
-                    schema.fieldNames(),
+                    names,
                 )
+        if held is not None and len(held[0]):
+            none = pa.nulls(len(held[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [none, none, none, none, none, pa.nulls(len(held[0]), pa.list_(pa.int64())), pa.array(held[0].view(np.int64)), pa.array(held[1])], names
+            )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    names = ["key", "check", "doc_id", "n_shingles", "fp", "sketch", "element", "shared"]
+    schema = "key long, check long, doc_id long, n_shingles long, fp long, sketch array<long>, element long, shared long"
+    keyed = docs.withColumns(row_keys())
+    return keyed.select("key", "check", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """sig, fp: the signatures of each document."""
+def signed(docs: DataFrame, hot: list[tuple[int, int]], common: list[int]) -> DataFrame:
+    """sig, fp: the signatures of each class. ``hot`` (fp, key) are classes of many copies, which only their text of
+    that key signs; ``common`` are elements to leave out."""
+    spark = docs.sparkSession
+    lists = spark.sparkContext.broadcast((np.array(sorted(hot), np.int64).reshape(-1, 2), np.sort(np.array(common, np.int64).view(U64))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, common = lists.value
         for batch in batches:
             for part in slices(batch):
-                sets = [s for s in shingle_sets(part.column("text")) if len(s)]
-                made = [signatures(s) for s in sets]
-                fps = np.repeat(np.array([fingerprint(s) for s in sets], np.int64), [len(m) for m in made])
-                sigs = np.concatenate(made).view(np.int64) if made else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(fps)], ["sig", "fp"])
-
-    return docs.select("text").mapInArrow(run, "sig long, fp long")
+                sets = Sets.of_texts(part.column("text"))
+                fps, key = sets.fingerprints(), part.column("key").to_numpy()
+                at = np.minimum(np.searchsorted(hot[:, 0], fps), max(0, len(hot) - 1))
+                mine = (hot[at, 0] != fps) | (hot[at, 1] == key) if len(hot) else np.ones(len(fps), bool)
+                chosen = np.sort(np.unique(np.where(mine & (sets.sizes > 0), fps, -1), return_index=True)[1])
+                chosen = chosen[mine[chosen] & (sets.sizes[chosen] > 0)]
+                sigs, of = signed_sets(sets.take(chosen), common)
+                yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(fps[chosen][of])], ["sig", "fp"])
 
+    return docs.select(row_keys()["key"].alias("key"), "text").mapInArrow(run, "sig long, fp long")
 
-def buckets(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
-    """Rows sorted by their first column, as arrays, with the starts of its runs; a run is never divided."""
-    held: list[dict[str, np.ndarray]] = []
 
-    def joined() -> dict[str, np.ndarray]:
-        return {c: np.concatenate([h[c] for h in held]) for c in columns}
+def runs(key: np.ndarray) -> np.ndarray:
+    """The starts of runs of equal keys."""
+    return np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0] if len(key) else np.empty(0, np.int64)
 
-    def runs(key: np.ndarray) -> np.ndarray:
-        return np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
 
+def gathered(batches: Iterator[pa.RecordBatch], columns: list[str], least: int) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+    """The rows of many batches as arrays of ``least`` rows or more, and whether they are the last."""
+    held: list[dict[str, np.ndarray]] = []
+    size = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
         rows = {}
         for c in columns:
             col = batch.column(c)
-            rows[c] = np.stack(col.flatten().to_numpy().reshape(len(col), -1)) if pa.types.is_list(col.type) else col.to_numpy()
-        held.append(rows)
-        if rows[columns[0]][-1] == held[0][columns[0]][0]:
-            continue
-        rows = joined()
-        starts = runs(rows[columns[0]])
-        yield {c: v[: starts[-1]] for c, v in rows.items()}, starts[:-1]
-        held = [{c: v[starts[-1] :] for c, v in rows.items()}]
+            rows[c] = np.stack(col.flatten().to_numpy().reshape(len(col), -1)) if pa.types.is_list(col.type) and len(col) else col.to_numpy(zero_copy_only=False)
+        if batch.num_rows:
+            held.append(rows)
+            size += batch.num_rows
+        if size >= least:
+            yield {c: np.concatenate([h[c] for h in held]) for c in columns}, False
+            held, size = [], 0
     if held:
-        rows = joined()
-        yield rows, runs(rows[columns[0]])
+        yield {c: np.concatenate([h[c] for h in held]) for c in columns}, True
+    else:
+        yield {}, True
+
+
+def buckets(batches: Iterator[pa.RecordBatch], columns: list[str], least: int = HELD) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Rows sorted by their first column, as arrays, with the starts of its runs; a run is never divided."""
+    left: dict[str, np.ndarray] = {}
+    for rows, last in gathered(batches, columns, least):
+        if left:
+            rows = {c: np.concatenate((left[c], rows[c])) for c in columns} if rows else left
+        if not rows:
+            return
+        starts = runs(rows[columns[0]])
+        if not last:
+            left = {c: v[starts[-1] :] for c, v in rows.items()}
+            rows, starts = {c: v[: starts[-1]] for c, v in rows.items()}, starts[:-1]
+        if len(starts):
+            yield rows, starts
 
 
 def candidates(sigs: DataFrame) -> DataFrame:
-    """bucket, a, b: pairs of classes (bucket null), and the classes of larger buckets (b null)."""
+    """bucket, a, b: pairs of classes (bucket null), and the classes of larger buckets (b null). A run of one signature
+    passes through in pieces of about HELD rows, with its first class and the last one seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for rows, _ in buckets(batches, ["sig", "fp"]):
-            sig, fp = rows["sig"], rows["fp"]
+        left: tuple[np.ndarray, np.ndarray] | None = None
+        going = None  # the signature of a run of which a piece has passed
+        for rows, last in gathered(batches, ["sig", "fp"], HELD):
+            sig, fp = (rows["sig"], rows["fp"]) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
+            if left is not None:
+                sig, fp = np.concatenate((left[0], sig)), np.concatenate((left[1], fp))
+            if not len(sig):
+                return
             new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])))
             sig, fp = sig[new], fp[new]
-            starts = np.nonzero(np.concatenate(([True], sig[1:] != sig[:-1])))[0]
+            starts = runs(sig)
+            gone = going is not None and sig[0] == going
+            long = not last and len(sig) - starts[-1] > HELD  # all rows of the last run so far are looked at, two are kept
+            if not last:
+                left = (sig[starts[-1] :], fp[starts[-1] :])
+                if long:
+                    left = (left[0][[0, -1]], left[1][[0, -1]])
+                    going = sig[-1]
+                else:
+                    sig, fp, starts = sig[: starts[-1]], fp[: starts[-1]], starts[:-1]
+            if not len(sig):
+                continue
             sizes = np.diff(np.append(starts, len(sig)))
-            chosen = np.repeat(sizes > 1, sizes)
             lead, later = np.repeat(fp[starts], sizes), np.arange(len(sig)) - np.repeat(starts, sizes)
-            follow = np.nonzero(chosen & (later > 0))[0]
+            follow = np.nonzero(later > 0)[0]
             a = np.concatenate((lead[follow], fp[follow - 1]))
             b = np.concatenate((fp[follow], fp[follow]))
+            a, b = np.minimum(a, b), np.maximum(a, b)
             order = np.lexsort((b, a))
             a, b = a[order], b[order]
-            fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.empty(0, bool)
+            fresh = (np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0)
+            fresh &= a != b
             a, b = a[fresh], b[fresh]
-            large = np.nonzero(sizes > 3)[0]
-            members = np.add.reduceat(mix(fp.view(U64)), starts)[large].tolist() if len(starts) else []
+            large = sizes > 3
+            large[0] |= gone
+            large = np.nonzero(large)[0]
+            contents = np.add.reduceat(mix(fp.view(U64)), starts)[large].tolist()
             keep = []
-            for i, content in zip(large.tolist(), members, strict=True):
-                if content not in seen:
+            for i, content in zip(large.tolist(), contents, strict=True):
+                if content not in seen or (long and i == len(sizes) - 1):
                     seen.add(content)
                     keep.append(i)
-            if len(seen) > 1_000_000:
+            if len(seen) > 100_000:
                 seen.clear()
-            at = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in keep]) if keep else np.empty(0, np.int64)
+            chosen = np.zeros(len(sizes), bool)
+            chosen[keep] = True
+            at = np.nonzero(np.repeat(chosen, sizes))[0]
             none = pa.nulls(len(a), pa.int64())
             yield pa.RecordBatch.from_arrays([none, pa.array(a), pa.array(b)], ["bucket", "a", "b"])
             yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(fp[at]), pa.nulls(len(at), pa.int64())], ["bucket", "a", "b"])
@@ -225,35 +391,15 @@ def sieve(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def texts_of(need: DataFrame, docs: DataFrame) -> DataFrame:
-    """fp, text of the classes ``need`` (fp, rep); a doc_id that isn't unique gives texts of other classes, too."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(NEEDED_BITS))
-    word = need.select(bit(F.col("rep")).alias("bit")).groupBy(F.expr("bit div 64").alias("word"))
+    """fp, text of the classes ``need`` (fp, key). Rows whose key is another's by chance give texts of other classes,
+    and repeated rows give a text again; fingerprints tell."""
+    bit = lambda c: F.pmod(c, F.lit(NEEDED_BITS))
+    word = need.select(bit(F.col("key")).alias("bit")).groupBy(F.expr("bit div 64").alias("word"))
     bitmap = word.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    mine = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").withColumn("bit", bit(F.col("rep")))
+    mine = docs.select(row_keys()["key"].alias("key"), "text").withColumn("bit", bit(F.col("key")))
     near = mine.join(F.broadcast(bitmap), F.expr("bit div 64") == bitmap.word)
-    near = near.where(F.expr("shiftright(bits, cast(bit % 64 as int)) & 1L") == 1).select("rep", "text")
-    return near.join(need, near.rep.eqNullSafe(need.rep)).select("fp", "text")
-
-
-def checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The links among ``pairs`` (a, b), by the sets of their texts."""
-    need = materialise(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp").select("fp", "rep"), "need")
-    texts = texts_of(need, docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text_a"):
-                a, b = (part.column(c).to_pylist() for c in ("a", "b"))
-                good = []
-                for i, (x, y) in enumerate(zip(shingle_sets(part.column("text_a")), shingle_sets(part.column("text_b")), strict=True)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    link = 100 * both >= LEVEL * (len(x) + len(y) - both)
-                    good.append(link and fingerprint(x) == a[i] and fingerprint(y) == b[i])
-                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    named = lambda e: texts.select(F.col("fp").alias(e), F.col("text").alias(f"text_{e}"))
-    both = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long").distinct()
+    near = near.where(F.expr("shiftright(bits, cast(bit % 64 as int)) & 1L") == 1).select("key", "text")
+    return near.join(need, "key").select("fp", "text")
 
 
 def across(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
@@ -269,13 +415,18 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
     rows = rows.select(F.xxhash64("pair").alias("block"), "fp", "root", "n", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in buckets(batches, ["block", "fp", "root", "n", "sketch"]):
+        for rows, starts in buckets(batches, ["block", "fp", "root", "n", "sketch"], HELD // 16):
             ends = np.append(starts[1:], len(rows["fp"]))
             found = []
             for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
                 fp, root, n, bits = (rows[c][start:end] for c in ("fp", "root", "n", "sketch"))
-                for i in range(len(fp) - 1):
-                    far = np.nonzero(root[i + 1 :] != root[i])[0] + i + 1
+                roots, back, sizes = np.unique(root, return_inverse=True, return_counts=True)
+                # Of each pair one at least isn't in the most frequent component.
+                loose = np.nonzero(back != sizes.argmax())[0]
+                later = np.ones(len(fp), bool)
+                for i in loose.tolist():
+                    later[i] = False
+                    far = np.nonzero(later & (root != root[i]))[0]
                     far = far[100 * np.minimum(n[far], n[i]) >= LEVEL * np.maximum(n[far], n[i])]
                     if len(far):
                         # Of signed numbers numpy counts the bits of the absolute value.
@@ -289,64 +440,79 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
     return dealt.mapInArrow(run, "a long, b long").where("a < b").distinct()
 
 
-def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The membership of documents in classes of equal sets (doc_id, n_shingles, fp), the classes (fp, n, rep, sketch),
-    and links between classes (a, b) that hold all their components together."""
-    small_batches(docs.sparkSession)
-    facts = materialise(sized(docs), "sets")
-    classes = facts.where("fp IS NOT NULL").groupBy("fp").agg(
-        F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")
-    )
-    classes = materialise(classes, "classes")
-    found = materialise(candidates(signed(docs)), "candidates")
-    pairs = materialise(sieve(found.where("b IS NOT NULL").select("a", "b").distinct(), classes), "pairs")
-    members = found.where("b IS NULL")
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = materialise(checked(first, docs, classes), "first-links")
-    labels = components(links)
-    left = materialise(between(pairs, labels).select("a", "b").join(first, ["a", "b"], "left_anti"), "left")
-    more = materialise(checked(left, docs, classes), "more-links")
-    if more.limit(1).count():
-        links = links.unionByName(more)
-        labels = components(links)
-    rest = materialise(across(members, labels, classes).join(pairs, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        links = links.unionByName(materialise(checked(rest, docs, classes), "rest-links"))
-    return facts.select("doc_id", "n_shingles", "fp"), classes, links
-
-
-def linked_copies(sets: list[np.ndarray], copies: np.ndarray, first: int) -> np.ndarray:
-    """For each set, the sum of ``copies`` of those it links with. All are compared if ``first`` is 0, else each of the
-    first so many with each of the others."""
-    links, n = np.zeros(len(sets), np.int64), np.array([len(s) for s in sets], np.int64)
-    starts = np.cumsum(n) - n
-    distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    mine = np.zeros(len(distinct), np.int32)
-    for i in range(first or len(sets)):
-        j = max(first, i + 1)
-        if j == len(sets):
-            break
-        own = codes[starts[i] : starts[i] + n[i]]
-        mine[own] = 1
-        both = np.add.reduceat(mine[codes[starts[j] :]], starts[j:] - starts[j])
-        mine[own] = 0
-        link = 100 * both.astype(np.int64) >= LEVEL * (n[i] + n[j:] - both)
-        links[i] += copies[j:][link].sum()
-        links[j:][link] += copies[i]
-    return links
-
-
-def links_of_classes(docs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """fp, links: for the ``classes`` (fp, n, rep, copies) that link with others, the number of documents in these."""
-    rows = classes.select("fp", "n", "rep", "copies").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    homes = rows.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("elements"), F.sum("copies").alias("documents"))
+class Block:
+    """Sets that are compared with each other: all with all, or (``first`` > 0) the first so many with the others."""
+
+    def __init__(self, sets: Sets, first: int = 0) -> None:
+        self.n, self.first = sets.sizes.astype(np.int64), first
+        distinct, self.codes = np.unique(sets.elements, return_inverse=True)
+        self.starts = sets.starts
+        self.mark = np.zeros(len(distinct), np.int32)
+
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of the ascending ``others`` set i links with."""
+        sized = (100 * np.minimum(self.n[others], self.n[i]) >= LEVEL * np.maximum(self.n[others], self.n[i]))
+        others = others[sized]
+        if not len(others):
+            return others
+        n = self.n[others]
+        ends = np.cumsum(n)
+        own = self.codes[self.starts[i] : self.starts[i] + self.n[i]]
+        self.mark[own] = 1
+        if len(others) == others[-1] - others[0] + 1:
+            theirs = self.codes[self.starts[others[0]] : self.starts[others[-1]] + self.n[others[-1]]]
+        else:
+            theirs = self.codes[np.arange(ends[-1]) + np.repeat(self.starts[others] - (ends - n), n)]
+        both = np.add.reduceat(self.mark[theirs], ends - n)
+        self.mark[own] = 0
+        return others[100 * both.astype(np.int64) >= LEVEL * (self.n[i] + n - both)]
+
+    def count(self, copies: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """For each set the sum of ``copies`` of those it links with, and links that hold all together."""
+        size = len(self.n)
+        links, home, tree = np.zeros(size, np.int64), np.arange(size), []
+        for i in range(self.first or size):
+            near = self.near(i, np.arange(max(self.first, i + 1), size))
+            if not len(near):
+                continue
+            links[i] += copies[near].sum()
+            links[near] += copies[i]
+            homes, at = np.unique(home[near], return_index=True)
+            new = homes != home[i]
+            if new.any():
+                tree += [(i, int(j)) for j in near[at[new]]]
+                home[np.isin(home, homes[new])] = home[i]
+        return links, tree
+
+    def search(self) -> list[tuple[int, int]]:
+        """Links that hold all together, breadth first: no pair of sets that are already together is compared."""
+        tree: list[tuple[int, int]] = []
+        left = [np.arange(self.first, len(self.n))] + ([np.arange(self.first)] if self.first else [])
+        while len(left[0]) and len(left[-1]):
+            waiting = [int(left[-1][0])]
+            left[-1] = left[-1][1:]
+            while waiting:
+                i = waiting.pop()
+                other = -1 if i >= self.first else 0
+                near = self.near(i, left[other])
+                if len(near):
+                    left[other] = np.setdiff1d(left[other], near, assume_unique=True)
+                    tree += [(i, j) for j in near.tolist()]
+                    waiting += near.tolist()
+        return tree
+
+
+def exact(docs: DataFrame, classes: DataFrame, labels: DataFrame, count: bool) -> DataFrame:
+    """a, b, links: links (a, b) between the ``classes`` (fp, n, key, copies) of each component of ``labels`` that hold
+    all that link together; and, if they are to be counted, for each class a (b null) the number of documents that it
+    links with in one block."""
+    rows = classes.select("fp", "n", "key", "copies").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    homes = rows.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("elements")).where("size > 1")
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("elements") / BLOCK_ELEMENTS)).cast("int")
-    rows = materialise(rows.join(homes.where("size > 1").withColumn("blocks", blocks), "root"), "families")
-    two = rows.where("size = 2").select("fp", (F.col("documents") - F.col("copies")).alias("links"))
-    rows = rows.where("size > 2")
+    rows = materialise(rows.join(homes.withColumn("blocks", blocks), "root"), "families")
     packs = max(1, math.ceil((rows.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) / BLOCK_ELEMENTS))
 
-    texts = texts_of(rows.select("fp", "rep"), docs)
+    texts = texts_of(rows.select("fp", "key"), docs)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int")).join(texts, "fp")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # Components of one block go to tasks many at a time.
@@ -356,60 +522,96 @@ def links_of_classes(docs: DataFrame, classes: DataFrame, labels: DataFrame) ->
         "root", "block", "fp", "copies", "text",
     )
 
-    def count(table: pa.Table) -> pa.Table:
+    def compare(table: pa.Table) -> pa.Table:
         first = table.column("x")[0].as_py()
         cross = first != table.column("y")[0].as_py()
-        families: dict[int, dict[int, tuple[np.ndarray, int, int]]] = {}
+        facts, held = [], []
         for batch in table.to_batches():
             for part in slices(batch):
-                columns = (part.column(c).to_pylist() for c in ("root", "block", "fp", "copies"))
-                for root, block, fp, copies, elements in zip(*columns, shingle_sets(part.column("text")), strict=True):
-                    if len(elements) and fingerprint(elements) == fp:
-                        families.setdefault(root, {})[fp] = elements, copies, block
-        fps, links = [], []
-        for family in families.values():
-            order = sorted(family, key=lambda fp: family[fp][2] != first)  # noqa: B023
-            n = sum(family[fp][2] == first for fp in order)
-            if cross and n in (0, len(order)):
+                sets = Sets.of_texts(part.column("text"))
+                held.append(sets)
+                real = (sets.sizes > 0) & (sets.fingerprints() == part.column("fp").to_numpy())
+                facts.append(np.stack([*(part.column(c).to_numpy() for c in ("root", "block", "fp", "copies")), real], axis=1).astype(np.int64))
+        sets, facts = Sets(np.concatenate([s.elements for s in held]), np.concatenate([s.sizes for s in held])), np.concatenate(facts)
+        root, block, fp, copies, real = facts.T
+        # Families one after the other, a block's first; each class once.
+        order = np.lexsort((fp, block != first, root))
+        order = order[real[order] > 0]
+        order = order[np.concatenate(([True], np.diff(fp[order]) != 0))] if len(order) else order
+        out: list[tuple[np.ndarray, ...]] = []
+        for mine in np.split(order, runs(root[order])[1:]):
+            ahead = int((block[mine] == first).sum())
+            if len(mine) < 2 or (cross and ahead in (0, len(mine))):
                 continue
-            fps += order
-            links.append(linked_copies([family[fp][0] for fp in order], np.array([family[fp][1] for fp in order], np.int64), n if cross else 0))
-        return pa.table({"fp": pa.array(fps, pa.int64()), "links": pa.array(np.concatenate(links) if links else [], pa.int64())})
-
-    many = rows.groupBy("large", "pack", "x", "y").applyInArrow(count, "fp long, links long")
-    return two.unionByName(many.groupBy("fp").agg(F.sum("links").alias("links")))
+            some = Block(Sets(np.concatenate([sets[i] for i in mine]), sets.sizes[mine]), ahead if cross else 0)
+            name = fp[mine]
+            links, tree = some.count(copies[mine]) if count else (np.empty(0, np.int64), some.search())
+            ends = np.array(tree, np.int64).reshape(-1, 2)
+            linked = np.nonzero(links)[0]
+            out.append((name[ends].min(axis=1), name[ends].max(axis=1), np.zeros(len(ends), np.int64)))
+            out.append((name[linked], np.full(len(linked), -1), links[linked]))
+        a, b, links = (np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in range(3))
+        return pa.table({"a": pa.array(a), "b": pa.array(b, mask=b < 0), "links": pa.array(links)})
+
+    return rows.groupBy("large", "pack", "x", "y").applyInArrow(compare, "a long, b long, links long")
+
+
+def link(docs: DataFrame, count: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The membership of documents in classes of equal sets (key, check, doc_id, n_shingles, fp), the classes (fp, n,
+    rep, copies), and what ``exact`` says of them."""
+    small_batches(docs.sparkSession)
+    both = materialise(sized(docs), "sets")
+    facts = both.where("element IS NULL").select("key", "check", "doc_id", "n_shingles", "fp", "sketch")
+    classes = facts.where("fp IS NOT NULL").groupBy("fp").agg(
+        F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch")
+    )
+    classes = materialise(classes, "classes")
+    hot = classes.where(F.col("copies") >= HOT_COPIES).orderBy(F.desc("copies"), "fp").limit(HOT_CLASSES).select("fp", "key").collect()
+    shared = both.where("element IS NOT NULL").groupBy("element").agg(F.sum("shared").alias("shared"))
+    least = max(HOT_COPIES, facts.count() // COMMON_SHARE)
+    common = shared.where(F.col("shared") >= least).orderBy(F.desc("shared"), "element").limit(COMMON).collect()
+    found = materialise(candidates(signed(docs, [tuple(r) for r in hot], [r.element for r in common])), "candidates")
+    pairs = materialise(sieve(found.where("b IS NOT NULL").select("a", "b").distinct(), classes), "pairs")
+    labels = components(pairs)
+    rest = materialise(across(found.where("b IS NULL"), labels, classes), "rest")
+    if rest.limit(1).count():
+        labels = components(pairs.unionByName(rest))
+    return facts.drop("sketch"), classes.drop("sketch"), materialise(exact(docs, classes, labels, count), "links")
 
 
-def named(facts: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """``facts`` with component_id."""
+def named(facts: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``facts`` with component_id, and the ``root`` of the component (null: the empty set)."""
+    labels = components(links.where("b IS NOT NULL").select("a", "b").distinct())
     rooted = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    names = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
+    names = rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
     return facts.join(names, "fp", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
-    facts, classes, links = link(docs)
-    return named(facts, classes, components(links)).select("doc_id", "n_shingles", "component_id")
+    return named(*link(docs, count=False)).select("doc_id", "n_shingles", "component_id")
 
 
 def near_links(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, n_links, component_id of each row of ``docs`` (doc_id, text); n_links is the number of other
     rows whose sets it links with, equal sets among them."""
-    facts, classes, links = link(docs)
-    labels = components(links)
-    copies = materialise(facts.where("fp IS NOT NULL").groupBy("fp").agg(F.count("*").alias("copies")), "copies")
-    found = links_of_classes(docs, classes.join(copies, "fp"), labels)
-    own = copies.join(found, "fp", "left").select("fp", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    rows = named(facts, classes, labels).join(own, "fp", "left")
+    facts, classes, links = link(docs, count=True)
+    found = links.where("b IS NULL").groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
+    own = classes.join(found, "fp", "left").select("fp", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    rows = named(facts, classes, links).join(own, "fp", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns: of each component the one of smallest doc_id. Rows that
-    repeat doc_id and text count as one."""
-    stay = near_duplicates(docs.select("doc_id", "text")).where("doc_id <=> component_id").select(F.col("doc_id").alias("_rm_stay")).distinct()
-    nth = F.row_number().over(W.partitionBy("_rm_stay", F.xxhash64("text")).orderBy(F.lit(0)))
-    rows = docs.join(stay, docs.doc_id.eqNullSafe(stay["_rm_stay"])).withColumn("_rm_nth", nth)
-    return rows.where("_rm_nth = 1").select(docs.columns)
+    """The rows of ``docs`` that stay, with its columns: of each component the one of smallest doc_id (null last), and
+    every different row without words. Rows that repeat doc_id and text count as one, the first by a hash of all
+    columns. Texts are shuffled once."""
+    rows = named(*link(docs.select("doc_id", "text"), count=False))
+    best = F.struct(F.col("doc_id").isNull(), "doc_id", "key", "check")
+    first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(best).alias("row")).select("row.key", "row.check")
+    stay = first.unionByName(rows.where("root IS NULL").select("key", "check").distinct()).toDF("_rm_key", "_rm_check")
+    content = [c for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType)]
+    mine = docs.withColumns({f"_rm_{name}": key for name, key in row_keys().items()})
+    nth = F.row_number().over(W.partitionBy("_rm_key", "_rm_check").orderBy(F.xxhash64(*content)))
+    return mine.join(stay, ["_rm_key", "_rm_check"]).withColumn("_rm_nth", nth).where("_rm_nth = 1").select(docs.columns)

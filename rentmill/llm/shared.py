@@ -17,10 +17,13 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Send at most ``rows`` texts at a time to Python, so that neither side buffers many long ones."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(name, min(rows, int(spark.conf.get(name))))
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Send batches of about ``size`` to Python, or of one row, so that neither side buffers many long texts. This is
+    read when a query runs, so it stays set for the session; a smaller setting of the session's own is left alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    as_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if not 0 < as_bytes(spark.conf.get(name)) <= as_bytes(size):
+        spark.conf.set(name, size)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

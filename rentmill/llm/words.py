@@ -17,7 +17,9 @@ U64 = np.uint64
 MULT = 0x9E3779B97F4A7C15 | 1
 INV = pow(MULT, -1, 1 << 64)
 #: Bytes of text that are worked on at a time; a longer document makes a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+#: Powers that are kept for the next slice, 16 MB a base.
+KEPT_POWERS = 1 << 21
 
 
 def flags(values: Iterable[int]) -> np.ndarray:
@@ -39,7 +41,7 @@ def powers(base: int, n: int) -> np.ndarray:
         steps = np.full(max(n, 1 << 16), base, dtype=U64)
         steps[0] = 1
         have = np.cumprod(steps, dtype=U64)
-        if n <= 1 << 24:
+        if n <= KEPT_POWERS:
             _powers[base] = have
     return have[:n]
 
@@ -142,7 +144,11 @@ class Words:
             return np.empty(0, np.int64), np.empty(0, U64)
         ends = self.starts[1:][self.documents]
         at = np.nonzero(np.arange(len(self)) + n <= ends)[0]
-        return at, mix((self._rolling[at + n] - self._rolling[at]) * powers(MULT, len(self))[at])
+        return at, self.spans(at, n)
+
+    def spans(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """Rolling hashes of the ``n`` words from each of the positions ``at``."""
+        return mix((self._rolling[at + n] - self._rolling[at]) * powers(MULT, len(self))[at])
 
 
 def covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
