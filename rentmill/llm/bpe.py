@@ -16,7 +16,8 @@ inside the right one have a merge whose rank comes before a's own merge into its
 first), and not after b's. Tokens that exact merging of their own bytes doesn't give are never proposed.
 
 The job is narrow: no shuffle, one broadcast of the vocabulary file (a file of fixed size). A task holds one slice of
-4 MB of text or one document, and a cache of at most ``CACHE_UNITS`` units.
+4 MB of text or one document, and a cache of at most ``CACHE_UNITS`` short units and ``CACHE_TOKENS`` tokens; longer
+units, which rarely come again, are encoded for their slice only.
 
 Null texts count as empty and give no tokens. Repeated rows are encoded alike. Extra columns stay.
 """
@@ -44,6 +45,7 @@ NEVER = np.int32(2**31 - 1)
 WIDE_SPACE = r"[\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Units longer than LONG bytes are not kept; words longer than LONG are merged with a heap, the others in bulk.
 CACHE_UNITS, LONG, SLICE_BYTES = 500_000, 48, 4 << 20
+CACHE_TOKENS = 4_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -288,8 +290,8 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.tokens, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def learn(self, units: list[str]) -> None:
-        """Encode new units and keep them."""
+    def made(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of ``units``, and each one's number of tokens."""
         v = self.vocabulary
         words: dict[str | tuple[str, str], int] = {}
         codes: list[int] = []
@@ -316,11 +318,7 @@ class Encoder:
         edges = np.concatenate(([0], np.cumsum(owners)))
         new = gather(flat, np.cumsum(sizes) - sizes, sizes, chosen)
         ends = np.concatenate(([0], np.cumsum(sizes[chosen])))[edges]
-        first, n = len(self.tokens), len(self.sizes)
-        self.known.update(zip(units, range(n, n + len(units)), strict=True))
-        self.tokens = np.concatenate((self.tokens, new))
-        self.starts = np.concatenate((self.starts, first + ends[:-1]))
-        self.sizes = np.concatenate((self.sizes, np.diff(ends)))
+        return new, np.diff(ends)
 
     def _verify(self, words: list[str], made: list[list[int]]) -> None:
         """Merge exactly the words of which a pair of proposed tokens fails."""
@@ -337,23 +335,37 @@ class Encoder:
 
     def encode(self, col: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of all texts, and each text's number of tokens. ``col`` has no nulls."""
-        if len(self.known) > CACHE_UNITS:
-            self.clear()
         units, per_text = cut_units(col)
         coded = units.dictionary_encode()
         found = coded.dictionary.to_pylist()
-        if new := [u for u in found if u not in self.known]:
-            self.learn(new)
-        places = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+        new = [u for u in found if u not in self.known]
+        tokens, sizes = self.made(new) if new else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        # Known units and those of this slice, one after the other.
+        at = dict(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+        places = np.fromiter((self.known[u] if u in self.known else at[u] for u in found), np.int64, len(found))
+        flat = np.concatenate((self.tokens, tokens))
+        starts = np.concatenate((self.starts, len(self.tokens) + np.cumsum(sizes) - sizes))
+        lengths = np.concatenate((self.sizes, sizes))
         codes = places[coded.indices.to_numpy()] if len(found) else np.empty(0, np.int64)
-        for unit in new:
-            if len(unit) > LONG:
-                del self.known[unit]
-        ids = gather(self.tokens, self.starts, self.sizes, codes)
-        totals = np.concatenate(([0], np.cumsum(self.sizes[codes])))
+        ids = gather(flat, starts, lengths, codes)
+        totals = np.concatenate(([0], np.cumsum(lengths[codes])))
         edges = np.concatenate(([0], np.cumsum(per_text)))
+        self._keep(new, tokens, sizes)
         return ids, totals[edges[1:]] - totals[edges[:-1]]
 
+    def _keep(self, units: list[str], tokens: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember the short ones of the slice's new units."""
+        short = np.fromiter((len(u) <= LONG for u in units), bool, len(units))
+        if not short.any():
+            return
+        if len(self.known) > CACHE_UNITS or len(self.tokens) > CACHE_TOKENS:
+            self.clear()
+        first, n = len(self.tokens), len(self.sizes)
+        self.known.update(zip((u for u, s in zip(units, short, strict=True) if s), range(n, n + int(short.sum())), strict=True))
+        self.tokens = np.concatenate((self.tokens, tokens[np.repeat(short, sizes)]))
+        self.sizes = np.concatenate((self.sizes, sizes[short]))
+        self.starts = np.concatenate((self.starts, first + np.cumsum(sizes[short]) - sizes[short]))
+
 
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """The chosen pieces of ``flat``, one after the other."""
