@@ -11,7 +11,8 @@ Reading: the index is the first thing read. The selected records are dealt by fi
 offset, and neighbouring ranges are joined to one read of at most ``read_bytes``.
 
 Null html is an empty payload, null URLs are empty. Of repeated rows the first is the response and the others revisit
-it. Extra columns are not archived.
+it. A null page_id is larger than any other; where all pages of a payload have none, the first by URL is the response
+and the others revisit it, without naming it. Extra columns are not archived.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -32,13 +34,15 @@ INDEX = "page_id long, url string, digest string, record_type string, refers_to
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 DATE = "2026-01-01T00:00:00Z"
 FILE_BYTES, READ_BYTES, GAP = 64 << 20, 4 << 20, 64 << 10
+#: Bytes of archives that a reading task is given, about.
+TASK_BYTES = 32 << 20
 
 
 def verdicts(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, sha, of each page, with copy_of: the smallest page_id with an equal payload of at least ``min_bytes``
-    (null for smaller payloads)."""
+    (null for smaller payloads, and where all page_ids are null), and ``grouped``, null for smaller payloads."""
     each = pages.select("page_id", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("bytes"))
-    first = each.where(F.col("bytes") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("copy_of"))
+    first = each.where(F.col("bytes") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("copy_of"), F.lit(True).alias("grouped"))
     return each.select("page_id", "sha").distinct().join(first, "sha", "left")
 
 
@@ -109,9 +113,10 @@ def write_archive(pages: DataFrame, path: str | None = None, min_bytes: int = 0,
     key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("_page")
     rows = rows.select("*", key, F.sha1("payload").alias("sha"))
     # Join and window use the same plain columns, so pages are shuffled once.
-    rows = rows.join(facts.select(key, "sha", "copy_of"), ["_page", "sha"])
+    rows = rows.join(facts.select(key, "sha", "copy_of", "grouped"), ["_page", "sha"])
     nth = F.row_number().over(W.partitionBy("_page", "sha").orderBy("url"))
-    revisit = F.col("copy_of").isNotNull() & ((F.col("page_id").isNull() | (F.col("copy_of") != F.col("page_id"))) | (nth > 1))
+    another = ~F.col("copy_of").eqNullSafe(F.col("page_id"))
+    revisit = F.coalesce("grouped", F.lit(False)) & (another | (nth > 1))
     rows = rows.withColumn("revisit", revisit).select("page_id", "url", "payload", "revisit", "copy_of")
     files = f"{path}/archive"
 
@@ -144,10 +149,13 @@ def write_archive(pages: DataFrame, path: str | None = None, min_bytes: int = 0,
 
 
 def read_archive(index: DataFrame, read_bytes: int = READ_BYTES, gap: int = GAP) -> DataFrame:
-    """The records that ``index`` selects, each parsed and its payload's digest verified."""
-    area = F.floor(F.col("offset") / F.lit(8 * read_bytes))
+    """The records that ``index`` selects, each parsed and its payload's digest verified. They are dealt to tasks by the
+    bytes to be read, not by the size of the index."""
+    area = F.floor(F.col("offset") / F.lit(2 * read_bytes))
     wanted = index.select("archive", "file", "offset", "length").withColumn("area", area)
-    wanted = wanted.repartition("archive", "file", "area").sortWithinPartitions("archive", "file", "offset")
+    total = wanted.agg(F.sum("length")).first()[0] or 0
+    tasks = max(math.ceil(total / TASK_BYTES), index.sparkSession.sparkContext.defaultParallelism)
+    wanted = wanted.repartition(tasks, "archive", "file", "area").sortWithinPartitions("archive", "file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, source, opened = None, None, None
