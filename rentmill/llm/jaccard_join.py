@@ -47,10 +47,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import MapType
 
 from .components import components
-from .shared import materialise, small_batches
+from .shared import content_hash, materialise, row_keys, small_batches
 from .words import U64, Words, mix, slices
 
 WORDS, LEVEL = 5, 80
@@ -202,12 +201,6 @@ def signatures(elements: np.ndarray, common: np.ndarray | None = None) -> np.nda
     return np.unique(found) if len(found) else sets.fingerprints().view(U64)
 
 
-def row_keys() -> dict[str, Column]:
-    """128 bits of doc_id and text, equal for repeated rows only. A class's text is found again by ``key``, where
-    fingerprints tell rows that have it by chance."""
-    return {"key": F.xxhash64("doc_id", "text"), "check": F.xxhash64(F.lit(1), "doc_id", "text")}
-
-
 def frequent(held: tuple[np.ndarray, np.ndarray] | None, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Misra-Gries counters of elements, with those of one more slice."""
     values, counts = np.unique(elements, return_counts=True)
@@ -611,7 +604,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     best = F.struct(F.col("doc_id").isNull(), "doc_id", "key", "check")
     first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(best).alias("row")).select("row.key", "row.check")
     stay = first.unionByName(rows.where("root IS NULL").select("key", "check").distinct()).toDF("_rm_key", "_rm_check")
-    content = [c for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType)]
     mine = docs.withColumns({f"_rm_{name}": key for name, key in row_keys().items()})
-    nth = F.row_number().over(W.partitionBy("_rm_key", "_rm_check").orderBy(F.xxhash64(*content)))
+    nth = F.row_number().over(W.partitionBy("_rm_key", "_rm_check").orderBy(content_hash(docs)))
     return mine.join(stay, ["_rm_key", "_rm_check"]).withColumn("_rm_nth", nth).where("_rm_nth = 1").select(docs.columns)

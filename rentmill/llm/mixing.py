@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .shared import materialise
+from .shared import content_hash, materialise, row_keys
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weight of a source -> its schedule at equally spaced times from 0 to 1.
@@ -33,6 +33,7 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id"),
         F.col("source"),
+        *(key.alias(f"_rm_{name}") for name, key in row_keys("source").items()),
         size(F.col("text")).alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("order"),
     )
@@ -84,16 +85,15 @@ def invert(share: Column, knots: tuple[float, ...]) -> Column:
     return time
 
 
-def plan(docs: DataFrame, max_repeats: int = 3, schedules: dict[int, tuple[float, ...]] | None = None) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, and ``copies``, an array of
-    (position, words) of the copies that the mix takes, first to last."""
+def planned(docs: DataFrame, max_repeats: int = 3, schedules: dict[int, tuple[float, ...]] | None = None) -> DataFrame:
+    """``plan`` with 128 bits of doc_id, text and source of each row."""
     rows = materialise(sized(docs), "sizes").withColumn("bucket", F.substring("order", 1, 3))
     goals = targets(rows, max_repeats)
     before = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     buckets = buckets.select("source", "bucket", before(W.partitionBy("source").orderBy("bucket")).alias("bucket_start"))
     buckets = buckets.join(goals, buckets.source.eqNullSafe(goals.source)).drop(goals.source)
-    inner = W.partitionBy("source", "bucket").orderBy("order", F.col("doc_id").asc_nulls_last(), "size")
+    inner = W.partitionBy("source", "bucket").orderBy("order", F.col("doc_id").asc_nulls_last(), "size", "_rm_key", "_rm_check")
     rows = rows.withColumn("inner_start", before(inner))
     same = rows.source.eqNullSafe(buckets.source) & (rows.bucket == buckets.bucket)
     rows = rows.join(buckets, same).drop(buckets.source, buckets.bucket)
@@ -109,7 +109,13 @@ def plan(docs: DataFrame, max_repeats: int = 3, schedules: dict[int, tuple[float
         copies.append(F.when(words > 0, F.struct(time.alias("position"), words.alias("words"))))
     rows = rows.withColumn("copies", F.array_compact(F.array(*copies)))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda total, c: total + c.words)
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", "_rm_key", "_rm_check")
+
+
+def plan(docs: DataFrame, max_repeats: int = 3, schedules: dict[int, tuple[float, ...]] | None = None) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, and ``copies``, an array of
+    (position, words) of the copies that the mix takes, first to last."""
+    return planned(docs, max_repeats, schedules).drop("_rm_key", "_rm_check")
 
 
 def curriculum(planned: DataFrame) -> DataFrame:
@@ -121,20 +127,24 @@ def curriculum(planned: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The training stream: a row of ``docs`` for each copy that the mix takes, range-sorted by position.
 
-    The one copy of a source that is cut keeps its first words, joined by one space."""
-    key = ["doc_id", "source", "size"]
-    nth = lambda names: F.row_number().over(W.partitionBy(*names).orderBy(F.lit(0)))
-    own = ["doc_id", "source", "_rm_size"]
-    mine = docs.withColumn("_rm_size", size(F.col("text"))).withColumn("_rm_mine", nth(own))
-    taken = plan(docs).withColumn("nth", nth(key)).where("taken > 0")
-    taken = taken.select(*(F.col(k).alias(f"_rm_t_{k}") for k in [*key, "nth"]), F.col("copies").alias("_rm_copies"))
-    same = mine["_rm_mine"] == taken["_rm_t_nth"]
-    for left, right in zip(own, key, strict=True):
-        same = same & mine[left].eqNullSafe(taken[f"_rm_t_{right}"])
-    rows = mine.join(taken, same).withColumn("_rm_copy", F.explode("_rm_copies"))
+    Documents and their plans meet by one shuffle on 128 bits of doc_id, text and source: repeated rows are numbered on
+    either side (documents by a hash of all columns), and the n-th document takes the plan next to it. The one copy of
+    a source that is cut keeps its first words, joined by one space."""
+    key, check = (F.col(f"_rm_{name}") for name in ("key", "check"))
+    taken = planned(docs).select("_rm_key", "_rm_check", F.lit(0).alias("_rm_side"), F.col("copies").alias("_rm_copies"))
+    first = F.get("_rm_copies", F.lit(0)).position
+    taken = taken.withColumn("_rm_tie", F.coalesce((first * (1 << 52)).cast("long"), F.lit((1 << 63) - 1)))
+    mine = docs.withColumns({f"_rm_{name}": k for name, k in row_keys("source").items()})
+    mine = mine.withColumns({"_rm_side": F.lit(1), "_rm_tie": content_hash(docs)})
+    both = mine.unionByName(taken, allowMissingColumns=True)
+    both = both.withColumn("_rm_nth", F.row_number().over(W.partitionBy(key, check, "_rm_side").orderBy("_rm_tie")))
+    beside = F.lag("_rm_copies").over(W.partitionBy(key, check, "_rm_nth").orderBy("_rm_side"))
+    rows = both.withColumn("_rm_copies", beside).where("_rm_side = 1").withColumn("_rm_copy", F.explode("_rm_copies"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_rm_copy.words").cast("int")), " ")
-    whole = F.col("_rm_copy.words") == F.col("_rm_size")
-    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+    whole = F.col("_rm_copy.words") == size(F.col("text"))
+    rows = rows.withColumn("_rm_whole", whole)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        chars = F.when(F.col("_rm_whole"), F.col("n_chars")).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", chars)
+    rows = rows.withColumn("text", F.when(F.col("_rm_whole"), F.col("text")).otherwise(cut))
     return rows.orderBy("_rm_copy.position", "doc_id").select(docs.columns)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import MapType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +38,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def row_keys(*more: str) -> dict[str, Column]:
+    """128 bits of doc_id, text and ``more``, equal for repeated rows only; ``key`` alone may be equal by chance."""
+    names = ["doc_id", "text", *more]
+    return {"key": F.xxhash64(*names), "check": F.xxhash64(F.lit(1), *names)}
+
+
+def content_hash(df: DataFrame) -> Column:
+    """A number to order repeated rows by that differ in other columns; those that can't be hashed don't count."""
+    return F.xxhash64(*(c for c in df.columns if not isinstance(df.schema[c].dataType, MapType)))
