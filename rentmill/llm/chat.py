@@ -6,6 +6,10 @@ the text back. The rendered text is encoded once, with offsets; a token is under
 of assistant text, which a binary search over the sorted spans decides. The whole head of an assistant's turn, with
 its newline, is one special token, so no token holds the end of the head and the start of the text.
 
+Encoding is that of ``bpe``, which keeps what it has encoded: rendered texts are cut at special tokens, many
+conversations' stretches between them are encoded at a time, and offsets follow from the lengths of the tokens'
+bytes. A token of a part of a character has that character's offsets.
+
 Rows are dealt by conv_id and sorted by turn inside their task, and rendered as they stream by, so no conversation is
 gathered in a list: one that is longer than ``PIECE`` characters is encoded in pieces that end where a turn ends (the
 markers are special tokens, at which the encoder splits anyway), and a piece is the unit of the output.
@@ -24,12 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .bpe import Encoder, Vocabulary, gather
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: Of special tokens that start at the same place the encoder takes the longest.
 HEAD = f"{START}assistant\n"
 PIECE = 1 << 20
 OUT = "conv_id long, piece long, last boolean, n_turns long, formatted string, ids array<int>, loss_mask array<boolean>, offsets array<int>"
 
+_special = re.compile(f"({re.escape(HEAD)}|{re.escape(START)}|{re.escape(END)})")
 _turn = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + "\n", re.S)
 
 
@@ -42,6 +49,8 @@ def escape_role(role: str) -> str:
 
 
 def unescape(text: str) -> str:
+    if "\\" not in text:
+        return text
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], text, flags=re.S)
 
 
@@ -62,40 +71,69 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _turn.finditer(formatted)]
 
 
-def mask(spans: list[tuple[int, int]], offsets: np.ndarray) -> np.ndarray:
-    """Which tokens, given by their (start, end) offsets, lie inside one of the sorted spans."""
-    if not spans:
+def mask(spans: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which tokens, given by their (start, end) offsets, lie inside one of the sorted (start, end) spans."""
+    if not len(spans):
         return np.zeros(len(offsets), bool)
-    starts, ends = np.array(spans).T
-    at = np.searchsorted(starts, offsets[:, 0], side="right") - 1
-    return (at >= 0) & (offsets[:, 1] <= ends[at]) & (offsets[:, 1] > offsets[:, 0])
+    at = np.searchsorted(spans[:, 0], offsets[:, 0], side="right") - 1
+    return (at >= 0) & (offsets[:, 1] <= spans[at, 1]) & (offsets[:, 1] > offsets[:, 0])
 
 
 def masked_text(formatted: str, offsets: np.ndarray, loss: np.ndarray) -> list[str]:
     """The stretches of text under the mask, in order. Tokens that share a character overlap and count it once."""
-    out, last = [], -1
-    for start, end in offsets[loss].tolist():
-        if out and start <= last:
-            out[-1] = (out[-1][0], max(end, last))
-        else:
-            out.append((start, end))
-        last = out[-1][1]
-    return [formatted[a:b] for a, b in out]
-
-
-def tokenizer(content: str):  # noqa: ANN201
-    from tokenizers import AddedToken, Tokenizer
-
-    found = Tokenizer.from_str(content)
-    found.encode_special_tokens = False
-    found.add_special_tokens([AddedToken(s, normalized=False) for s in (START, END, HEAD)])
-    return found
+    chosen = offsets[loss]
+    if not len(chosen):
+        return []
+    first = np.nonzero(np.concatenate(([True], chosen[1:, 0] > chosen[:-1, 1])))[0]
+    last = np.append(first[1:], len(chosen)) - 1
+    return [formatted[a:b] for a, b in zip(chosen[first, 0].tolist(), chosen[last, 1].tolist(), strict=True)]
+
+
+class ChatEncoder:
+    """The vocabulary with the three special tokens, which have the next free ids if it hasn't got them."""
+
+    def __init__(self, content: bytes) -> None:
+        self.encoder = Encoder(Vocabulary(content))
+        v = self.encoder.vocabulary
+        free = iter(range(len(v.bytes), len(v.bytes) + 3))
+        self.special = {s: v.special[s] if s in v.special else next(free) for s in (START, END, HEAD)}
+        self.size = np.zeros(max([len(v.bytes), *(i + 1 for i in self.special.values())]), np.int64)
+        self.size[: len(v.bytes)] = v.token_size
+        for s, i in self.special.items():
+            self.size[i] = len(s)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens of all texts, each text's number of tokens, and the (start, end) offsets in the texts, all joined."""
+        parts = [_special.split(t) for t in texts]
+        stretches = pa.array([x for p in parts for x in p[::2]], pa.string())
+        ids, counts = self.encoder.encode(stretches)
+        # Stretches and special tokens alternate in each text.
+        lengths = np.array([len(p) for p in parts])
+        ends = np.cumsum(lengths)
+        sizes = np.ones(int(lengths.sum()), np.int64)
+        inside = np.arange(len(sizes)) - np.repeat(ends - lengths, lengths)
+        sizes[inside % 2 == 0] = counts
+        between = np.array([self.special[x] for p in parts for x in p[1::2]], np.uint32)
+        starts = np.empty(len(sizes), np.int64)
+        starts[inside % 2 == 0] = np.cumsum(counts) - counts
+        starts[inside % 2 == 1] = len(ids) + np.arange(len(between))
+        tokens = gather(np.concatenate((ids, between)), starts, sizes, np.arange(len(sizes)))
+        edges = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], ends))]
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        point = np.cumsum((data & 0xC0) != 0x80) - 1  # the character that each byte belongs to
+        stop = np.cumsum(self.size[tokens])
+        offsets = np.stack((point[stop - self.size[tokens]], point[stop - 1] + 1), axis=1) if len(tokens) else np.empty((0, 2), np.int64)
+        return tokens, np.diff(edges), offsets
+
+
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, kind))
 
 
 def format_conversations(rows: DataFrame, vocabulary_path: str, piece_chars: int = PIECE) -> DataFrame:
     """``rows`` (conv_id, turn, role, text) as formatted conversations: conv_id, piece, last, n_turns (of the piece),
     formatted, ids, loss_mask, and offsets, (start, end) by token, flat."""
-    content = rows.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_text())
+    content = rows.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_bytes())
     rows = rows.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn"),
@@ -105,25 +143,31 @@ def format_conversations(rows: DataFrame, vocabulary_path: str, piece_chars: int
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(content.value).encode
+        encoder = ChatEncoder(content.value)
         ready: list[tuple] = []
         held = 0
 
         def piece(conv: int | None, number: int, last: bool, turns: list[tuple[str, str]]) -> None:
             nonlocal held
-            formatted, spans = render(turns)
-            tokens = encode(formatted, add_special_tokens=False)
-            offsets = np.array(tokens.offsets, np.int64).reshape(-1, 2)
-            ready.append((conv, number, last, len(turns), formatted, tokens.ids, mask(spans, offsets), offsets.ravel()))
-            held += len(formatted)
+            ready.append((conv, number, last, len(turns), *render(turns)))
+            held += len(ready[-1][4])
 
         def flush() -> pa.RecordBatch:
             nonlocal held
             held = 0
-            columns = list(zip(*ready, strict=True))
+            convs, numbers, lasts, n_turns, texts, spans = zip(*ready, strict=True)
             ready.clear()
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in OUT.split(", ")])
+            tokens, counts, offsets = encoder.encode(list(texts))
+            lengths = np.array([len(t) for t in texts])
+            base = np.cumsum(lengths) - lengths
+            inside = [np.array(s, np.int64).reshape(-1, 2) + b for s, b in zip(spans, base.tolist(), strict=True)]
+            loss = mask(np.concatenate(inside), offsets)
+            offsets = offsets - np.repeat(base, counts)[:, None]
+            columns = [
+                pa.array(convs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(lasts, pa.bool_()), pa.array(n_turns, pa.int64()), pa.array(texts, pa.string()),
+                _lists(tokens.astype(np.int32), counts, pa.int32()), _lists(loss, counts, pa.bool_()), _lists(offsets.ravel().astype(np.int32), 2 * counts, pa.int32()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in OUT.split(", ")])
 
         now: object = None
         turns: list[tuple[str, str]] = []
@@ -161,22 +205,26 @@ def digests(formatted: DataFrame) -> DataFrame:
         turns_sha, loss_sha, n_turns, loss_chars, chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                for role, text in parse(row["formatted"]):
+            conv, last = batch.column("conv_id").to_pylist(), batch.column("last").to_pylist()
+            offsets = batch.column("offsets").flatten().to_numpy().reshape(-1, 2)
+            loss = batch.column("loss_mask").flatten().to_numpy(zero_copy_only=False)
+            edges = np.concatenate(([0], np.cumsum(batch.column("loss_mask").value_lengths().to_numpy()))).tolist()
+            for k, formatted in enumerate(batch.column("formatted").to_pylist()):
+                for role, text in parse(formatted):
                     turns_sha.update(f"{role}\n{text}\n".encode())
                     n_turns += 1
-                offsets = np.array(row["offsets"], np.int64).reshape(-1, 2)
-                for part in masked_text(row["formatted"], offsets, np.array(row["loss_mask"], bool)):
+                mine = slice(edges[k], edges[k + 1])
+                for part in masked_text(formatted, offsets[mine], loss[mine]):
                     text = unescape(part)
                     loss_sha.update(text.encode())
                     loss_chars += len(text)
-                chars += len(row["formatted"])
-                if row["last"]:
-                    out.append((row["conv_id"], n_turns, turns_sha.hexdigest(), loss_chars, loss_sha.hexdigest(), chars))
+                chars += len(formatted)
+                if last[k]:
+                    out.append((conv[k], n_turns, turns_sha.hexdigest(), loss_chars, loss_sha.hexdigest(), chars))
                     turns_sha, loss_sha, n_turns, loss_chars, chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
             names = [f.split()[0] for f in kind.split(", ")]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             columns = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return formatted.mapInArrow(run, kind)
+    return formatted.select("conv_id", "last", "formatted", "loss_mask", "offsets").mapInArrow(run, kind)
