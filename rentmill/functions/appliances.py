@@ -12,13 +12,17 @@ from .text import contains_any, find_any, let
 
 #: Characters before and after a hit that can qualify it, and those that can negate it.
 BEFORE, AFTER, NEAR = 32, 40, 14
-CLAUSE = "[^" + "".join("\\" + c if c in ".?|" else c for c in CLAUSE_ENDS) + "]*"
+#: A character that folded texts don't have.
+MARK = "\x1c"
 
 
 def hits_pattern(terms: Sequence[str]) -> str:
-    """Groups: text before, the term, text after. The term is tested before the look-behind, which is the costly part."""
-    term = "(?:" + "|".join(map(re.escape, terms)) + ")s?"
-    return rf"(?<![a-z0-9])(?={term}(?![a-z0-9]))(?<=(^.{{0,{BEFORE - 1}}}|.{{{BEFORE}}}))({term})(?![a-z0-9])(?=(.{{0,{AFTER}}}))"
+    return r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, terms)) + r")s?(?![a-z0-9])"
+
+
+def own_clause(context: Column, which: int) -> Column:
+    """The last (-1) or first (1) clause of ``context``."""
+    return F.substring_index(F.translate(context, CLAUSE_ENDS, "." * len(CLAUSE_ENDS)), ".", which)
 
 
 def classify(before: Column, term: Column, after: Column) -> Column:
@@ -33,17 +37,30 @@ def classify(before: Column, term: Column, after: Column) -> Column:
             F.concat(F.lit("negated:"), F.trim(find_any(near, NEGATED_BEFORE))),
         )
 
-    clause = F.struct(F.regexp_extract(before, CLAUSE + "$", 0).alias("before"), F.regexp_extract(after, "^" + CLAUSE, 0).alias("after"))
+    clause = F.struct(own_clause(before, -1).alias("before"), own_clause(after, 1).alias("after"))
     verdict = lambda absent: F.struct(absent.isNull().alias("present"), F.coalesce(absent, term).alias("evidence"))
     return let(let(clause, read), verdict)
 
 
+def hits(folded: Column, terms: Sequence[str]) -> Column:
+    """Array of (present, evidence) of all hits. One pass of the pattern marks them; between marks, every second piece
+    is a term, and the context of each is cut out of the pieces around it."""
+    pieces = F.split(F.regexp_replace(folded, hits_pattern(terms), f"{MARK}$0{MARK}"), MARK)
+
+    def one(parts: Column, i: Column) -> Column:
+        before = F.array_join(F.slice(parts, F.lit(1), i), "")
+        after = F.array_join(F.slice(parts, i + 2, F.size(parts)), "")
+        near = F.when(F.length(before) > BEFORE, F.right(before, F.lit(BEFORE))).otherwise(before)
+        return classify(near, F.get(parts, i), F.substring(after, 1, AFTER))
+
+    some = lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), lambda i: one(parts, i))
+    return let(pieces, lambda parts: F.when(F.size(parts) > 1, some(parts)))
+
+
 def detect(folded: Column, terms: Sequence[str]) -> Column:
     """Struct (status, evidence): the first present hit, else the first absent one, else unknown."""
-    groups = [F.regexp_extract_all(folded, F.lit(hits_pattern(terms)), F.lit(i)) for i in (1, 2, 3)]
-    found = F.transform(F.arrays_zip(*groups), lambda h: classify(h["0"], h["1"], h["2"]))
-    hits = F.when(contains_any(folded, terms), found)
-    first = let(hits, lambda hs: F.coalesce(F.get(F.filter(hs, lambda h: h.present), F.lit(0)), F.get(hs, F.lit(0))))
+    found = F.when(contains_any(folded, terms), hits(folded, terms))
+    first = let(found, lambda hs: F.coalesce(F.get(F.filter(hs, lambda h: h.present), F.lit(0)), F.get(hs, F.lit(0))))
     status = lambda f: F.when(f.isNull(), "unknown").when(f.present, "present").otherwise("absent")
     return let(first, lambda f: F.struct(status(f).alias("status"), f.evidence.alias("evidence")))
 
@@ -59,3 +76,16 @@ def detect_appliances(folded: Column) -> dict[str, Column]:
     found = {name: detect(folded, terms) for name, terms in APPLIANCE_TERMS}
     bundle = detect(folded, KITCHEN_BUNDLE)
     return found | {n: let(F.struct(found[n].alias("own"), bundle.alias("all")), lambda s: with_bundle(s.own, s.all)) for n in ("fridge", "stove")}
+
+
+def included(found: Column) -> Column:
+    return found.status == "present"
+
+
+def flags(found: dict[str, Column]) -> dict[str, Column]:
+    """What is included, one by one and in pairs: laundry is washer and dryer, a kitchen is fridge and stove."""
+    each = {f"{name}_included": included(c) for name, c in found.items()}
+    return each | {
+        "has_laundry": included(found["washer"]) & included(found["dryer"]),
+        "has_kitchen": included(found["fridge"]) & included(found["stove"]),
+    }

@@ -14,7 +14,8 @@ AMOUNT = r"\d{1,3}(?:[ ,.]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?"
 WINDOW = 24
 TAIL = rf"(?=(.{{0,{WINDOW}}}))"
 MARKED = rf"(?:(?:\$|cad)\s*({AMOUNT})|({AMOUNT})\s*(?:\$|cad\b|dollars?\b)){TAIL}"
-AFTER_WORD = rf"(?:loyer|rent|prix|price)\s*:?\s*({AMOUNT})\b{TAIL}"
+MARKS, RENT_WORDS = ("$", "cad", "dollar"), ("loyer", "rent", "prix", "price")
+AFTER_WORD = rf"(?:{'|'.join(RENT_WORDS)})\s*:?\s*({AMOUNT})\b{TAIL}"
 MONEY = "decimal(18,2)"
 
 
@@ -50,7 +51,9 @@ def candidates(folded: Column) -> Column:
 
         return F.filter(F.transform(rows, one), lambda c: c.amount.isNotNull())
 
-    return let(read(MARKED, 2), lambda marked: F.when(F.size(marked) > 0, marked).otherwise(read(AFTER_WORD, 1)))
+    # Most texts have none of the words that a pattern needs, and are spared it.
+    marked, after = (F.when(contains_any(folded, words), read(p, n)) for words, p, n in ((MARKS, MARKED, 2), (RENT_WORDS, AFTER_WORD, 1)))
+    return let(marked, lambda found: F.when(F.size(found) > 0, found).otherwise(after))
 
 
 def monthly(amount: Column, period: Column) -> Column:

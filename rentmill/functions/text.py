@@ -15,6 +15,8 @@ from .lexicons import APOSTROPHES, DASHES, FRACTION_SLASH
 BLOCKS = ((0x80, 0x3000), (0x3000, 0x3040), (0xFB00, 0xFB50), (0xFE00, 0xFE70), (0xFF00, 0xFFF0))
 #: Lower-cased by its place in the word, so it is left to ``lower``.
 FINAL_SIGMA = "Σ"
+#: White space, but for single plain spaces.
+SPACES = r"[\s\x1c-\x1f\x{85}\x{1680}\x{2028}\x{2029}]{2,}|[\t-\r\x1c-\x1f\x{85}\x{1680}\x{2028}\x{2029}]"
 #: Characters that become several and are common in ads.
 FREQUENT = "½¼¾…"
 
@@ -57,10 +59,15 @@ def ranges(points: list[int], gap: int = 64) -> str:
 def fold(text: Column) -> Column:
     """Lower-case text without accents, with plain punctuation and single spaces; null becomes empty.
 
-    A pass of ``translate`` does most; the rare characters that become several are replaced only in texts that have
-    one. Characters outside ``BLOCKS`` only lose their case."""
+    A pass of ``translate`` does most, where a text has anything but plain ASCII; the rare characters that become
+    several are replaced only in texts that have one. Characters outside ``BLOCKS`` only lose their case."""
     source, target, several = tables()
     text = F.coalesce(text, F.lit(""))
+    text = F.when(text.rlike(r"[^\x00-_a-\x7f]"), unaccented(text, source, target, several)).otherwise(text)
+    return F.trim(F.regexp_replace(F.lower(text), SPACES, " "))
+
+
+def unaccented(text: Column, source: str, target: str, several: tuple[tuple[str, str], ...]) -> Column:
     for a, b in several:
         if a in FREQUENT:
             text = F.replace(text, F.lit(a), F.lit(b))
@@ -69,8 +76,7 @@ def fold(text: Column) -> Column:
     pairs = F.from_json(F.lit(json.dumps(rare)), "array<struct<a:string,b:string>>")
     some = ranges([ord(p["a"]) for p in rare])
     wide = lambda t: F.when(t.rlike(some), F.aggregate(pairs, t, lambda t, p: F.replace(t, p.a, p.b))).otherwise(t)
-    text = F.lower(F.translate(let(text, wide), source, target))
-    return F.trim(F.regexp_replace(text, r"[\s\x1c-\x1f\x{85}\x{1680}\x{2028}\x{2029}]+", " "))
+    return F.translate(let(text, wide), source, target)
 
 
 def literals(words: Sequence[str]) -> Column:

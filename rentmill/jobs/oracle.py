@@ -31,18 +31,17 @@ def first_of(t: str, words: Sequence[str]) -> str:
     return f"list_filter({quoted(words)}, lambda n: contains({t}, n))[1]"
 
 
-FOLDED = f"""
-    base AS ({synthetic.LISTINGS}),
-    folded AS (
-        SELECT *, {fold("price_text")} AS fp, {fold("title")} AS ft, {fold("description")} AS fd, {fold("location_text")} AS fl FROM base
-    ),
-    corpus AS (
-        SELECT *, array_to_string(list_filter([CASE WHEN length(title) > 0 THEN ft END, CASE WHEN length(description) > 0 THEN fd END],
-                  lambda s: s IS NOT NULL), ' . ') AS clauses,
-               array_to_string(list_filter([CASE WHEN length(title) > 0 THEN ft END, CASE WHEN length(description) > 0 THEN fd END],
-                  lambda s: s IS NOT NULL), ' ') AS line
-        FROM folded
-    )"""
+def folded(base: str, texts: Sequence[tuple[str, str]] = (("title", "ft"), ("description", "fd"))) -> str:
+    """CTEs base, folded and corpus of the rows of ``base``; ``texts`` are the columns of its corpus, raw and folded."""
+    given = ", ".join(f"CASE WHEN length({raw}) > 0 THEN {to} END" for raw, to in texts)
+    whole = f"list_filter([{given}], lambda s: s IS NOT NULL)"
+    return f"""
+    base AS ({base}),
+    folded AS (SELECT *, {fold("price_text")} AS fp, {", ".join(f"{fold(raw)} AS {to}" for raw, to in texts)}, {fold("location_text")} AS fl FROM base),
+    corpus AS (SELECT *, array_to_string({whole}, ' . ') AS clauses, array_to_string({whole}, ' ') AS line FROM folded)"""
+
+
+FOLDED = folded(synthetic.LISTINGS)
 
 
 def decimal(raw: str) -> str:
@@ -188,19 +187,20 @@ DWELLINGS = rf"""
 NEEDED = ("washer", "dryer", "fridge", "stove")
 
 
-def verdicts(most: int, needed: Sequence[str], name: str) -> str:
+def verdicts(most: int, needed: Sequence[str], name: str, least: int = 400, radius: int = 40, rooms: bool = False, anywhere: bool = False) -> str:
     absent = ", ".join(f"CASE WHEN {n}_status = 'absent' THEN '{n}_absent:' || {n}_evidence END" for n in needed)
     unknown = ", ".join(f"CASE WHEN {n}_status = 'unknown' THEN '{n}_unknown' END" for n in needed)
+    nowhere = "CASE WHEN province IS NULL THEN 'province_unknown' END"
     return f"""
     {name}0 AS (
         SELECT *, list_filter([CASE WHEN period IN ('week', 'day') THEN 'short_term_' || period || 'ly' END,
-                CASE WHEN monthly > {most} THEN 'over_budget' WHEN monthly < 400 THEN 'price_implausible' END,
-                CASE WHEN province IS NULL THEN 'province_unknown' WHEN province <> 'QC' THEN 'province_not_qc:' || lower(province) END,
-                CASE WHEN distance > 40 THEN 'outside_radius' END, {absent},
-                CASE WHEN is_room THEN 'room_rental:' || dwelling_evidence END], lambda r: r IS NOT NULL) AS rejections,
-            list_filter([CASE WHEN amount IS NULL THEN 'price_unknown' END,
+                CASE WHEN monthly > {most} THEN 'over_budget' WHEN monthly < {least} THEN 'price_implausible' END,
+                {"NULL" if anywhere else nowhere}, CASE WHEN province <> 'QC' THEN 'province_not_qc:' || lower(province) END,
+                CASE WHEN distance > {radius} THEN 'outside_radius' END, {absent},
+                CASE WHEN is_room AND NOT {rooms} THEN 'room_rental:' || dwelling_evidence END], lambda r: r IS NOT NULL) AS rejections,
+            list_filter([CASE WHEN amount IS NULL THEN 'price_unknown' END, {nowhere if anywhere else "NULL"},
                 CASE WHEN distance IS NULL AND NOT coalesce(list_contains({quoted(x.OUTAOUAIS_CITIES)}, city), false) THEN 'proximity_unverified' END,
-                {unknown}, CASE WHEN is_room IS NULL THEN 'dwelling_type_unknown' END], lambda r: r IS NOT NULL) AS unknowns
+                {unknown}, CASE WHEN is_room IS NULL AND NOT {rooms} THEN 'dwelling_type_unknown' END], lambda r: r IS NOT NULL) AS unknowns
         FROM dwelt
     ),
     {name} AS (
@@ -310,3 +310,49 @@ SQL: dict[str, str] = {
         SELECT platform, external_id, count(*) AS n_seen, count(*) FILTER (WHERE d > 0) AS n_drops, (max(d) FILTER (WHERE d > 0))::DOUBLE AS largest_drop FROM h GROUP BY ALL""",
     "new_matches": f"{UPSERTED} SELECT platform, external_id, price_cad::DOUBLE AS price_cad FROM after WHERE fresh AND verdict = 'match'",
 }
+
+SQL["page_details"] = """
+    SELECT o_orderkey AS page_id, 'kijiji' AS platform, 'a' || o_orderkey AS external_id, NULL::VARCHAR AS url, 'Premier' AS title, 'Laveuse ' || o_custkey AS description,
+        CASE o_orderkey % 3 WHEN 0 THEN '700 $' WHEN 1 THEN '125.00 $' ELSE '1250.50 $' END AS price_text, 'Hull J8Y 3X5' AS location_text,
+        45.5::DOUBLE AS latitude, (-75.75)::DOUBLE AS longitude,
+        CASE o_orderkey % 4 WHEN 0 THEN '2026-08-01 12:00' WHEN 1 THEN '2026-08-02 10:00' END AS posted_at, 'Frigo=Oui|Niveau=' || (o_orderkey % 5) AS attributes
+    FROM orders
+    UNION ALL
+    SELECT page_id, 'kijiji', 'c' || o_custkey, CASE WHEN page_id % 2 = 0 THEN 'https://www.kijiji.ca/v/1' ELSE 'https://example.org/v' END, 'Voisin ' || page_id,
+        NULL, NULL, NULL, NULL, NULL, NULL, ''
+    FROM (SELECT o_custkey, max(o_orderkey) AS page_id FROM orders GROUP BY 1)"""
+SQL["included_appliances"] = f"""{PARSED} SELECT platform, external_id, {", ".join(f"{n}_status = 'present' AS {n}_included" for n, _ in x.APPLIANCE_TERMS)},
+        washer_status = 'present' AND dryer_status = 'present' AS has_laundry, fridge_status = 'present' AND stove_status = 'present' AS has_kitchen FROM dwelt"""
+SQL["judge_loosely"] = f"""{PARSED}, {verdicts(1500, ("washer", "dryer"), "judged", least=500, radius=25, rooms=True, anywhere=True)}
+    SELECT platform, external_id, verdict, array_to_string(list_concat(rejections, unknowns), '|') AS reasons FROM judged"""
+SQL["card_details"] = f"""WITH {CARDS}, {PRICES}, {PLACES}, {OPENED}
+    SELECT 'facebook' AS platform, o.id AS external_id, md5(last.card.text) AS card_md5, CASE WHEN worth_opening AND c_name IS NOT NULL THEN 'Laveuse incluse. ' || c_name END AS detail_text
+    FROM opened o JOIN last ON last.id = o.id LEFT JOIN customer ON c_custkey::VARCHAR = o.id"""
+
+ATTRIBUTES = "replace(replace(attributes, '=', ' '), '|', ' ')"
+BOTH = f"""
+    SELECT platform, external_id, title, description, price_text, location_text, NULL::DOUBLE AS latitude, NULL::DOUBLE AS longitude, NULL::VARCHAR AS facts
+    FROM ({SQL["card_listings"]})
+    UNION ALL SELECT platform, external_id, title, NULL, price_text, location_text, latitude, longitude, {ATTRIBUTES} FROM ({SQL["page_listings"]})"""
+FACTS = (("title", "ft"), ("description", "fd"), ("facts", "fa"))
+ROW = "platform, external_id, verdict, array_to_string(list_concat(rejections, unknowns), '|') AS reasons, monthly::DECIMAL(10,2)::DOUBLE AS price_cad, period AS price_period"
+RUN = f"""WITH s AS (SELECT * FROM ({JUDGED} SELECT {ROW} FROM judged WHERE seq % 3 = 0)),
+    b AS (SELECT * FROM (WITH {folded(BOTH, FACTS)}, {PRICES}, {PLACES}, {APPLIANCES}, {DWELLINGS}, {verdicts(2000, NEEDED, "judged")} SELECT {ROW} FROM judged))"""
+SQL["run_table"] = f"""{RUN} SELECT platform, external_id, coalesce(b.verdict, s.verdict) AS verdict, CASE WHEN b.verdict IS NULL THEN s.reasons ELSE b.reasons END AS reasons,
+        CASE WHEN b.price_cad IS NULL THEN s.price_cad ELSE b.price_cad END AS price_cad, CASE WHEN b.price_cad IS NULL THEN s.price_period ELSE b.price_period END AS price_period,
+        CASE WHEN s.verdict IS NULL THEN '2026-08-01' ELSE '2026-07-01' END AS first_seen_at, CASE WHEN b.verdict IS NULL THEN '2026-07-01' ELSE '2026-08-01' END AS last_seen_at
+    FROM s FULL JOIN b USING (platform, external_id)"""
+COUNTED = " ".join(f", count(*) FILTER (WHERE b.verdict = '{v}') AS {v}" for v in ("match", "maybe", "reject"))
+SQL["run_document"] = f"""{RUN}, c AS (
+        SELECT b.platform, count(*) AS seen, count(*) FILTER (WHERE s.verdict IS NULL) AS new {COUNTED} FROM b LEFT JOIN s ON s.platform = b.platform AND s.external_id = b.external_id GROUP BY 1
+    ), r AS ({synthetic.RESPONSES}), e AS (
+        SELECT base, min({{'page': page, 'status': status, 'url': url}}) AS stop FROM r
+        WHERE status NOT IN (200, 403, 429, 503) OR (status = 200 AND n_listings = 0) GROUP BY base
+    ), w AS (SELECT arg_max('http ' || stop.status || ' on ' || stop.url, base) AS why FROM e WHERE stop.status <> 200), d AS (
+        SELECT platform, seen, new, seen - new AS updated, match, maybe, reject, CASE WHEN platform = 'kijiji' THEN (SELECT why FROM w) END AS why FROM c
+    )
+    SELECT 'summary of ' || platform AS what, platform || ': ' || seen || ' seen | ' || new || ' new | ' || updated || ' updated | ' || match || ' match | ' || maybe || ' maybe | '
+        || reject || ' reject' || coalesce(' | STOPPED EARLY (' || why || ')', '') AS said FROM d
+    UNION ALL SELECT 'failure of craigslist', 'moved'
+    UNION ALL SELECT 'report', '{{"ran_at":"2026-08-01T12:00:00Z","results":[' || string_agg('{{"platform":"' || platform || '","seen":' || seen || ',"new":' || new || ',"updated":' || updated
+        || ',"by_verdict":{{"match":' || match || ',"maybe":' || maybe || ',"reject":' || reject || '}},"stopped_early":' || coalesce('"' || why || '"', 'null') || '}}', ',' ORDER BY platform) || ']}}' FROM d"""

@@ -8,12 +8,15 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.appliances import flags
 from ..functions.geo import is_quebec
 from ..functions.price import is_short_term
 from ..functions.text import fold
 from ..operators import store, views
-from ..operators.criteria import APPLIANCES, Criteria, judge, judge_parsed, parse
+from ..operators.criteria import APPLIANCES, Criteria, judge, parse
 from ..sources import cards, frontier, pages, synthetic
+from ..tables import materialise
+from .run import Run, Source, run
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEY = ["platform", "external_id"]
@@ -77,11 +80,8 @@ def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored rows under a higher limit and without the laundry, by transition."""
-    parsed = parse(listings(spark, sf_dir))
-    strict = Criteria()
-    loose = replace(strict, max_rent=Decimal(2500), require_washer=False, require_dryer=False)
-    stored = judge_parsed(parsed, strict).select(*KEY, "verdict", F.col("reasons").alias("verdict_reasons"))
-    return store.transitions(store.replay(stored, judge_parsed(parsed, loose)))
+    loose = replace(Criteria(), max_rent=Decimal(2500), require_washer=False, require_dryer=False)
+    return store.transitions(store.replay_stored(_stored(spark, sf_dir), loose))
 
 
 def search_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,15 +104,47 @@ def page_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*keep, facts.alias("attributes"), F.contains("raw", F.lit("Vendeur")).alias("raw_names_seller"))
 
 
-def card_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards harvested, parsed, judged worth opening or not, and given their details."""
+def page_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings of pages with nested and repeated nodes, with their dates, descriptions and attributes."""
+    found = pages.latest(pages.listings(synthetic.derive(spark, sf_dir, synthetic.NESTED), "kijiji", "https://www.kijiji.ca"))
+    facts = F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e.key, F.lit("="), e.value)), "|")
+    posted = F.date_format("posted_at", "yyyy-MM-dd HH:mm").alias("posted_at")
+    keep = ["page_id", *KEY, "url", "title", "description", "price_text", "location_text", "latitude", "longitude"]
+    return found.select(*keep, posted, facts.alias("attributes"))
+
+
+def included(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parse(listings(spark, sf_dir))
+    return rows.select(*KEY, *(c.alias(n) for n, c in flags({n: F.col(n) for n in APPLIANCES}).items()))
+
+
+def loose_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged under other criteria: another centre and radius, rooms and unknown provinces allowed, no kitchen asked for."""
+    c = Criteria(max_rent=Decimal(1500), min_rent=Decimal(500), require_kitchen=False, exclude_rooms=False, radius_km=25.0, allow_unknown_province=True)
+    rows = judge(listings(spark, sf_dir), c)
+    return rows.select(*KEY, "verdict", F.array_join("reasons", "|").alias("reasons"))
+
+
+def detail_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``raw`` says of cards and their details."""
+    rows = _cards(spark, sf_dir)
+    text = lambda name: F.get_json_object("raw", f"$.{name}")
+    return rows.select(*KEY, text_md5(text("card_text")).alias("card_md5"), text("detail_text").alias("detail_text"))
+
+
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards harvested, parsed, told worth opening or not, and given their details."""
     anchors = synthetic.derive(spark, sf_dir, synthetic.CARDS)
     found = cards.to_listings(cards.harvest(anchors), "facebook")
     last = store.last_by(found, ("platform", "external_id"), ["page_id"])
     opened = cards.worth_opening(last)
     detail = spark.read.parquet(f"{sf_dir}/customer.parquet")
     detail = detail.select(F.col("c_custkey").cast("string").alias("external_id"), F.concat(F.lit("Laveuse incluse. "), "c_name").alias("detail"))
-    full = cards.enrich(opened, detail)
+    return cards.enrich(opened, detail)
+
+
+def card_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = _cards(spark, sf_dir)
     return full.select(*KEY, "url", "title", "price_text", "location_text", "worth_opening", "description")
 
 
@@ -171,6 +203,44 @@ def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*KEY, "verdict", number("price_cad"), "price_period", "city", "rooms", "washer", "seller_hash")
 
 
+def _run(spark: SparkSession, sf_dir: str) -> Run:
+    """Pages and cards of two sources, and a third source that fails, judged and upserted into what was stored."""
+
+    def page_rows() -> DataFrame:
+        rows = synthetic.derive(spark, sf_dir, synthetic.PAGES)
+        return pages.latest(pages.listings(rows, "kijiji", "https://www.kijiji.ca")).withColumn("seq", F.col("page_id"))
+
+    def card_rows() -> DataFrame:
+        return _cards(spark, sf_dir).withColumn("seq", F.lit(0).cast("long"))
+
+    def stopped() -> str | None:
+        return frontier.stopped_early(synthetic.derive(spark, sf_dir, synthetic.RESPONSES))
+
+    def broken() -> DataFrame:
+        raise ConnectionError("moved")
+
+    rows = store.to_rows(judge(listings(spark, sf_dir).where("seq % 3 = 0")))
+    stored = store.first_snapshot(rows, F.lit("2026-07-01 00:00:00").cast("timestamp"))
+    sources = [Source("kijiji", page_rows, stopped), Source("craigslist", broken), Source("facebook", card_rows)]
+    return run(spark, sources, materialise(stored, "stored"), F.lit(RUN_AT).cast("timestamp"))
+
+
+def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after a run, written as the next snapshot and read back."""
+    rows = materialise(_run(spark, sf_dir).table, "snapshot")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return rows.select(*KEY, "verdict", F.array_join("verdict_reasons", "|").alias("reasons"), number("price_cad"), "price_period", day("first_seen_at"), day("last_seen_at"))
+
+
+def run_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a run, the summary of each platform that ran, and the platforms that failed."""
+    done = _run(spark, sf_dir)
+    report = store.report_document(done.counters, F.lit(RUN_AT).cast("timestamp"))
+    lines = store.summary(done.counters).select(F.concat(F.lit("summary of "), "platform").alias("what"), F.col("summary").alias("said"))
+    failed = spark.createDataFrame([(f"failure of {name}", "moved" if "moved" in why else why) for name, why in done.failures.items()], "what string, said string")
+    return report.select(F.lit("report").alias("what"), F.col("report").alias("said")).unionByName(lines).unionByName(failed)
+
+
 def inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.inspect(listings(spark, sf_dir))
 
@@ -190,7 +260,13 @@ QUERIES: dict[str, Query] = {
     "search_frontier": search_frontier,
     "kept_pages": kept_pages,
     "page_listings": page_listings,
+    "page_details": page_details,
     "card_listings": card_listings,
+    "card_details": detail_texts,
+    "included_appliances": included,
+    "judge_loosely": loose_verdicts,
+    "run_table": run_table,
+    "run_document": run_document,
     "upsert_listings": upserted,
     "run_counters": counters,
     "run_summary": run_summary,

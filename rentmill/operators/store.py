@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .criteria import APPLIANCES, Criteria, judge_parsed
+
 KEY = ("platform", "external_id")
 VERDICTS = ("match", "maybe", "reject")
 SELLER_FIELDS = ("sellerName", "posterName", "userName")
@@ -84,9 +86,17 @@ def run_counters(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return seen.join(fresh, "platform", "left").select("platform", "seen", new.alias("new"), (F.col("seen") - new).alias("updated"), *VERDICTS)
 
 
+def with_stops(counters: DataFrame, ran: DataFrame) -> DataFrame:
+    """Counters of each platform that ``ran`` (platform, stopped_early), zero where it had no listing."""
+    rows = ran.join(counters, "platform", "left")
+    return rows.select("platform", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("seen", "new", "updated", *VERDICTS)), "stopped_early")
+
+
 def summary(counters: DataFrame) -> DataFrame:
     parts = [F.concat(F.col("platform"), F.lit(": "), F.col("seen"), F.lit(" seen"))]
     parts += [F.concat_ws(" ", F.col(c), F.lit(c)) for c in ("new", "updated", *VERDICTS)]
+    if "stopped_early" in counters.columns:
+        parts.append(F.when(F.length("stopped_early") > 0, F.concat(F.lit("STOPPED EARLY ("), "stopped_early", F.lit(")"))))
     return counters.select("platform", F.concat_ws(" | ", *parts).alias("summary"))
 
 
@@ -101,6 +111,14 @@ def run_report(counters: DataFrame, run_at: Column) -> DataFrame:
     return counters.select("platform", body.alias("report"))
 
 
+def report_document(counters: DataFrame, run_at: Column) -> DataFrame:
+    """The report of a run: one JSON text with ``ran_at`` and the results of all platforms (a handful of rows)."""
+    results = F.struct("platform", "seen", "new", "updated", F.struct(*VERDICTS).alias("by_verdict"), "stopped_early")
+    rows = counters.agg(F.array_sort(F.collect_list(results)).alias("results"))
+    ran_at = F.date_format(run_at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ran_at")
+    return rows.select(F.to_json(F.struct(ran_at, "results"), {"ignoreNullFields": "false"}).alias("report"))
+
+
 def new_matches(stored: DataFrame, run_at: Column) -> DataFrame:
     return stored.where((F.col("first_seen_at") == run_at) & (F.col("verdict") == "match"))
 
@@ -121,5 +139,21 @@ def replay(stored: DataFrame, judged: DataFrame) -> DataFrame:
     return rows.select(*KEY, "before", "after", F.array_except("old", "now").alias("gone"), F.array_except("now", "old").alias("came"))
 
 
+def replay_stored(stored: DataFrame, c: Criteria) -> DataFrame:
+    """``replay`` of stored rows by their own parsed columns: nothing is parsed again and nothing is joined. The phrases
+    behind reasons aren't stored, so codes are what is compared."""
+    price = F.struct(F.col("price_cad").alias("amount"), F.col("price_period").alias("period"), F.col("price_cad").alias("monthly"))
+    none = F.lit("")
+    rows = stored.withColumns({
+        "price": F.when(F.col("price_cad").isNotNull(), price),
+        "place": F.struct("province", "city", "distance_km"),
+        "dwelling": F.struct(F.col("is_room_rental").alias("is_room"), none.alias("evidence")),
+        **{n: F.struct(F.col(n).alias("status"), none.alias("evidence")) for n in APPLIANCES},
+    }).withColumnsRenamed({"verdict": "before", "verdict_reasons": "_before"})
+    code = lambda reasons: F.transform(reasons, lambda r: F.substring_index(r, ":", 1))
+    rows = judge_parsed(rows, c).withColumns({"old": code(F.col("_before")), "now": code(F.col("reasons"))})
+    return rows.select(*KEY, "before", F.col("verdict").alias("after"), F.array_except("old", "now").alias("gone"), F.array_except("now", "old").alias("came"))
+
+
 def transitions(changes: DataFrame) -> DataFrame:
     return changes.groupBy("before", "after").agg(F.count("*").alias("n"))

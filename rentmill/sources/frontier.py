@@ -35,3 +35,12 @@ def kept_responses(responses: DataFrame) -> DataFrame:
     rows = responses.join(ends, "base", "left").withColumn("stop_reason", reason)
     kept = (F.col("status") == 200) & (F.col("end").isNull() | (F.col("page") < F.col("end.page")))
     return rows.where(kept).drop("end")
+
+
+def stopped_early(responses: DataFrame) -> str | None:
+    """Why the last search (by base) that met a bad status stopped; None if none did. One row reaches the driver."""
+    bad = (F.col("status") != 200) & ~F.col("status").isin(*BLOCKED)
+    empty = (F.col("status") == 200) & (F.coalesce("n_listings", F.lit(0)) == 0)
+    ends = responses.where(bad | empty).groupBy("base").agg(F.min(F.struct("page", "status", "url")).alias("end"))
+    reason = F.concat(F.lit("http "), F.col("end.status"), F.lit(" on "), F.col("end.url"))
+    return ends.where("end.status <> 200").agg(F.max_by(reason, "base")).first()[0]

@@ -80,6 +80,19 @@ PAGES = f"""
     SELECT o_orderkey AS page_id, '<html><script type="a" id="__NEXT_DATA__" x>{{"props":{{"a":[' || {NODE} || '],"n":1}}}}</script></html>' AS html
     FROM orders
 """
+#: Pages with nested and repeated nodes, object-shaped attributes, dates and descriptions. Of the two nodes with the
+#: page's own id the first is visited last; the related node's id is that of the customer, on all of their pages.
+NESTED = """
+    SELECT o_orderkey AS page_id, '<SCRIPT id="__NEXT_DATA__">{"props":{"list":[{"wrap":[{"adId":"a' || CAST(o_orderkey AS VARCHAR(20)) ||
+           '","name":"Premier","priceLabel":' || CASE o_orderkey % 3 WHEN 0 THEN '"700 $"' WHEN 1 THEN '12500' ELSE '1250.5' END ||
+           ',"postalCode":"J8Y 3X5","address":{"label":"Hull","lat":45.5,"lng":-75.75},"sortingDate":"' ||
+           CASE o_orderkey % 4 WHEN 0 THEN '2026-08-01T12:00:00Z' WHEN 1 THEN '2026-08-02 10:00:00' WHEN 2 THEN 'yesterday' ELSE '' END ||
+           '","snippet":"Laveuse ' || CAST(o_custkey AS VARCHAR(20)) || '","details":{"Frigo":"Oui","Niveau":' || CAST(o_orderkey % 5 AS VARCHAR(20)) || '}}]}' ||
+           ',{"adId":"a' || CAST(o_orderkey AS VARCHAR(20)) || '","name":"Second","price":1,"related":{"deep":[[{"listingId":"c' ||
+           CAST(o_custkey AS VARCHAR(20)) || '","title":"Voisin ' || CAST(o_orderkey AS VARCHAR(20)) || '","url":"' ||
+           CASE WHEN o_orderkey % 2 = 0 THEN '/v/1' ELSE 'https://example.org/v' END || '","location":null,"body":""}]]}}]}}</SCRIPT>' AS html
+    FROM orders
+"""
 CARDS = f"""
     SELECT o_orderkey AS ord, CAST(floor(o_orderkey / 64) AS BIGINT) AS page_id,
            'https://example.org/marketplace/item/' || CAST(o_custkey AS VARCHAR(20)) || '/?ref=' || CAST(o_orderkey AS VARCHAR(20)) AS href,
@@ -94,5 +107,6 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     name = next(t for t in ("events", "orders") if f"FROM {t}" in sql)
     spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"rentmill_{name}")
     rows = spark.sql(sql.replace(f"FROM {name}", f"FROM rentmill_{name}"))
-    # The small files are one partition; parsing is bound by CPU, so its rows are spread.
-    return rows.repartition(spark.sparkContext.defaultParallelism)
+    # Parsing is bound by CPU: what the reader gives in fewer splits than there are cores, a small table, is spread.
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

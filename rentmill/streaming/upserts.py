@@ -26,14 +26,26 @@ def latest_version(spark: SparkSession, table: str) -> int | None:
     return max(done, default=None)
 
 
-def writer(table: str, c: Criteria = Criteria()) -> Callable[[DataFrame, int], None]:
+def prune(spark: SparkSession, table: str, before: int, keep: int) -> None:
+    """Remove all but the last ``keep`` snapshots that are older than the version ``before``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("v="))
+    for name in [n for n in old if int(n[2:]) < before][:-keep]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path, name), True)
+
+
+def writer(table: str, c: Criteria = Criteria(), keep: int = 2) -> Callable[[DataFrame, int], None]:
     """A function for ``foreachBatch``: judge the batch, upsert it, write the next snapshot. Each batch has its own
-    version, so a batch that is run again overwrites only its own snapshot and starts from the one before it."""
+    version, so a batch that is run again overwrites only its own snapshot and starts from the one before it; with a
+    column ``landed_at`` its latest value is the time of the batch, so the second attempt writes the same rows. Of
+    earlier snapshots the last ``keep`` stay."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = to_rows(judge(batch, c))
-        at = F.current_timestamp()
+        landed = batch.agg(F.max("landed_at")).first()[0] if "landed_at" in batch.columns else None
+        at = F.current_timestamp() if landed is None else F.lit(landed)
         version = latest_version(spark, table)
         if version is not None and version >= batch_id:
             version = batch_id - 1 if batch_id else None
@@ -42,6 +54,7 @@ def writer(table: str, c: Criteria = Criteria()) -> Callable[[DataFrame, int], N
         else:
             after = upsert(spark.read.parquet(snapshot_path(table, version)), rows, at)
         after.write.mode("overwrite").parquet(snapshot_path(table, batch_id))
+        prune(spark, table, batch_id, keep)
 
     return apply
 
