@@ -11,8 +11,10 @@ The trie is a distributed table, as large as the corpus makes it:
 1. Each task counts the words and (ORDER + 1)-grams of its documents; a map-side combined aggregate gives one row an
    item: its occurrences in training rows.
 2. Grams are dealt by the last two bytes of their context, so all contexts of two bytes or more that share them meet
-   in one task, which walks the trie for each gram in numpy. Only counts of single bytes after a single byte are
-   broadcast, 258 * 257 of them at most.
+   in one task, which walks the trie for each gram in numpy. Where more than ``GROUP`` grams share two bytes they are
+   dealt by three, and so on up to the whole context: groups stay bounded as the corpus grows. What such a group lacks,
+   the counts after the shorter contexts that were divided, is broadcast: at most 257 for each GROUP grams of the
+   corpus and length; and so are counts of single bytes after a single byte, 258 * 257 at most.
 3. Chunks of documents ask for the value of each distinct word and gram they contain (see ``chunks``), by a join on
    the item; replies meet the texts by chunk, where values are gathered and summed.
 
@@ -22,12 +24,13 @@ symbol is one of 257. Repeated rows count and are scored each. Extra columns sta
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from .chunks import CHUNK, chunk_count, dealt, unpacked
@@ -37,7 +40,8 @@ from .words import U64, Words, slices, text_bytes
 ORDER, BITS = 5, 9
 SYMBOLS, END, START = 257, 256, 257
 SLICE_BYTES, HELD, CHUNK_BYTES = 2 << 20, 1_000_000, 16 << 20
-BUCKETS = 1024
+#: Buckets at least, and grams of a bucket, about; grams with the same end of their contexts that are not divided.
+BUCKETS, BUCKET, GROUP = 1024, 1_000_000, 4_000_000
 
 
 def low(keys: np.ndarray, symbols: int) -> np.ndarray:
@@ -107,13 +111,22 @@ def count_items(docs: DataFrame) -> DataFrame:
 
 
 class Short:
-    """Contexts of one byte and of none, as dense counts[context, symbol]."""
+    """Contexts of one byte and of none, as dense counts[context, symbol]; for each longer length the ends of contexts
+    that are ``divided``, and the counts of the symbols after these (keys, counts)."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, divided: dict[int, np.ndarray], after: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.divided, self.after = divided, after
         self.one = np.zeros((START + 1, SYMBOLS), np.int64)
         np.add.at(self.one, (keys >> BITS, low(keys, 1)), counts)
         self.none = self.one.sum(axis=0)
 
+    def depths(self, keys: np.ndarray) -> np.ndarray:
+        """The length of the end of its context by which each gram is dealt."""
+        depth = np.full(len(keys), 2)
+        for k, ends in self.divided.items():
+            depth[np.isin(low(keys >> BITS, k), ends)] = k + 1
+        return depth
+
 
 def find(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = np.searchsorted(known, keys)
@@ -131,7 +144,7 @@ def find_many(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def walk(keys: np.ndarray, counts: np.ndarray, short: Short) -> np.ndarray:
     """log10 probability of each gram's last symbol after the others. ``keys`` hold all grams, with their ``counts``
-    in training, that share the last two symbols of their contexts."""
+    in training, that are dealt by the same end of their contexts."""
     values = np.zeros(len(keys))
     todo = np.ones(len(keys), bool)
     out_total, out_kinds = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
@@ -149,10 +162,17 @@ def walk(keys: np.ndarray, counts: np.ndarray, short: Short) -> np.ndarray:
         out_total[seen], out_kinds[seen] = shorter[seen], kinds[seen]
 
     levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    trained = counts > 0
+    depths = short.depths(keys)
     for k in range(ORDER, 1, -1):
-        own, where = np.unique(low(keys[trained], k + 1), return_inverse=True)
-        levels[k] = own, np.bincount(where, weights=counts[trained], minlength=len(own)).astype(np.int64)
+        # Counts after contexts that lie here whole are added up, those after divided ones are given.
+        whole = (counts > 0) & (depths <= k)
+        own, where = np.unique(low(keys[whole], k + 1), return_inverse=True)
+        n = np.bincount(where, weights=counts[whole], minlength=len(own)).astype(np.int64)
+        if k in short.after:
+            own, n = np.concatenate((own, short.after[k][0])), np.concatenate((n, short.after[k][1]))
+            order = np.argsort(own)
+            own, n = own[order], n[order]
+        levels[k] = own, n
     for k in range(ORDER, 1, -1):
         own, n = levels[k]
         suffix = low(own, k)
@@ -174,6 +194,36 @@ def walk(keys: np.ndarray, counts: np.ndarray, short: Short) -> np.ndarray:
     return values
 
 
+def tail(symbols: int) -> Column:
+    """The last symbols of the column ``key``."""
+    return F.col("key").bitwiseAND(F.lit((1 << BITS * symbols) - 1))
+
+
+def divide(items: DataFrame) -> tuple[dict[int, np.ndarray], dict[int, tuple[np.ndarray, np.ndarray]], int]:
+    """For each length the ends of contexts of which ``items`` (key, n) have more than GROUP grams, and the counts of the
+    symbols after these; and a number of buckets. At most one end a length for each GROUP grams reaches the driver,
+    and 257 counts for each; of two symbols all ends, 258 * 258 at most."""
+    divided: dict[int, np.ndarray] = {}
+    after: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    rows, total = items, 0
+    for k in range(2, ORDER):
+        end = F.shiftrightunsigned(tail(k + 1), BITS)
+        sizes = rows.groupBy(end.alias("end")).agg(F.count("*").alias("size"))
+        if k == 2:
+            found = sizes.collect()
+            total = sum(r["size"] for r in found)
+        else:
+            found = sizes.where(F.col("size") > GROUP).collect()
+        ends = sorted(r.end for r in found if r["size"] > GROUP)
+        if not ends:
+            break
+        rows = rows.where(end.isin(ends))
+        counts = rows.where("n > 0").groupBy(tail(k + 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+        divided[k] = np.array(ends, np.int64)
+        after[k] = tuple(counts.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
+    return divided, after, max(BUCKETS, math.ceil(total / BUCKET))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, train, ...) with n_tokens, n_known, train_tokens, base_score and score."""
     docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -183,20 +233,26 @@ def score(docs: DataFrame) -> DataFrame:
     ends = docs.where("train").count()
     facts = items.where("key < 0 AND n > 0").agg(F.sum("n"), F.count("*")).first()
     train_tokens, kinds = (facts[0] or 0) + ends, facts[1] + (ends > 0)
-    pairs = items.where("key >= 0 AND n > 0").groupBy(F.expr(f"key & {(1 << 2 * BITS) - 1}").alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    short = docs.sparkSession.sparkContext.broadcast(Short(*(pairs.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))))
+    grams_ = items.where("key >= 0")
+    pairs = grams_.where("n > 0").groupBy(tail(2).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    divided, after, buckets = divide(grams_)
+    table = Short(*(pairs.column(c).to_numpy().astype(np.int64) for c in ("key", "n")), divided, after)
+    short = docs.sparkSession.sparkContext.broadcast(table)
 
     def price(table: pa.Table) -> pa.Table:
         keys, n = (table.column(c).to_numpy() for c in ("key", "n"))
         return pa.table({"key": keys, "value": walk(keys, n, short.value)})
 
-    bucket = F.pmod(F.hash(F.shiftrightunsigned("key", BITS).bitwiseAND(F.lit((1 << 2 * BITS) - 1))), F.lit(BUCKETS))
-    trie = items.where("key >= 0").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(price, "key long, value double")
+    # Without a divided end the group of a gram is the last two symbols of its context.
+    group = F.shiftrightunsigned(tail(3), BITS)
+    for k, large in divided.items():
+        group = F.when(F.shiftrightunsigned(tail(k + 1), BITS).isin(large.tolist()), F.shiftrightunsigned(tail(k + 2), BITS)).otherwise(group)
+    trie = grams_.withColumn("bucket", F.pmod(F.hash(group), F.lit(buckets))).groupBy("bucket").applyInArrow(price, "key long, value double")
     lexicon = items.where("key < 0 AND n > 0").select("key", F.col("n").cast("double").alias("value"))
     known = lexicon.unionByName(trie)
 
     count = chunk_count(docs, chunk_bytes=CHUNK_BYTES)
-    mine = dealt(docs, count)
+    mine = dealt(docs, count, by=F.xxhash64("doc_id", "text"))
     names = docs.columns
 
     def ask(table: pa.Table) -> pa.Table:

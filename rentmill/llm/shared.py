@@ -1,21 +1,13 @@
-"""Tables kept in the folder that all executors share."""
+"""What the operators share: small batches of texts, and keys of rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import MapType
 
+from ..tables import materialise, new_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local one only where the session names none, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="rentmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+__all__ = ["content_hash", "materialise", "new_path", "row_keys", "shared_dir", "small_batches"]
 
 
 def small_batches(spark: SparkSession, size: str = "4m") -> None:
@@ -27,19 +19,6 @@ def small_batches(spark: SparkSession, size: str = "4m") -> None:
         spark.conf.set(name, size)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/rentmill/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: this cuts the lineage, and a lost
-    executor costs a reread, not a recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_keys(*more: str) -> dict[str, Column]:
     """128 bits of doc_id, text and ``more``, equal for repeated rows only; ``key`` alone may be equal by chance."""
     names = ["doc_id", "text", *more]

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import StructType
 
-from .chunks import CHUNK, ORDER, chunk_count, chunk_of, dealt, unpacked
+from .chunks import CHUNK, NULLS, ORDER, chunk_count, chunk_of, dealt, unpacked
 from .shared import small_batches
 from .words import Words, covered
 
@@ -111,7 +111,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         at, own = words.windows(length)
         place = _among(own, known)
         hit = place >= 0
-        hit[hit] = least[place[hit]] < order[words.documents[at[hit]]]
+        hit[hit] = np.minimum(least[place[hit]], NULLS) < np.minimum(order[words.documents[at[hit]]], NULLS)
         gone = covered(at[hit], length, len(words))
         stays = np.nonzero(~gone)[0]
         kept = np.concatenate(([0], np.cumsum(~gone)))[words.starts]

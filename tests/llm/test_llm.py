@@ -112,6 +112,19 @@ def test_ppm_scores_like_the_trie(docs: DataFrame, empty: DataFrame) -> None:
     assert untrained.score == pytest.approx(-(len(untrained.text.encode()) + 1) * math.log10(257))
 
 
+def test_ppm_divides_large_groups(docs: DataFrame, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Groups of grams that are dealt by three, four or five bytes of context give the same scores."""
+    table = docs.where("length(text) < 3000").select("doc_id", "text").withColumn("train", F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False)))
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text)
+    whole = sorted(ppm.score(table).collect(), key=key)
+    items = ppm.count_items(table).where("key >= 0").cache()
+    for size, deepest in ((200, 2), (20, 3), (3, 4)):
+        monkeypatch.setattr(ppm, "GROUP", size)
+        assert max(ppm.divide(items)[0]) >= deepest
+        parts = sorted(ppm.score(table).collect(), key=key)
+        assert [r.score for r in parts] == pytest.approx([r.score for r in whole])
+
+
 def test_ppm_knows_contexts_of_five_bytes(spark: SparkSession) -> None:
     """Only the fifth byte back tells which symbol follows."""
     texts = ["1abcdX"] * 5 + ["2abcdY"] * 5 + ["1abcdY"]
