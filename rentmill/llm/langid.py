@@ -6,7 +6,8 @@ its prediction is the softmax of their mean log-probabilities.
 
 Training, in numpy on the driver, takes a bounded sample: at most ``rows`` labelled rows, evenly from all languages
 and chosen by a hash of doc_id, and ``windows_per_row`` windows spread over each whole text, so at most
-rows * windows_per_row * window bytes (6 MB as set) reach the driver. Prediction is one narrow pass; a task holds one
+rows * windows_per_row * window bytes (6 MB as set) reach the driver. Of the labels the ``labels`` most frequent are
+learned (by name where they tie); rows with others are not learned from. Prediction is one narrow pass; a task holds one
 slice of 8 MB of text, or one document. The broadcast weights have a fixed size.
 
 Texts that are null or without a letter get ``und`` and the score 0, as do all where nothing could be learned. Rows
@@ -30,6 +31,7 @@ from .words import slices, text_bytes
 @dataclass(frozen=True)
 class Settings:
     rows: int = 4000
+    labels: int = 256
     windows_per_row: int = 6
     window: int = 256
     widths: tuple[int, ...] = (2, 3, 4)
@@ -177,13 +179,13 @@ def has_letter(text: Column) -> Column:
 def learn(labelled: DataFrame, settings: Settings = Settings()) -> Network | None:
     """Train on a bounded sample of ``labelled`` (doc_id, text, lang); None if no row has a label and a letter."""
     s = settings
-    counts = {r.lang: r["count"] for r in labelled.where("lang IS NOT NULL").groupBy("lang").count().collect()}
+    sizes = labelled.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.labels)
+    counts = {r.lang: r["count"] for r in sizes.collect()}
     if not counts:
         return None
     each = max(1, s.rows // len(counts))
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, each / n)).otherwise(share)
+    shares = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))))
+    share = F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     sample = labelled.withColumn("_rm_place", place).where((place < share) & has_letter(F.col("text")))
     sample = sample.orderBy("_rm_place", "doc_id", "lang").limit(s.rows).select("doc_id", "lang", "text")
