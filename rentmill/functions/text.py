@@ -11,8 +11,9 @@ from pyspark.sql import Column, functions as F
 
 from .lexicons import APOSTROPHES, DASHES, FRACTION_SLASH
 
-#: Blocks whose characters are folded: Latin to CJK punctuation, presentation forms, full-width forms.
-BLOCKS = ((0x80, 0x3000), (0x3000, 0x3040), (0xFB00, 0xFB50), (0xFE00, 0xFE70), (0xFF00, 0xFFF0))
+#: Blocks whose characters are folded: Latin to CJK squares, compatibility ideographs and presentation forms, full-width
+#: forms, mathematical letters and digits, enclosed letters, more compatibility ideographs.
+BLOCKS = ((0x80, 0x3400), (0xF900, 0xFB50), (0xFE00, 0xFE70), (0xFF00, 0xFFF0), (0x1D400, 0x1D800), (0x1F100, 0x1F200), (0x2F800, 0x2FA20))
 #: Lower-cased by its place in the word, so it is left to ``lower``.
 FINAL_SIGMA = "Σ"
 #: White space, but for single plain spaces.

@@ -36,6 +36,16 @@ def test_fold(spark: SparkSession) -> None:
     assert spark.createDataFrame([(None,)], "t string").select(fold(F.col("t"))).first()[0] == ""
 
 
+def test_fold_styled_letters(spark: SparkSession) -> None:
+    """Mathematical and enclosed letters, squares such as m2, and compatibility ideographs."""
+    texts = ["\U0001d5f9\U0001d5ee\U0001d603\U0001d5f2\U0001d602\U0001d600\U0001d5f2 \U0001d7cf\U0001d7d2\U0001d7d3\U0001d7ce $", "80 \u33a1", "\U0001f130\U0001f131"]
+    points = [*range(0x3000, 0x3400), *range(0xF900, 0xFB50), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200), *range(0x2F800, 0x2FA20)]
+    texts += [f"a{chr(i)}b" for i in points if unicodedata.category(chr(i)) != "Cn"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4).select("t", fold(F.col("t")).alias("f")).collect()
+    wrong = [(r.t, r.f, expected_fold(r.t)) for r in rows if r.f != expected_fold(r.t)]
+    assert not wrong, wrong[:5]
+
+
 def test_attribute_text_and_corpus(spark: SparkSession) -> None:
     row = spark.createDataFrame([({"b": "É", "a": None},)], "m map<string,string>")
     assert row.select(attribute_text(F.col("m"))).first()[0] == "a None b É"
