@@ -99,6 +99,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lloyd import cluster
+
+    return cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .va_file import hard_negatives
+
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    other = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", other), F.col("vec_id") % 100 == 0)
+
+
+def op13_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .voronoi import nearest_neighbours
+
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -117,6 +137,9 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_links": op8_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc": op10_warc,
+    "op11_lloyd": op11_lloyd,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_voronoi": op13_voronoi,
     "pipeline": pipeline,
 }
 
@@ -284,3 +307,64 @@ SQL["op8_jaccard_links"] = f"""
     """
 #: The join says the number of links, too; its former query of its own remains registered.
 SQL["op8_jaccard_join"] = SQL["op8_jaccard_links"]
+
+
+def _integers(factor: int) -> str:
+    """Rows of embeddings that take part, as ``v``, a list of integers."""
+    return f"""SELECT *, list_transform(embedding, lambda x: floor({factor} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+def _product(a: str, b: str) -> str:
+    return f"list_sum(list_transform(range(1, greatest(len({a}), len({b})) + 1), lambda i: coalesce({a}[i], 0) * coalesce({b}[i], 0)))::BIGINT"
+
+
+def _assigned(n: int) -> str:
+    squares = "list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i])))::BIGINT"
+    return f"""a{n} AS MATERIALIZED (SELECT vec_id, k.v, min({{'d': {squares}, 'c': c.c}}) AS best FROM k, c{n} c GROUP BY ALL)"""
+
+
+def _moved(n: int) -> str:
+    return f"""m{n} AS MATERIALIZED (
+            SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM (
+                SELECT best.c AS c, i, sum(v[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT best, v, unnest(range(1, 65)) AS i FROM a{n - 1}) GROUP BY ALL)
+            GROUP BY c),
+        c{n} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{n - 1} c LEFT JOIN m{n} m ON m.c = c.c)"""
+
+
+def _lloyd(rounds: int = 10, clusters: int = 8) -> str:
+    """Lloyd's rounds, one after the other: c<n> are the centroids after n rounds, a<n> the assignments to them."""
+    steps = ", ".join(f"{_assigned(n)}, {_moved(n + 1)}" for n in range(rounds))
+    return f"""
+        WITH k AS MATERIALIZED (SELECT * FROM ({_integers(1024)}) WHERE len(v) = 64),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT v, sha256('3:' || vec_id) AS h FROM k ORDER BY h LIMIT {clusters})),
+        {steps}, {_assigned(rounds)}
+        SELECT a.vec_id, c.c::INT AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY c.c))::BIGINT AS cluster_inertia,
+               (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} c ON c.c = a.best.c
+    """
+
+
+SQL |= {
+    "op11_lloyd": _lloyd(),
+    "op12_hard_negatives": f"""
+        WITH e AS MATERIALIZED (
+            SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM ({_integers(256)}) WHERE label IS NOT NULL
+        ), s AS MATERIALIZED (
+            SELECT a.vec_id AS a, a.label AS la, b.vec_id AS b, b.label AS lb, {_product("a.v", "b.v")} AS score
+            FROM e a JOIN e b ON b.vec_id IS DISTINCT FROM a.vec_id WHERE a.vec_id % 100 = 0
+        ), p AS (
+            SELECT a, b, score FROM s WHERE la = lb QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b NULLS LAST) <= 5
+        )
+        SELECT p.a AS anchor_id, p.b AS positive_id, (row_number() OVER w)::INT AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.a = p.a WHERE la <> lb AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+        WINDOW w AS (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b NULLS LAST) QUALIFY row_number() OVER w <= 10
+    """,
+    "op13_voronoi": f"""
+        WITH e AS MATERIALIZED ({_integers(256)})
+        SELECT q.vec_id AS query_id, (row_number() OVER w)::INT AS rank, x.vec_id, {_product("q.v", "x.v")} AS score
+        FROM e q JOIN e x ON x.vec_id IS DISTINCT FROM q.vec_id WHERE q.vec_id % 50 = 0
+        WINDOW w AS (PARTITION BY q.vec_id ORDER BY {_product("q.v", "x.v")} DESC, x.vec_id NULLS LAST) QUALIFY row_number() OVER w <= 5
+    """,
+}
