@@ -225,28 +225,34 @@ COUNTERS = f"""{BEFORE}, k AS (SELECT DISTINCT platform, external_id FROM batch)
     c AS (SELECT platform, seen, coalesce(new, 0) AS new, seen - coalesce(new, 0) AS updated, match, maybe, reject FROM s LEFT JOIN n USING (platform))"""
 STORED = f"""{JUDGED}, stored AS (
         SELECT platform, external_id, verdict, array_to_string(list_concat(rejections, unknowns), ', ') AS reasons,
-               monthly::DECIMAL(10,2) AS price_cad, period AS price_period, city, rooms, washer_status AS washer, dryer_status AS dryer,
+               monthly::DECIMAL(10,2) AS price_cad, period AS price_period, city, rooms, title, washer_status AS washer, dryer_status AS dryer,
                sha256('Vendeur ' || CAST(seq % 10 AS VARCHAR)) AS seller_hash
         FROM judged
     )"""
 
-CARDS = f"""
+
+def cards(landing: str = "0") -> str:
+    """CTEs of the cards, the last of each item among those that land together (``landing``: when a page's do)."""
+    return f"""
     anchors AS ({synthetic.CARDS}),
     items AS (SELECT page_id, split_part(split_part(href, '/item/', 2), '/', 1) AS id, split_part(href, '?', 1) AS href, text, ord FROM anchors),
     best AS (SELECT page_id, id, arg_max(struct_pack(href := href, text := text), [length(text), -ord]) AS card FROM items GROUP BY ALL),
-    last AS (SELECT id, arg_max(card, page_id) AS card FROM best GROUP BY id),
-    lines AS (SELECT id, card.href AS href, list_filter(list_transform(string_split(card.text, chr(10)), lambda s: trim(s)), lambda s: s <> '' AND NOT starts_with(s, 'Publié')) AS ls FROM last),
+    last AS (SELECT id, {landing} AS landing, arg_max(card, page_id) AS card FROM best GROUP BY ALL),
+    lines AS (SELECT id, landing, card.href AS href, list_filter(list_transform(string_split(card.text, chr(10)), lambda s: trim(s)), lambda s: s <> '' AND NOT starts_with(s, 'Publié')) AS ls FROM last),
     priced_line AS (SELECT *, list_filter(ls, lambda s: contains(s, '$'))[1] AS price_text FROM lines),
     others AS (SELECT *, list_filter(ls, lambda s: s IS DISTINCT FROM price_text) AS rest FROM priced_line),
     split AS (SELECT *, len(rest) > 1 AND length(rest[-1]) <= 48 AS is_placed FROM others),
     titled AS (
-        SELECT id, href, price_text, CASE WHEN is_placed THEN rest[-1] END AS location_text,
+        SELECT id, landing, href, price_text, CASE WHEN is_placed THEN rest[-1] END AS location_text,
                list_sort(list_transform(range(1, len(rest) + 1 - is_placed::INT), lambda i: {{'n': length(rest[i]), 'i': -i, 's': rest[i]}}), 'DESC')[1].s AS title
         FROM split
     ),
     corpus AS (
         SELECT *, {fold("price_text")} AS fp, {fold("title")} AS ft, '' AS fd, {fold("location_text")} AS fl, NULL::DOUBLE AS latitude, NULL::DOUBLE AS longitude FROM titled
     )"""
+
+
+CARDS = cards()
 OPENED = f"""
     opened AS (
         SELECT *, NOT coalesce(monthly > 2000 OR period IN ('week', 'day'), false) AND NOT coalesce(length(location_text) > 0 AND province <> 'QC', false) AS worth_opening
@@ -273,7 +279,7 @@ SQL: dict[str, str] = {
     "newest_maybe": f"""{STORED} SELECT platform, external_id, verdict,
             CASE WHEN price_cad IS NULL THEN '$?' ELSE '$' || format('{{:,}}', round_even(price_cad, 0)::BIGINT) END AS price,
             CASE WHEN rooms > 0 THEN floor(rooms)::BIGINT::VARCHAR || '½' ELSE '?' END AS rooms, coalesce(city, '?') AS city,
-            'w:' || washer || ' d:' || dryer AS laundry, CASE WHEN verdict <> 'match' THEN reasons ELSE '' END AS why
+            'w:' || washer || ' d:' || dryer AS laundry, coalesce(title, '') AS title, '' AS url, CASE WHEN verdict <> 'match' THEN reasons ELSE '' END AS why
         FROM stored WHERE verdict = 'maybe' ORDER BY platform, external_id LIMIT 50""",
     "inspect_listings": f"""WITH base AS ({synthetic.LISTINGS}) SELECT platform, external_id, title, price_text, location_text,
             substr(coalesce(description, ''), 1, 500) AS description, (SELECT count(*) FROM base) AS total
@@ -295,7 +301,7 @@ SQL: dict[str, str] = {
                 WHEN 2 THEN printf('%.2f $', (o_orderkey % 3000)::DOUBLE) ELSE '950 $ / mois' END AS price_text,
             CASE o_orderkey % 3 WHEN 0 THEN 'Gatineau, QC' WHEN 1 THEN 'Hull J8X 1A1' END AS location_text,
             CASE WHEN o_orderkey % 3 = 1 THEN 45.5::DOUBLE END AS latitude, CASE WHEN o_orderkey % 3 = 1 THEN (-75.75)::DOUBLE END AS longitude,
-            'Vendeur ' || o_custkey AS seller_name, 'Four=' || (o_custkey % 7) || '|Laveuse=Oui' AS attributes, false AS raw_names_seller
+            'Vendeur ' || o_custkey AS seller_name, 'Four=' || (o_custkey % 7) || '|Laveuse=Oui' AS attributes, false AS raw_names_seller, true AS raw_is_json
         FROM o WHERE n = 1""",
     "upsert_listings": f"""{UPSERTED} SELECT platform, external_id, verdict, price_cad::DOUBLE AS price_cad, CASE WHEN price_cad IS NOT NULL THEN 'month' END AS price_period,
             CASE WHEN fresh THEN '2026-08-01' ELSE '2026-07-01' END AS first_seen_at, CASE WHEN seen THEN '2026-08-01' ELSE '2026-07-01' END AS last_seen_at
@@ -315,11 +321,12 @@ SQL["page_details"] = """
     SELECT o_orderkey AS page_id, 'kijiji' AS platform, 'a' || o_orderkey AS external_id, NULL::VARCHAR AS url, 'Premier' AS title, 'Laveuse ' || o_custkey AS description,
         CASE o_orderkey % 3 WHEN 0 THEN '700 $' WHEN 1 THEN '125.00 $' ELSE '1250.50 $' END AS price_text, 'Hull J8Y 3X5' AS location_text,
         45.5::DOUBLE AS latitude, (-75.75)::DOUBLE AS longitude,
-        CASE o_orderkey % 4 WHEN 0 THEN '2026-08-01 12:00' WHEN 1 THEN '2026-08-02 10:00' END AS posted_at, 'Frigo=Oui|Niveau=' || (o_orderkey % 5) AS attributes
+        CASE o_orderkey % 4 WHEN 0 THEN '2026-08-01 12:00' WHEN 1 THEN '2026-08-02 10:00' END AS posted_at, 'Frigo=Oui|Niveau=' || (o_orderkey % 5) AS attributes,
+        'Vendeur ' || o_custkey AS seller_name, true AS raw_is_json, false AS raw_names_seller
     FROM orders
     UNION ALL
     SELECT page_id, 'kijiji', 'c' || o_custkey, CASE WHEN page_id % 2 = 0 THEN 'https://www.kijiji.ca/v/1' ELSE 'https://example.org/v' END, 'Voisin ' || page_id,
-        NULL, NULL, NULL, NULL, NULL, NULL, ''
+        NULL, NULL, NULL, NULL, NULL, NULL, '', NULL, true, false
     FROM (SELECT o_custkey, max(o_orderkey) AS page_id FROM orders GROUP BY 1)"""
 SQL["included_appliances"] = f"""{PARSED} SELECT platform, external_id, {", ".join(f"{n}_status = 'present' AS {n}_included" for n, _ in x.APPLIANCE_TERMS)},
         washer_status = 'present' AND dryer_status = 'present' AS has_laundry, fridge_status = 'present' AND stove_status = 'present' AS has_kitchen FROM dwelt"""
@@ -349,10 +356,37 @@ SQL["run_document"] = f"""{RUN}, c AS (
         SELECT base, min({{'page': page, 'status': status, 'url': url}}) AS stop FROM r
         WHERE status NOT IN (200, 403, 429, 503) OR (status = 200 AND n_listings = 0) GROUP BY base
     ), w AS (SELECT arg_max('http ' || stop.status || ' on ' || stop.url, base) AS why FROM e WHERE stop.status <> 200), d AS (
-        SELECT platform, seen, new, seen - new AS updated, match, maybe, reject, CASE WHEN platform = 'kijiji' THEN (SELECT why FROM w) END AS why FROM c
+        SELECT platform, seen, new, seen - new AS updated, match, maybe, reject, CASE WHEN platform = 'kijiji' THEN (SELECT why FROM w) ELSE 'unknown: no log' END AS why FROM c
     )
     SELECT 'summary of ' || platform AS what, platform || ': ' || seen || ' seen | ' || new || ' new | ' || updated || ' updated | ' || match || ' match | ' || maybe || ' maybe | '
         || reject || ' reject' || coalesce(' | STOPPED EARLY (' || why || ')', '') AS said FROM d
     UNION ALL SELECT 'failure of craigslist', 'moved'
+    UNION ALL SELECT 'failure of facebook', 'no log'
     UNION ALL SELECT 'report', '{{"ran_at":"2026-08-01T12:00:00Z","results":[' || string_agg('{{"platform":"' || platform || '","seen":' || seen || ',"new":' || new || ',"updated":' || updated
         || ',"by_verdict":{{"match":' || match || ',"maybe":' || maybe || ',"reject":' || reject || '}},"stopped_early":' || coalesce('"' || why || '"', 'null') || '}}', ',' ORDER BY platform) || ']}}' FROM d"""
+
+RUN_NUMBER = "CASE WHEN run_day < DATE '2024-01-11' THEN 0 WHEN run_day < DATE '2024-01-21' THEN 1 ELSE 2 END"
+NUMBERED = f"r AS (SELECT *, {RUN_NUMBER} AS run FROM ({synthetic.RUNS}))"
+SQL["table_runs"] = f"""WITH {NUMBERED}
+    SELECT platform, external_id, arg_max(verdict, [run, seq]) AS verdict, (arg_max(price_cad, [run, seq]) FILTER (WHERE price_cad IS NOT NULL))::DOUBLE AS price_cad,
+        CASE WHEN count(price_cad) > 0 THEN 'month' END AS price_period, '2026-08-0' || (min(run) + 1) AS first_seen_at, '2026-08-0' || (max(run) + 1) AS last_seen_at
+    FROM r GROUP BY platform, external_id"""
+SQL["table_counters"] = f"""WITH {NUMBERED}, f AS (SELECT platform, external_id, min(run) AS run FROM r GROUP BY ALL),
+    n AS (SELECT platform, run, count(*) AS new FROM f GROUP BY ALL)
+    SELECT run, platform, count(*) AS seen, coalesce(any_value(new), 0) AS new, count(*) - coalesce(any_value(new), 0) AS updated,
+        count(*) FILTER (WHERE verdict = 'match') AS match, count(*) FILTER (WHERE verdict = 'maybe') AS maybe, count(*) FILTER (WHERE verdict = 'reject') AS reject
+    FROM r LEFT JOIN n USING (platform, run) GROUP BY run, platform"""
+LANDED = f"""
+    SELECT landing, 'facebook' AS platform, id AS external_id, href AS url, title, CASE WHEN worth_opening AND c_name IS NOT NULL THEN 'Laveuse incluse. ' || c_name END AS description,
+        price_text, location_text, NULL::DOUBLE AS latitude, NULL::DOUBLE AS longitude, NULL::VARCHAR AS facts
+    FROM (WITH {cards("page_id % 3")}, {PRICES}, {PLACES}, {OPENED} SELECT opened.*, c_name FROM opened LEFT JOIN customer ON c_custkey::VARCHAR = id)
+    UNION ALL SELECT page_id % 3, platform, external_id, url, title, NULL, price_text, location_text, latitude, longitude, {ATTRIBUTES}
+    FROM ({SQL["page_listings"].replace("PARTITION BY o_orderkey % 5000", "PARTITION BY o_orderkey % 3, o_orderkey % 5000")})"""
+SQL["streamed_table"] = f"""WITH b AS (SELECT * FROM (WITH {folded(LANDED, FACTS)}, {PRICES}, {PLACES}, {APPLIANCES}, {DWELLINGS}, {verdicts(2000, NEEDED, "judged")}
+        SELECT landing, url, title, {ROW} FROM judged))
+    SELECT platform, external_id, arg_max({{'u': url}}, landing).u AS url, arg_max({{'t': title}}, landing).t AS title, arg_max(verdict, landing) AS verdict,
+        arg_max(reasons, landing) AS reasons, arg_max(price_cad, landing) FILTER (WHERE price_cad IS NOT NULL) AS price_cad,
+        arg_max(price_period, landing) FILTER (WHERE price_cad IS NOT NULL) AS price_period
+    FROM b GROUP BY platform, external_id"""
+SQL["replay_from_raw"] = f"""WITH {folded(BOTH, FACTS)}, {PRICES}, {PLACES}, {APPLIANCES}, {DWELLINGS}, {verdicts(2000, NEEDED, "judged")}, {verdicts(2500, ("fridge", "stove"), "loose")}
+    SELECT platform, j.verdict AS before, l.verdict AS after, count(*) AS n, 0 AS n_differ FROM judged j JOIN loose l USING (platform, external_id) GROUP BY ALL"""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .criteria import APPLIANCES, Criteria, judge_parsed
 
 KEY = ("platform", "external_id")
 VERDICTS = ("match", "maybe", "reject")
+#: What ``collapse`` counts beside a key's row.
+BOOK = ("n", *(f"n_{v}" for v in VERDICTS))
 SELLER_FIELDS = ("sellerName", "posterName", "userName")
 
 
@@ -22,8 +26,9 @@ def seller_hash(name: Column) -> Column:
     return F.when(F.length(name) > 0, F.sha2(name.cast("binary"), 256))
 
 
-def to_rows(judged: DataFrame) -> DataFrame:
-    """Judged listings (with ``seq``, their order in the batch) as rows of the stored table, without times."""
+def to_rows(judged: DataFrame, *more: str) -> DataFrame:
+    """Judged listings (with ``seq``, their order in the batch) as rows of the stored table, without times, and ``more``
+    of their columns. An empty payload is stored as null."""
     return judged.select(
         *KEY, "url", "title", "description",
         F.col("price.monthly").try_cast("decimal(10,2)").alias("price_cad"), F.col("price.period").alias("price_period"),
@@ -31,12 +36,13 @@ def to_rows(judged: DataFrame) -> DataFrame:
         "dwelling.rooms", "dwelling.bedrooms", "dwelling.unit_type", F.col("dwelling.is_room").alias("is_room_rental"),
         *(F.col(f"{n}.status").alias(n) for n in ("washer", "dryer", "fridge", "stove", "dishwasher")),
         "verdict", F.col("reasons").alias("verdict_reasons"), "posted_at",
-        seller_hash(F.col("seller_name")).alias("seller_hash"), "raw", "seq",
+        seller_hash(F.col("seller_name")).alias("seller_hash"), F.nullif(F.col("raw"), F.lit("{}")).alias("raw"), "seq", *more,
     )
 
 
 def collapse(batch: DataFrame) -> DataFrame:
-    """One row a key: the last by ``seq``, with the last price that isn't null, and ``n``, the rows it stands for.
+    """One row a key: the last by ``seq``, with the last price that isn't null, ``n``, the rows it stands for, and ``n_``
+    with each verdict, those of them that have it.
 
     One aggregate combined map-side, so a key that is repeated without bound costs no sort."""
     price = F.struct("price_cad", "price_period")
@@ -44,17 +50,19 @@ def collapse(batch: DataFrame) -> DataFrame:
     done = batch.groupBy(*KEY).agg(
         F.max_by(F.struct(*others), F.col("seq")).alias("row"),
         F.max_by(F.when(F.col("price_cad").isNotNull(), price), F.when(F.col("price_cad").isNotNull(), F.col("seq"))).alias("price"),
-        F.count("*").alias("n"),
+        F.count("*").alias("n"), *(F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in VERDICTS),
     )
-    return done.select(*KEY, "row.*", "price.price_cad", "price.price_period", "n")
+    return done.select(*KEY, "row.*", "price.price_cad", "price.price_period", *BOOK)
 
 
-def upsert(stored: DataFrame, batch: DataFrame, run_at: Column) -> DataFrame:
+def merge(stored: DataFrame, batch: DataFrame, run_at: Column) -> DataFrame:
     """The table after a run: new keys are added, known ones overwritten except first_seen_at, and except the price
-    where the batch has none; others stay. A full outer equi-join on the key; the result is a new snapshot."""
-    t, b = stored.alias("t"), collapse(batch).drop("n").withColumn("_new", F.lit(True)).alias("b")
-    rows = t.join(b, list(KEY), "full_outer")
-    new = F.col("b._new").isNotNull()
+    where the batch has none; others stay. A full outer equi-join on the key. Beside the columns of ``stored`` a row has
+    the ``BOOK`` columns, null unless the batch has its key, and ``fresh``, whether the key is new: what the counters of
+    the run are sums of."""
+    t, b = stored.alias("t"), collapse(batch).alias("b")
+    rows = t.withColumn("_known", F.lit(True)).alias("t").join(b, list(KEY), "full_outer")
+    new = F.col("b.n").isNotNull()
     priced = F.col("b.price_cad").isNotNull()
     out = []
     for c in stored.columns:
@@ -69,11 +77,42 @@ def upsert(stored: DataFrame, batch: DataFrame, run_at: Column) -> DataFrame:
         else:
             value = F.when(new, F.col(f"b.{c}")).otherwise(F.col(f"t.{c}"))
         out.append(value.alias(c))
-    return rows.select(*out)
+    return rows.select(*out, *(F.col(f"b.{c}").alias(c) for c in BOOK), F.col("t._known").isNull().alias("fresh"))
+
+
+def upsert(stored: DataFrame, batch: DataFrame, run_at: Column) -> DataFrame:
+    """``merge`` without what is kept for the counters."""
+    return merge(stored, batch, run_at).select(stored.columns)
+
+
+def first_merge(batch: DataFrame, run_at: Column) -> DataFrame:
+    """``merge`` into a table that doesn't exist yet."""
+    rows = collapse(batch).withColumns({"first_seen_at": run_at, "last_seen_at": run_at, "fresh": F.lit(True)})
+    return rows.select(*(c for c in rows.columns if c not in (*BOOK, "fresh")), *BOOK, "fresh")
 
 
 def first_snapshot(batch: DataFrame, run_at: Column) -> DataFrame:
-    return collapse(batch).drop("n").withColumns({"first_seen_at": run_at, "last_seen_at": run_at})
+    return first_merge(batch, run_at).drop(*BOOK, "fresh")
+
+
+COUNTERS = f"platform string, seen long, new long, updated long, {', '.join(f'{v} long' for v in VERDICTS)}"
+
+
+def counting(platforms: Sequence[str]) -> list[Column]:
+    """Sums over the rows of ``merge`` that ``counted`` turns into counters, to be observed while these are written.
+    Platforms are few."""
+    out = []
+    for i, p in enumerate(platforms):
+        mine = F.col("platform") == p
+        out += [F.coalesce(F.sum(F.when(mine, F.col(c))), F.lit(0)).alias(f"{c}_{i}") for c in BOOK]
+        out.append(F.count_if(mine & F.col("fresh")).alias(f"fresh_{i}"))
+    return out or [F.count("*").alias("rows")]
+
+
+def counted(platforms: Sequence[str], seen: dict[str, int]) -> list[tuple]:
+    """Rows of ``COUNTERS`` of the platforms that the batch has."""
+    rows = [(p, *(seen[f"{c}_{i}"] for c in (*BOOK, "fresh"))) for i, p in enumerate(platforms)]
+    return [(p, n, fresh, n - fresh, *verdicts) for p, n, *verdicts, fresh in rows if n]
 
 
 def run_counters(stored: DataFrame, batch: DataFrame) -> DataFrame:
@@ -87,8 +126,9 @@ def run_counters(stored: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def with_stops(counters: DataFrame, ran: DataFrame) -> DataFrame:
-    """Counters of each platform that ``ran`` (platform, stopped_early), zero where it had no listing."""
-    rows = ran.join(counters, "platform", "left")
+    """Counters of each platform that ``ran`` (platform, stopped_early), zero where it had no listing, and of those
+    that only listings name."""
+    rows = ran.groupBy("platform").agg(F.max("stopped_early").alias("stopped_early")).join(counters, "platform", "full_outer")
     return rows.select("platform", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("seen", "new", "updated", *VERDICTS)), "stopped_early")
 
 
@@ -130,28 +170,37 @@ def price_history(observations: DataFrame) -> DataFrame:
     return rows.withColumn("drop", F.when(F.col("price_cad") < F.col("previous"), F.col("previous") - F.col("price_cad")))
 
 
+def reason_codes(reasons: Column) -> Column:
+    """Reasons without the phrases behind them."""
+    return F.transform(reasons, lambda r: F.substring_index(r, ":", 1))
+
+
 def replay(stored: DataFrame, judged: DataFrame) -> DataFrame:
     """Verdict changes between the stored rows and the same rows judged under other criteria (key, verdict,
     reasons): the reasons that went and came, by code."""
-    code = lambda reasons: F.transform(reasons, lambda r: F.substring_index(r, ":", 1))
-    before = stored.select(*KEY, F.col("verdict").alias("before"), code(F.col("verdict_reasons")).alias("old"))
-    rows = before.join(judged.select(*KEY, F.col("verdict").alias("after"), code(F.col("reasons")).alias("now")), list(KEY))
+    before = stored.select(*KEY, F.col("verdict").alias("before"), reason_codes(F.col("verdict_reasons")).alias("old"))
+    rows = before.join(judged.select(*KEY, F.col("verdict").alias("after"), reason_codes(F.col("reasons")).alias("now")), list(KEY))
     return rows.select(*KEY, "before", "after", F.array_except("old", "now").alias("gone"), F.array_except("now", "old").alias("came"))
 
 
-def replay_stored(stored: DataFrame, c: Criteria) -> DataFrame:
-    """``replay`` of stored rows by their own parsed columns: nothing is parsed again and nothing is joined. The phrases
-    behind reasons aren't stored, so codes are what is compared."""
+def as_parsed(stored: DataFrame) -> DataFrame:
+    """Stored rows with the parts that judging asks for, made of their own parsed columns. The phrases behind reasons
+    aren't stored."""
     price = F.struct(F.col("price_cad").alias("amount"), F.col("price_period").alias("period"), F.col("price_cad").alias("monthly"))
     none = F.lit("")
-    rows = stored.withColumns({
+    return stored.withColumns({
         "price": F.when(F.col("price_cad").isNotNull(), price),
         "place": F.struct("province", "city", "distance_km"),
         "dwelling": F.struct(F.col("is_room_rental").alias("is_room"), none.alias("evidence")),
         **{n: F.struct(F.col(n).alias("status"), none.alias("evidence")) for n in APPLIANCES},
-    }).withColumnsRenamed({"verdict": "before", "verdict_reasons": "_before"})
-    code = lambda reasons: F.transform(reasons, lambda r: F.substring_index(r, ":", 1))
-    rows = judge_parsed(rows, c).withColumns({"old": code(F.col("_before")), "now": code(F.col("reasons"))})
+    })
+
+
+def replay_stored(stored: DataFrame, c: Criteria) -> DataFrame:
+    """``replay`` of stored rows by their own parsed columns: nothing is parsed again and nothing is joined. Reasons are
+    compared by code."""
+    rows = as_parsed(stored).withColumnsRenamed({"verdict": "before", "verdict_reasons": "_before"})
+    rows = judge_parsed(rows, c).withColumns({"old": reason_codes(F.col("_before")), "now": reason_codes(F.col("reasons"))})
     return rows.select(*KEY, "before", F.col("verdict").alias("after"), F.array_except("old", "now").alias("gone"), F.array_except("now", "old").alias("came"))
 
 

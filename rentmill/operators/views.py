@@ -24,7 +24,7 @@ def display(stored: DataFrame) -> DataFrame:
     why = F.when(F.col("verdict") != "match", F.array_join("verdict_reasons", ", ")).otherwise("")
     return stored.select(
         "platform", "external_id", "verdict", shown_price(F.col("price_cad")).alias("price"), shown_rooms(F.col("rooms")).alias("rooms"),
-        F.coalesce("city", F.lit("?")).alias("city"), laundry.alias("laundry"), why.alias("why"),
+        F.coalesce("city", F.lit("?")).alias("city"), laundry.alias("laundry"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("title", "url")), why.alias("why"),
     )
 
 

@@ -87,10 +87,10 @@ NESTED = """
            '","name":"Premier","priceLabel":' || CASE o_orderkey % 3 WHEN 0 THEN '"700 $"' WHEN 1 THEN '12500' ELSE '1250.5' END ||
            ',"postalCode":"J8Y 3X5","address":{"label":"Hull","lat":45.5,"lng":-75.75},"sortingDate":"' ||
            CASE o_orderkey % 4 WHEN 0 THEN '2026-08-01T12:00:00Z' WHEN 1 THEN '2026-08-02 10:00:00' WHEN 2 THEN 'yesterday' ELSE '' END ||
-           '","snippet":"Laveuse ' || CAST(o_custkey AS VARCHAR(20)) || '","details":{"Frigo":"Oui","Niveau":' || CAST(o_orderkey % 5 AS VARCHAR(20)) || '}}]}' ||
-           ',{"adId":"a' || CAST(o_orderkey AS VARCHAR(20)) || '","name":"Second","price":1,"related":{"deep":[[{"listingId":"c' ||
+           '","snippet":"Laveuse ' || CAST(o_custkey AS VARCHAR(20)) || '","details":{"Frigo":"Oui","Niveau":' || CAST(o_orderkey % 5 AS VARCHAR(20)) || '},"sellerName":"Vendeur ' || CAST(o_custkey AS VARCHAR(20)) || '"}]}' ||
+           ',{"adId":"a' || CAST(o_orderkey AS VARCHAR(20)) || '","name":"Second","price":1,"posterName":"Vendeur","related":{"deep":[[{"listingId":"c' ||
            CAST(o_custkey AS VARCHAR(20)) || '","title":"Voisin ' || CAST(o_orderkey AS VARCHAR(20)) || '","url":"' ||
-           CASE WHEN o_orderkey % 2 = 0 THEN '/v/1' ELSE 'https://example.org/v' END || '","location":null,"body":""}]]}}]}}</SCRIPT>' AS html
+           CASE WHEN o_orderkey % 2 = 0 THEN '/v/1' ELSE 'https://example.org/v' END || '","location":null,"body":"","userName":{"name":"Vendeur"}}]]}}]}}</SCRIPT>' AS html
     FROM orders
 """
 CARDS = f"""

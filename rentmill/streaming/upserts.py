@@ -1,65 +1,91 @@
-"""Keeping the listings table up to date from a stream of landed batches."""
+"""Keeping the table of listings up to date from streams: of ready listings, or of landed pages and cards.
+
+Every batch is one upsert of the table that batch runs use too, noted in its ledger under the stream's id. A batch that
+is run again, because the job died between the table's commit and the stream's own, is recognised there. A new
+checkpoint is a new stream: it reads what has landed from the start and goes on from the table as it is."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.criteria import Criteria, judge
-from ..operators.store import first_snapshot, to_rows, upsert
-
-
-def snapshot_path(table: str, version: int) -> str:
-    return f"{table}/v={version:020d}"
-
+from ..operators.store import KEY, last_by, to_rows
+from ..operators.table import ListingsTable, stage
+from ..sources import cards, landed, pages
 
-def latest_version(spark: SparkSession, table: str) -> int | None:
-    """The newest complete snapshot under ``table``, before none. Names are listed through Spark's file systems."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("v=")]
-    done = [int(p.getName()[2:]) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return max(done, default=None)
 
+def stream_id(spark: SparkSession) -> str | None:
+    """The id of the stream whose batch this thread runs. It lives in the checkpoint."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId")
 
-def prune(spark: SparkSession, table: str, before: int, keep: int) -> None:
-    """Remove all but the last ``keep`` snapshots that are older than the version ``before``."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("v="))
-    for name in [n for n in old if int(n[2:]) < before][:-keep]:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path, name), True)
 
-
-def writer(table: str, c: Criteria = Criteria(), keep: int = 2) -> Callable[[DataFrame, int], None]:
-    """A function for ``foreachBatch``: judge the batch, upsert it, write the next snapshot. Each batch has its own
-    version, so a batch that is run again overwrites only its own snapshot and starts from the one before it; with a
-    column ``landed_at`` its latest value is the time of the batch, so the second attempt writes the same rows. Of
-    earlier snapshots the last ``keep`` stay."""
+def writer(
+    table: ListingsTable, c: Criteria = Criteria(), keep: int = 2, stream: str | None = None, listings: Callable[[DataFrame], DataFrame] = lambda batch: batch
+) -> Callable[[DataFrame, int], None]:
+    """A function for ``foreachBatch``: take the ``listings`` (with ``seq``) of a batch, judge and upsert them. With a
+    column ``landed_at`` its latest value is the time of the batch, observed as the batch is written. The last ``keep``
+    versions of the table stay, and the one that the batch started from. ``stream`` names the stream in the ledger; by
+    default it is the running stream's id."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = to_rows(judge(batch, c))
-        landed = batch.agg(F.max("landed_at")).first()[0] if "landed_at" in batch.columns else None
-        at = F.current_timestamp() if landed is None else F.lit(landed)
-        version = latest_version(spark, table)
-        if version is not None and version >= batch_id:
-            version = batch_id - 1 if batch_id else None
-        if version is None:
-            after = first_snapshot(rows, at)
-        else:
-            after = upsert(spark.read.parquet(snapshot_path(table, version)), rows, at)
-        after.write.mode("overwrite").parquet(snapshot_path(table, batch_id))
-        prune(spark, table, batch_id, keep)
+        name, last = stream or stream_id(batch.sparkSession), table.newest()
+        if name and last and last.ledger.get(name, -1) >= batch_id:
+            return
+        rows = listings(batch)
+        at = "landed_at" if "landed_at" in rows.columns else None
+        staged = stage(to_rows(judge(rows, c), *filter(None, [at])), last.parts if last else table.new_parts, at)
+        run_at = F.current_timestamp() if staged.latest is None else F.lit(staged.latest)
+        table.upsert([staged], run_at, (name, batch_id) if name else None)
+        table.expire(keep)
 
     return apply
 
 
-def run(listings: DataFrame, table: str, checkpoint: str, c: Criteria = Criteria()) -> StreamingQuery:
+def run(listings: DataFrame, table: ListingsTable, checkpoint: str, c: Criteria = Criteria()) -> StreamingQuery:
     """Start keeping ``table`` from a stream of ``listings`` (with ``seq``); ends when all that has landed is done."""
     query = listings.writeStream.foreachBatch(writer(table, c)).option("checkpointLocation", checkpoint)
     return query.trigger(availableNow=True).start()
+
+
+@dataclass(frozen=True)
+class Feeds:
+    """Folders of landed pages and cards, their kind of file, and how they become listings. ``details`` are texts of
+    opened cards (external_id, detail); they are read anew with each batch."""
+
+    pages: str
+    cards: str
+    details: DataFrame
+    kind: str = "parquet"
+    page_platform: str = "kijiji"
+    host: str = "https://www.kijiji.ca"
+    card_platform: str = "facebook"
+    #: Most files of each folder in a batch.
+    files: int | None = None
+
+    def stream(self, spark: SparkSession) -> DataFrame:
+        """Pages and cards as one stream, told apart by ``what``, so that one batch, and one commit, holds both."""
+        both = ((self.pages, landed.PAGES, "page"), (self.cards, landed.CARDS, "card"))
+        first, second = (
+            landed.read(spark, path, schema, self.kind, stream=True, files=self.files).withColumn("what", F.lit(what)) for path, schema, what in both
+        )
+        return first.unionByName(second, allowMissingColumns=True)
+
+    def listings(self, batch: DataFrame, c: Criteria = Criteria()) -> DataFrame:
+        """The listings of a batch: of each key the last, by page."""
+        found = pages.listings(batch.where("what = 'page'").select("page_id", "html"), self.page_platform, self.host)
+        of_pages = pages.latest(found).drop("visit")
+        anchors = batch.where("what = 'card'").select("page_id", "ord", "href", "text")
+        of_cards = last_by(cards.to_listings(cards.harvest(anchors), self.card_platform), KEY, ["page_id"])
+        of_cards = cards.enrich(cards.worth_opening(of_cards, c), self.details).drop("worth_opening")
+        return of_pages.unionByName(of_cards).withColumn("seq", F.col("page_id"))
+
+
+def run_feeds(feeds: Feeds, table: ListingsTable, checkpoint: str, c: Criteria = Criteria(), keep: int = 2) -> StreamingQuery:
+    """Start keeping ``table`` from landed pages and cards; ends when all that has landed is done."""
+    apply = writer(table, c, keep, listings=lambda batch: feeds.listings(batch, c))
+    query = feeds.stream(table.spark).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return query.trigger(availableNow=True).start()

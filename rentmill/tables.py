@@ -32,3 +32,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, size: int) -> None:
+    """Send batches of about ``size`` bytes to Python, or of one row, so that neither side buffers many long texts. This
+    is read when a query runs, so it stays set for the session; a smaller setting of the session's own is left alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    as_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if not 0 < as_bytes(spark.conf.get(name)) <= size:
+        spark.conf.set(name, str(size))

@@ -112,21 +112,22 @@ def test_upsert(spark: SparkSession) -> None:
     assert (counts.seen, counts.new, counts.updated, counts.match, counts.maybe, counts.reject) == (3, 1, 2, 2, 1, 0)
     once = store.upsert(stored, second, at(2))
     assert sorted(map(str, store.upsert(once, second, at(2)).collect())) == sorted(map(str, once.collect()))
-    shown = views.display(once.withColumns({"rooms": F.lit(4.5), "city": F.lit(None).cast("string"), "washer": F.lit("present"), "dryer": F.lit(None).cast("string"), "verdict_reasons": F.array(F.lit("r1"), F.lit("r2"))}))
+    shown = views.display(once.withColumns({"url": F.lit(None).cast("string"), "rooms": F.lit(4.5), "city": F.lit(None).cast("string"), "washer": F.lit("present"), "dryer": F.lit(None).cast("string"), "verdict_reasons": F.array(F.lit("r1"), F.lit("r2"))}))
     row = shown.where("external_id = '3'").first()
     assert (row.price, row.rooms, row.city, row.laundry, row.why) == ("$7", "4½", "?", "w:present d:?", "")
+    assert (row.title, row.url) == ("y", "")
     hashes = spark.createDataFrame([("Jean",), ("Jean",), (None,)], "n string").select(store.seller_hash(F.col("n"))).collect()
     assert hashes[0][0] == hashes[1][0] and len(hashes[0][0]) == 64 and hashes[2][0] is None
 
 
 def test_stream_of_batches(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
+    from rentmill.operators.table import ListingsTable
     from rentmill.streaming import upserts
 
-    landing, out = f"{tmp_path}/landing", f"{tmp_path}/table"
+    landing, out = f"{tmp_path}/landing", ListingsTable(spark, f"{tmp_path}/table", 4)
     for seq, price in ((1, "1 450 $/mois"), (2, "1 500 $/mois")):
         table(spark, [{**IDEAL, "price_text": price}, {**IDEAL, "external_id": f"n{seq}"}]).withColumn("seq", F.lit(seq)).write.mode("append").parquet(landing)
         stream = spark.readStream.schema(spark.read.parquet(landing).schema).parquet(landing)
         upserts.run(stream, out, f"{tmp_path}/checkpoint").awaitTermination(120)
-    version = upserts.latest_version(spark, out)
-    got = {r.external_id: r for r in spark.read.parquet(upserts.snapshot_path(out, version)).collect()}
+    got = {r.external_id: r for r in out.read().collect()}
     assert set(got) == {"1", "n1", "n2"} and got["1"].price_cad == 1500 and got["1"].first_seen_at < got["1"].last_seen_at

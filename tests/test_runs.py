@@ -12,6 +12,7 @@ from rentmill.functions.appliances import flags
 from rentmill.jobs.run import Source, run
 from rentmill.operators import store
 from rentmill.operators.criteria import APPLIANCES, Criteria, judge
+from rentmill.operators.table import ListingsTable
 from rentmill.sources import frontier, landed, pages
 from rentmill.streaming import upserts
 
@@ -51,6 +52,12 @@ def test_one_failing_source_does_not_sink_the_other(spark: SparkSession) -> None
     report = json.loads(store.report_document(second.counters, at(2)).first().report)
     assert report["ran_at"] == "2026-08-02T00:00:00Z" and [r["platform"] for r in report["results"]] == ["empty", "facebook"]
     assert report["results"][0] == {"platform": "empty", "seen": 0, "new": 0, "updated": 0, "by_verdict": {"match": 0, "maybe": 0, "reject": 0}, "stopped_early": None}
+    def lost() -> str | None:
+        raise FileNotFoundError("no log")
+
+    third = run(spark, [Source("kijiji", good(IDEAL), lost)], second.table, at(3))
+    assert third.table.count() == 3 and "no log" in third.failures["kijiji"] and "Traceback" in third.failures["kijiji"]
+    assert [tuple(r) for r in third.counters.collect()] == [("kijiji", 1, 0, 1, 1, 0, 0, "unknown: no log")]
     nothing = run(spark, [Source("other", broken)], first.table, at(3))
     assert nothing.batch is None and nothing.counters.count() == 0 and nothing.table is first.table
 
@@ -86,12 +93,14 @@ def test_landed_files(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
     assert landed.read(spark, str(tmp_path), landed.PAGES, "json", stream=True).isStreaming
 
 
-def test_old_snapshots_go(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
-    write = upserts.writer(str(tmp_path), keep=1)
+def test_old_versions_go(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
+    kept = ListingsTable(spark, str(tmp_path), 4)
+    write = upserts.writer(kept, keep=1, stream="s")
     for n in range(4):
         batch = table(spark, [{**IDEAL, "external_id": str(n)}]).withColumns({"seq": F.lit(n), "landed_at": F.lit(datetime(2026, 8, 1 + n))})
         write(batch, n)
     write(batch, 3)
-    assert sorted(p.name[-1] for p in tmp_path.glob("v=*")) == ["2", "3"]
-    got = {r.external_id: r.first_seen_at for r in spark.read.parquet(upserts.snapshot_path(str(tmp_path), 3)).collect()}
+    assert [p.name[-6:] for p in (tmp_path / "manifests").glob("*.json")] == ["3.json"] and kept.newest().ledger == {"s": 3}
+    assert len(list(tmp_path.glob("data/*/part=*"))) == len(kept.newest().folders)
+    got = {r.external_id: r.first_seen_at for r in kept.read().collect()}
     assert got == {str(n): datetime(2026, 8, 1 + n) for n in range(4)}
