@@ -24,8 +24,10 @@ elements are left out changes the work, never the result.
 **Candidates.** Of each signature's classes, each is paired with the first and with the one before it: all pairs up
 to three classes. Larger buckets are kept; once the pairs have been joined to components, buckets whose classes are
 not yet in one component are looked into, in blocks of ``BLOCK`` classes, for pairs across components. A sketch of
-1,024 parities is exact one way: sets that differ in d elements differ in at most d parities, so pairs with more than
-(a + b) / 9 different parities are no links and are dropped. A component of what is left holds every link of its sets.
+parities is exact one way: sets that differ in d elements differ in at most d parities, so pairs with more than
+(a + b) / 9 different parities are no links and are dropped. A sketch has two to four parities an element, 1,024 at
+least, so that it tells sets of any size apart; of sketches of different sizes the larger is folded, half onto half. A
+component of what is left holds every link of its sets.
 
 **Check.** The texts of each component, one a class, meet in one task (large components: in pairs of blocks), where
 sets are compared exactly. ``near_links`` compares all pairs and counts links; ``near_duplicates`` only searches each
@@ -41,7 +43,7 @@ component unless alone.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +55,7 @@ from .shared import content_hash, materialise, row_keys, small_batches
 from .words import U64, Words, mix, slices
 
 WORDS, LEVEL = 5, 80
-SKETCH, BLOCK, NEEDED_BITS = 1024, 1000, 1 << 23
+LEAST_SKETCH, BLOCK, NEEDED_BITS = 1024, 1000, 1 << 23
 #: Shingles of a block of classes that are compared with each other, about.
 BLOCK_ELEMENTS = 1 << 20
 PARTS = 3
@@ -139,11 +141,15 @@ class Sets:
             sums[some] = np.add.reduceat(mix(self.elements ^ SALT), self.starts[some])
         return (mix(sums ^ salted(self.sizes)) >> U64(1)).view(np.int64)
 
-    def sketches(self) -> np.ndarray:
-        """For each set 1,024 parities, as 16 numbers."""
-        bits = (mix(self.elements + SALT) >> U64(54)).astype(np.int64)
-        parities = np.bincount(self.owners * SKETCH + bits, minlength=len(self) * SKETCH) & 1
-        return np.packbits(parities.astype(np.uint8)).view(np.int64).reshape(len(self), -1)
+    def sketches(self) -> tuple[np.ndarray, np.ndarray]:
+        """Parities of each set, 64 in a number, one set's after the other's; and how many numbers each set has."""
+        doublings = np.ceil(np.log2(np.maximum(self.sizes * 2 / LEAST_SKETCH, 1))).astype(np.int64)
+        words = (LEAST_SKETCH // 64) << doublings
+        owners = self.owners
+        bits = mix(self.elements + SALT) & ((words * 64 - 1).astype(U64))[owners]
+        out = np.zeros(int(words.sum()), U64)
+        np.bitwise_xor.at(out, (np.cumsum(words) - words)[owners] + (bits >> U64(6)).astype(np.int64), U64(1) << (bits & U64(63)))
+        return out.view(np.int64), words
 
 
 def subsets(sets: Sets, groups: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,13 +230,13 @@ def sized(docs: DataFrame) -> DataFrame:
                 sets = Sets.of_texts(part.column("text"))
                 some = sets.sizes > 0
                 held = frequent(held, sets.elements)
-                flat = sets.sketches()[some]
-                bits = np.where(some, SKETCH // 64, 0)
+                parities, words = sets.sketches()
+                parities, words = parities[np.repeat(some, words)], np.where(some, words, 0)
                 none = pa.nulls(len(sets), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("key"), part.column("check"), part.column("doc_id"), pa.array(sets.sizes), pa.array(sets.fingerprints(), mask=~some),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(bits))), pa.int32()), pa.array(flat.ravel())), none, none,
+                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(words))), pa.int32()), pa.array(parities)), none, none,
                     ],
                     names,
                 )
@@ -281,7 +287,7 @@ def gathered(batches: Iterator[pa.RecordBatch], columns: list[str], least: int)
         rows = {}
         for c in columns:
             col = batch.column(c)
-            rows[c] = np.stack(col.flatten().to_numpy().reshape(len(col), -1)) if pa.types.is_list(col.type) and len(col) else col.to_numpy(zero_copy_only=False)
+            rows[c] = col.to_numpy(zero_copy_only=False)
         if batch.num_rows:
             held.append(rows)
             size += batch.num_rows
@@ -372,6 +378,12 @@ def candidates(sigs: DataFrame) -> DataFrame:
 
 
 def may_link(na: Column, nb: Column, sa: Column, sb: Column) -> Column:
+    def folded(s: Column, other: Column) -> Column:
+        half = (F.size(s) / 2).cast("int")
+        halves = (F.slice(s, F.lit(1), half), F.slice(s, half + 1, half))
+        return F.when(F.size(s) > F.size(other), F.zip_with(*halves, lambda x, y: x.bitwiseXOR(y))).otherwise(s)
+
+    sa, sb = folded(sa, sb), folded(sb, sa)  # sizes of sets that may link differ by a quarter, so one fold is enough
     different = F.aggregate(F.zip_with(sa, sb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     return (100 * F.least(na, nb) >= LEVEL * F.greatest(na, nb)) & (9 * different <= na + nb)
 
@@ -395,6 +407,12 @@ def texts_of(need: DataFrame, docs: DataFrame) -> DataFrame:
     return near.join(need, "key").select("fp", "text")
 
 
+def same_length(sketches: Sequence[np.ndarray]) -> np.ndarray:
+    """Sketches, folded to the length of the shortest, as rows."""
+    least = min(map(len, sketches))
+    return np.stack([np.bitwise_xor.reduce(s.reshape(-1, least), axis=0) for s in sketches])
+
+
 def across(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes of the same bucket but of different components, that the sketches don't rule out."""
     roots = labels.select(F.col("node").alias("fp"), "root")
@@ -412,7 +430,8 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
             ends = np.append(starts[1:], len(rows["fp"]))
             found = []
             for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
-                fp, root, n, bits = (rows[c][start:end] for c in ("fp", "root", "n", "sketch"))
+                fp, root, n = (rows[c][start:end] for c in ("fp", "root", "n"))
+                bits = same_length(rows["sketch"][start:end])
                 roots, back, sizes = np.unique(root, return_inverse=True, return_counts=True)
                 # Of each pair one at least isn't in the most frequent component.
                 loose = np.nonzero(back != sizes.argmax())[0]
@@ -587,13 +606,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def near_links(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, n_links, component_id of each row of ``docs`` (doc_id, text); n_links is the number of other
+    """doc_id, n_shingles, component_id, n_links of each row of ``docs`` (doc_id, text); n_links is the number of other
     rows whose sets it links with, equal sets among them."""
     facts, classes, links = link(docs, count=True)
     found = links.where("b IS NULL").groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
     own = classes.join(found, "fp", "left").select("fp", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     rows = named(facts, classes, links).join(own, "fp", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

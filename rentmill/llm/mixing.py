@@ -4,7 +4,8 @@ Sources ordered by code point (null last) weigh 1, 2, 3, repeating, and share al
 ``max_repeats`` times its source's size, and the excess is shared again by weight until none is above.
 
 A source's documents, in the order of the MD5 of their doc_id, form a stream of words that is read up to
-``max_repeats`` times, until the target is reached; the last copy taken may be cut. Each weight class has a schedule,
+``max_repeats`` times, until the target is reached. Documents are taken whole: the one that the target falls into is
+taken if that is nearer to the target than leaving it, so a source is off by half a document at most. Each weight class has a schedule,
 its relative weight over training time 0..1, linear between equally spaced knots. The schedule's integral is the
 source's cumulative demand of words; inverting it at the middle of each copy gives the copy's training position.
 
@@ -101,12 +102,12 @@ def planned(docs: DataFrame, max_repeats: int = 3, schedules: dict[int, tuple[fl
     copies = []
     for n in range(max_repeats):
         start = F.col("bucket_start") + F.col("inner_start") + F.col("source_size") * n
-        words = F.least(F.col("size"), F.greatest(F.lit(0), goal - start))
-        share = (start + words / 2) / goal
+        share = (start + F.col("size") / 2) / goal
         time = F.lit(None).cast("double")
         for weight, knots in (schedules or SCHEDULES).items():
             time = F.when(F.col("weight") == weight, invert(share, knots)).otherwise(time)
-        copies.append(F.when(words > 0, F.struct(time.alias("position"), words.alias("words"))))
+        taken = (F.col("size") > 0) & (2 * start + F.col("size") <= 2 * goal)
+        copies.append(F.when(taken, F.struct(time.alias("position"), F.col("size").alias("words"))))
     rows = rows.withColumn("copies", F.array_compact(F.array(*copies)))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda total, c: total + c.words)
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", "_rm_key", "_rm_check")
@@ -128,8 +129,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The training stream: a row of ``docs`` for each copy that the mix takes, range-sorted by position.
 
     Documents and their plans meet by one shuffle on 128 bits of doc_id, text and source: repeated rows are numbered on
-    either side (documents by a hash of all columns), and the n-th document takes the plan next to it. The one copy of
-    a source that is cut keeps its first words, joined by one space."""
+    either side (documents by a hash of all columns), and the n-th document takes the plan next to it. Documents and
+    their columns stay as they are."""
     key, check = (F.col(f"_rm_{name}") for name in ("key", "check"))
     taken = planned(docs).select("_rm_key", "_rm_check", F.lit(0).alias("_rm_side"), F.col("copies").alias("_rm_copies"))
     first = F.get("_rm_copies", F.lit(0)).position
@@ -140,11 +141,4 @@ def mixed(docs: DataFrame) -> DataFrame:
     both = both.withColumn("_rm_nth", F.row_number().over(W.partitionBy(key, check, "_rm_side").orderBy("_rm_tie")))
     beside = F.lag("_rm_copies").over(W.partitionBy(key, check, "_rm_nth").orderBy("_rm_side"))
     rows = both.withColumn("_rm_copies", beside).where("_rm_side = 1").withColumn("_rm_copy", F.explode("_rm_copies"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_rm_copy.words").cast("int")), " ")
-    whole = F.col("_rm_copy.words") == size(F.col("text"))
-    rows = rows.withColumn("_rm_whole", whole)
-    if "n_chars" in docs.columns:
-        chars = F.when(F.col("_rm_whole"), F.col("n_chars")).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))
-        rows = rows.withColumn("n_chars", chars)
-    rows = rows.withColumn("text", F.when(F.col("_rm_whole"), F.col("text")).otherwise(cut))
     return rows.orderBy("_rm_copy.position", "doc_id").select(docs.columns)

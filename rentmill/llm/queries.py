@@ -134,7 +134,6 @@ QUERIES: dict[str, Query] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_chat": op7_chat,
     "op8_jaccard_join": op8_jaccard_join,
-    "op8_jaccard_links": op8_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc": op10_warc,
     "op11_lloyd": op11_lloyd,
@@ -194,9 +193,9 @@ SQL: dict[str, str] = {
                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
             FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
         ), t AS (
-            SELECT *, least(size, greatest(0, goal - start)) AS w0,
-                   least(size, greatest(0, goal - start - source_size)) AS w1,
-                   least(size, greatest(0, goal - start - 2 * source_size)) AS w2
+            SELECT *, CASE WHEN 2 * start + size <= 2 * goal THEN size ELSE 0 END AS w0,
+                   CASE WHEN 2 * (start + source_size) + size <= 2 * goal THEN size ELSE 0 END AS w1,
+                   CASE WHEN 2 * (start + 2 * source_size) + size <= 2 * goal THEN size ELSE 0 END AS w2
             FROM c
         ), u AS (
             SELECT *, (start + w0 / 2) / goal AS share FROM t
@@ -293,7 +292,8 @@ SQL |= {
     """,
 }
 
-SQL["op8_jaccard_links"] = f"""
+#: The join says the number of links, too.
+SQL["op8_jaccard_join"] = f"""
         WITH d AS (
             SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), []) AS w FROM documents
         ), s AS (
@@ -302,11 +302,9 @@ SQL["op8_jaccard_links"] = f"""
             SELECT x, count(*) AS k FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL)
             JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * shared >= 80 * (p.n + q.n - shared) GROUP BY 1
         )
-        SELECT c.doc_id, c.n_shingles, coalesce(k, 0)::BIGINT AS n_links, c.component_id
+        SELECT c.doc_id, c.n_shingles, c.component_id, coalesce(k, 0)::BIGINT AS n_links
         FROM ({SQL["op8_jaccard_join"]}) c LEFT JOIN l ON l.x = c.doc_id
     """
-#: The join says the number of links, too; its former query of its own remains registered.
-SQL["op8_jaccard_join"] = SQL["op8_jaccard_links"]
 
 
 def _integers(factor: int) -> str:
