@@ -392,7 +392,7 @@ def test_jaccard_tells_long_texts_apart(spark: SparkSession) -> None:
     for d in range(24):
         rows.append((d, " ".join(new(1250) + passages[d % 2] + new(1250))))
     parts = rows[0][1].split()
-    rows += [(100, " ".join([*parts[:-90], *new(60)])), (101, " ".join([*parts[:-500], *new(500)]))]
+    rows += [(100, " ".join([*parts[:-90], *new(60)])), (101, " ".join([*parts[:-1200], *new(1200)]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     sets = jaccard_join.Sets.of_texts(pa.array([t for _, t in rows]))
     flat, sizes = sets.sketches()
