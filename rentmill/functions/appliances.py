@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from .lexicons import APPLIANCE_TERMS, CLAUSE_ENDS, HOOKUP_MARKERS, KITCHEN_BUNDLE, NEGATED_AFTER, NEGATED_BEFORE, SHARED_MARKERS
-from .text import contains_any, find_any, let
+from .text import first_found, found, let, literals
 
 #: Characters before and after a hit that can qualify it, and those that can negate it.
 BEFORE, AFTER, NEAR = 32, 40, 14
@@ -25,16 +25,22 @@ def own_clause(context: Column, which: int) -> Column:
     return F.substring_index(F.translate(context, CLAUSE_ENDS, "." * len(CLAUSE_ENDS)), ".", which)
 
 
-def classify(before: Column, term: Column, after: Column) -> Column:
-    """Struct (present, evidence) of one hit, by what its own clause says around it."""
+def markers_in(folded: Column) -> Column:
+    """Of each list of markers those that the text has anywhere, in order. Most texts have few; hits look for these only."""
+    lists = {"hookup": HOOKUP_MARKERS, "shared": SHARED_MARKERS, "later": NEGATED_AFTER, "earlier": NEGATED_BEFORE}
+    return F.struct(*(found(folded, literals(words)).alias(name) for name, words in lists.items()))
+
+
+def classify(before: Column, term: Column, after: Column, markers: Column) -> Column:
+    """Struct (present, evidence) of one hit, by which ``markers`` its own clause has around it."""
     def read(s: Column) -> Column:
         around = F.concat(s.before, F.lit("\n"), s.after)
         near = F.when(F.length(s.before) > NEAR, F.right(s.before, F.lit(NEAR))).otherwise(s.before)
         return F.coalesce(
-            F.concat(F.lit("hookup:"), find_any(around, HOOKUP_MARKERS)),
-            F.concat(F.lit("shared:"), find_any(around, SHARED_MARKERS)),
-            F.concat(F.lit("negated:"), find_any(s.after, NEGATED_AFTER)),
-            F.concat(F.lit("negated:"), F.trim(find_any(near, NEGATED_BEFORE))),
+            F.concat(F.lit("hookup:"), first_found(around, markers.hookup)),
+            F.concat(F.lit("shared:"), first_found(around, markers.shared)),
+            F.concat(F.lit("negated:"), first_found(s.after, markers.later)),
+            F.concat(F.lit("negated:"), F.trim(first_found(near, markers.earlier))),
         )
 
     clause = F.struct(own_clause(before, -1).alias("before"), own_clause(after, 1).alias("after"))
@@ -42,25 +48,53 @@ def classify(before: Column, term: Column, after: Column) -> Column:
     return let(let(clause, read), verdict)
 
 
-def hits(folded: Column, terms: Sequence[str]) -> Column:
-    """Array of (present, evidence) of all hits. One pass of the pattern marks them; between marks, every second piece
-    is a term, and the context of each is cut out of the pieces around it."""
-    pieces = F.split(F.regexp_replace(folded, hits_pattern(terms), f"{MARK}$0{MARK}"), MARK)
+def plurals(terms: Sequence[str]) -> list[str]:
+    return [t + s for t in terms for s in ("", "s")]
+
+
+def meet(a: str, b: str) -> bool:
+    """Whether a hit of ``b`` can begin inside a hit of ``a``, or where it begins. Hits begin and end at word limits."""
+    starts = (i for i in range(len(a)) if i == 0 or not a[i - 1].isalnum())
+    return any(b.startswith(a[i:]) or a[i:].startswith(b) for i in starts)
+
+
+def passes(lexicons: Sequence[tuple[str, Sequence[str]]]) -> list[list[tuple[str, Sequence[str]]]]:
+    """``lexicons`` dealt to as few passes as their order allows, so that in one pass no two lexicons' hits overlap."""
+    out: list[list[tuple[str, Sequence[str]]]] = []
+    clash = lambda xs, ys: any(meet(x, y) or meet(y, x) for x in plurals(xs) for y in plurals(ys))
+    for name, terms in lexicons:
+        free = next((p for p in out if not any(clash(terms, others) for _, others in p)), None)
+        if free is None:
+            out.append([(name, terms)])
+        else:
+            free.append((name, terms))
+    return out
 
-    def one(parts: Column, i: Column) -> Column:
+
+def hits(folded: Column, lexicons: Sequence[tuple[str, Sequence[str]]]) -> Column:
+    """Array of (name, present, evidence) of all hits of ``lexicons``, whose hits don't overlap. One pass of their pattern
+    marks them; between marks, every second piece is a term, and the context of each is cut out of the pieces around
+    it."""
+    pattern = hits_pattern([t for _, terms in lexicons for t in terms])
+    pieces = F.split(F.regexp_replace(folded, pattern, f"{MARK}$0{MARK}"), MARK)
+    name_of = F.create_map(*(F.lit(x) for name, terms in lexicons for t in dict.fromkeys(plurals(terms)) for x in (t, name)))
+
+    def one(parts: Column, i: Column, markers: Column) -> Column:
         before = F.array_join(F.slice(parts, F.lit(1), i), "")
         after = F.array_join(F.slice(parts, i + 2, F.size(parts)), "")
         near = F.when(F.length(before) > BEFORE, F.right(before, F.lit(BEFORE))).otherwise(before)
-        return classify(near, F.get(parts, i), F.substring(after, 1, AFTER))
+        name = name_of[F.get(parts, i)].alias("name")
+        return let(classify(near, F.get(parts, i), F.substring(after, 1, AFTER), markers), lambda h: F.struct(name, h.present.alias("present"), h.evidence.alias("evidence")))
 
-    some = lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), lambda i: one(parts, i))
+    each = lambda parts, m: F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), lambda i: one(parts, i, m))
+    some = lambda parts: let(markers_in(folded), lambda m: each(parts, m))
     return let(pieces, lambda parts: F.when(F.size(parts) > 1, some(parts)))
 
 
-def detect(folded: Column, terms: Sequence[str]) -> Column:
-    """Struct (status, evidence): the first present hit, else the first absent one, else unknown."""
-    found = F.when(contains_any(folded, terms), hits(folded, terms))
-    first = let(found, lambda hs: F.coalesce(F.get(F.filter(hs, lambda h: h.present), F.lit(0)), F.get(hs, F.lit(0))))
+def decide(found: Column, name: str) -> Column:
+    """Struct (status, evidence): the first present hit of ``name``, else its first absent one, else unknown."""
+    mine = F.filter(found, lambda h: h["name"] == name)
+    first = let(mine, lambda hs: F.coalesce(F.get(F.filter(hs, lambda h: h.present), F.lit(0)), F.get(hs, F.lit(0))))
     status = lambda f: F.when(f.isNull(), "unknown").when(f.present, "present").otherwise("absent")
     return let(first, lambda f: F.struct(status(f).alias("status"), f.evidence.alias("evidence")))
 
@@ -71,11 +105,22 @@ def with_bundle(found: Column, bundle: Column) -> Column:
     return F.when((found.status == "unknown") & (bundle.status == "present"), filled).otherwise(found)
 
 
+def appliance_hits(folded: Column) -> Column:
+    """The hits of all appliances, and of the kitchen bundle, in a folded text."""
+    found = [hits(folded, p) for p in passes([*APPLIANCE_TERMS, ("bundle", KITCHEN_BUNDLE)])]
+    return found[0] if len(found) == 1 else F.concat(*(F.coalesce(f, F.array()) for f in found))
+
+
+def appliances_of(found: Column) -> dict[str, Column]:
+    """The five appliances of ``appliance_hits``; a column that has these, so that they are found once."""
+    out = {name: decide(found, name) for name, _ in APPLIANCE_TERMS}
+    bundle = decide(found, "bundle")
+    return out | {n: let(F.struct(out[n].alias("own"), bundle.alias("all")), lambda s: with_bundle(s.own, s.all)) for n in ("fridge", "stove")}
+
+
 def detect_appliances(folded: Column) -> dict[str, Column]:
     """The five appliances in a folded text, whose sources were joined by a clause end (" . ")."""
-    found = {name: detect(folded, terms) for name, terms in APPLIANCE_TERMS}
-    bundle = detect(folded, KITCHEN_BUNDLE)
-    return found | {n: let(F.struct(found[n].alias("own"), bundle.alias("all")), lambda s: with_bundle(s.own, s.all)) for n in ("fridge", "stove")}
+    return appliances_of(appliance_hits(folded))
 
 
 def included(found: Column) -> Column:

@@ -84,13 +84,22 @@ def literals(words: Sequence[str]) -> Column:
     return F.array(*map(F.lit, words))
 
 
+def found(folded: Column, needles: Column) -> Column:
+    """Those of an array of ``needles`` that the text contains."""
+    return F.filter(needles, lambda n: F.contains(folded, n))
+
+
+def first_found(folded: Column, needles: Column) -> Column:
+    return F.get(found(folded, needles), F.lit(0))
+
+
 def contains_any(folded: Column, needles: Sequence[str]) -> Column:
     return F.exists(literals(needles), lambda n: F.contains(folded, n))
 
 
 def find_any(folded: Column, needles: Sequence[str]) -> Column:
     """The first of ``needles``, in their order, that the text contains; else null."""
-    return F.get(F.filter(literals(needles), lambda n: F.contains(folded, n)), F.lit(0))
+    return first_found(folded, literals(needles))
 
 
 def joined(sources: Sequence[Column], separator: str) -> Column:

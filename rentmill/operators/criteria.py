@@ -7,7 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.appliances import detect_appliances
+from ..functions.appliances import appliance_hits, appliances_of
 from ..functions.dwelling import parse_dwelling
 from ..functions.geo import locate
 from ..functions.lexicons import OUTAOUAIS_CITIES
@@ -88,12 +88,13 @@ def parse(listings: DataFrame, c: Criteria = Criteria()) -> DataFrame:
     corpus = [F.when(F.length(sources[n]) > 0, F.col(n)) for n in ("_title", "_description", "_attributes")]
     rows = rows.withColumn("_corpus", F.array_compact(F.array(*corpus)))
     rows = rows.withColumns({"_clauses": F.array_join("_corpus", " . "), "_line": F.array_join("_corpus", " ")})
+    rows = rows.withColumn("_hits", appliance_hits(F.col("_clauses")))
     return rows.withColumns({
         "price": parse_price([F.col("_price_text"), F.col("_title"), F.col("_description")], folded=True),
         "place": locate(F.col("_location"), F.col("latitude"), F.col("longitude"), c.centre, folded=True),
         "dwelling": parse_dwelling(F.col("_line")),
-        **detect_appliances(F.col("_clauses")),
-    }).drop(*sources, "_attribute_text", "_corpus", "_clauses", "_line")
+        **appliances_of(F.col("_hits")),
+    }).drop(*sources, "_attribute_text", "_corpus", "_clauses", "_line", "_hits")
 
 
 def judge_parsed(parsed: DataFrame, c: Criteria = Criteria()) -> DataFrame:
