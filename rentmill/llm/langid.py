@@ -28,6 +28,10 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .words import slices, text_bytes
 
 
+#: Windows that are looked at together.
+BLOCK = 4096
+
+
 @dataclass(frozen=True)
 class Settings:
     rows: int = 4000
@@ -53,17 +57,28 @@ class Network:
     window: int
 
 
-def windows_of(col: pa.StringArray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of all texts, the last ones filled up with zero bytes, and each text's number of windows."""
-    data, offsets = text_bytes(col)
-    lengths = np.diff(offsets)
-    counts = -(-lengths // size)
-    owner = np.repeat(np.arange(len(col)), counts)
-    first = np.cumsum(counts) - counts
-    start = offsets[:-1][owner] + (np.arange(len(owner)) - first[owner]) * size
-    at = start[:, None] + np.arange(size)
-    inside = at < offsets[1:][owner][:, None]
-    return np.where(inside, data[np.minimum(at, max(0, len(data) - 1))], 0).astype(np.uint8) if len(data) else np.zeros((0, size), np.uint8), counts
+class Windows:
+    """The windows of many texts, the last ones filled up with zero bytes; ``counts`` of each text, its index in
+    ``owner``. They are cut when asked for, a block at a time: a text of any size takes little more than its bytes."""
+
+    def __init__(self, col: pa.StringArray, size: int) -> None:
+        self.size = size
+        self.data, offsets = text_bytes(col)
+        self.counts = -(-np.diff(offsets) // size)
+        self.owner = np.repeat(np.arange(len(col)), self.counts)
+        first = np.cumsum(self.counts) - self.counts
+        self.start = offsets[:-1][self.owner] + (np.arange(len(self.owner)) - first[self.owner]) * size
+        self.end = np.minimum(self.start + size, offsets[1:][self.owner])
+
+    def __len__(self) -> int:
+        return len(self.owner)
+
+    def cut(self, which: np.ndarray | slice) -> np.ndarray:
+        start, end = self.start[which], self.end[which]
+        if not len(start):
+            return np.zeros((0, self.size), np.uint8)
+        at = start[:, None] + np.arange(self.size)
+        return np.where(at < end[:, None], self.data[np.minimum(at, len(self.data) - 1)], 0).astype(np.uint8)
 
 
 def responses(net: Network, x: np.ndarray, where: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -164,11 +179,12 @@ class Predictor:
 
     def predict(self, col: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Index and probability of each text's language; texts without a byte get index 0."""
-        x, counts = windows_of(col, self.net.window)
-        logs = self.log_probabilities(x)
-        edges = np.concatenate(([0], np.cumsum(counts)))
-        total = np.concatenate((np.zeros((1, logs.shape[1])), np.cumsum(logs, axis=0, dtype=np.float64)))
-        mean = (total[edges[1:]] - total[edges[:-1]]) / np.maximum(counts, 1)[:, None]
+        windows = Windows(col, self.net.window)
+        total = np.zeros((len(col), len(self.net.languages)))
+        for k in range(0, len(windows), BLOCK):
+            some = slice(k, k + BLOCK)
+            np.add.at(total, windows.owner[some], self.log_probabilities(windows.cut(some)))
+        mean = total / np.maximum(windows.counts, 1)[:, None]
         return mean.argmax(axis=1), np.exp(log_softmax(mean).max(axis=1))
 
 
@@ -193,11 +209,13 @@ def learn(labelled: DataFrame, settings: Settings = Settings()) -> Network | Non
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                x, n = windows_of(part.column("text"), s.window)
+                windows = Windows(part.column("text"), s.window)
+                n = windows.counts
                 first = np.cumsum(n) - n
                 picks = [np.unique(np.linspace(0, k - 1, min(k, s.windows_per_row)).astype(int)) + f for f, k in zip(first, n, strict=True)]
                 rows = np.repeat(np.arange(len(n)), [len(p) for p in picks])
-                data = pa.array([x[i].tobytes() for p in picks for i in p], pa.binary())
+                chosen = windows.cut(np.concatenate(picks)) if picks else []
+                data = pa.array([x.tobytes() for x in chosen], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(rows)) for c in ("doc_id", "lang")] + [data], ["doc_id", "lang", "data"])
 
     found = sample.mapInArrow(cut, StructType([labelled.schema["doc_id"], labelled.schema["lang"]]).add("data", "binary")).toArrow()

@@ -13,8 +13,9 @@ The trie is a distributed table, as large as the corpus makes it:
 2. Grams are dealt by the last two bytes of their context, so all contexts of two bytes or more that share them meet
    in one task, which walks the trie for each gram in numpy. Where more than ``GROUP`` grams share two bytes they are
    dealt by three, and so on up to the whole context: groups stay bounded as the corpus grows. What such a group lacks,
-   the counts after the shorter contexts that were divided, is broadcast: at most 257 for each GROUP grams of the
-   corpus and length; and so are counts of single bytes after a single byte, 258 * 257 at most.
+   the counts after the shorter contexts that were divided, meets it by a join on the context: 257 for each length at
+   most. The divided contexts themselves are broadcast, one number for each GROUP grams of the corpus and length at
+   most (10^11 grams: 25,000 numbers); and so are counts of single bytes after a single byte, 258 * 257 at most.
 3. Chunks of documents ask for the value of each distinct word and gram they contain (see ``chunks``), by a join on
    the item; replies meet the texts by chunk, where values are gathered and summed.
 
@@ -123,22 +124,13 @@ def count_items(docs: DataFrame) -> DataFrame:
 
 
 class Short:
-    """Contexts of one byte and of none, as dense counts[context, symbol]; for each longer length the ends of contexts
-    that are ``divided``, and the counts of the symbols after these (keys, counts)."""
+    """Contexts of one byte and of none, as dense counts[context, symbol]."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, divided: dict[int, np.ndarray], after: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
-        self.divided, self.after = divided, after
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.one = np.zeros((START + 1, SYMBOLS), np.int64)
         np.add.at(self.one, (keys >> BITS, low(keys, 1)), counts)
         self.none = self.one.sum(axis=0)
 
-    def depths(self, keys: np.ndarray) -> np.ndarray:
-        """The length of the end of its context by which each gram is dealt."""
-        depth = np.full(len(keys), 2)
-        for k, ends in self.divided.items():
-            depth[np.isin(low(keys >> BITS, k), ends)] = k + 1
-        return depth
-
 
 def find(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = np.searchsorted(known, keys)
@@ -154,9 +146,10 @@ def find_many(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def walk(keys: np.ndarray, counts: np.ndarray, short: Short) -> np.ndarray:
+def walk(keys: np.ndarray, counts: np.ndarray, depths: np.ndarray, after: dict[int, tuple[np.ndarray, np.ndarray]], short: Short) -> np.ndarray:
     """log10 probability of each gram's last symbol after the others. ``keys`` hold all grams, with their ``counts``
-    in training, that are dealt by the same end of their contexts."""
+    in training, that are dealt by the same ends of their contexts; ``depths`` are the lengths of these ends, and
+    ``after`` has, for shorter lengths, the counts of the symbols after divided ends (keys, counts)."""
     values = np.zeros(len(keys))
     todo = np.ones(len(keys), bool)
     out_total, out_kinds = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
@@ -174,14 +167,13 @@ def walk(keys: np.ndarray, counts: np.ndarray, short: Short) -> np.ndarray:
         out_total[seen], out_kinds[seen] = shorter[seen], kinds[seen]
 
     levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    depths = short.depths(keys)
     for k in range(ORDER, 1, -1):
         # Counts after contexts that lie here whole are added up, those after divided ones are given.
         whole = (counts > 0) & (depths <= k)
         own, where = np.unique(low(keys[whole], k + 1), return_inverse=True)
         n = np.bincount(where, weights=counts[whole], minlength=len(own)).astype(np.int64)
-        if k in short.after:
-            own, n = np.concatenate((own, short.after[k][0])), np.concatenate((n, short.after[k][1]))
+        if k in after:
+            own, n = np.concatenate((own, after[k][0])), np.concatenate((n, after[k][1]))
             order = np.argsort(own)
             own, n = own[order], n[order]
         levels[k] = own, n
@@ -211,12 +203,16 @@ def tail(symbols: int) -> Column:
     return F.col("key").bitwiseAND(F.lit((1 << BITS * symbols) - 1))
 
 
-def divide(items: DataFrame) -> tuple[dict[int, np.ndarray], dict[int, tuple[np.ndarray, np.ndarray]], int]:
-    """For each length the ends of contexts of which ``items`` (key, n) have more than GROUP grams, and the counts of the
-    symbols after these; and a number of buckets. At most one end a length for each GROUP grams reaches the driver,
-    and 257 counts for each; of two symbols all ends, 258 * 258 at most."""
-    divided: dict[int, np.ndarray] = {}
-    after: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def marked(rows: DataFrame, k: int, ends: list[int]) -> DataFrame:
+    """``rows`` with ``divided``, true where the last ``k`` symbols of the context are one of ``ends``."""
+    known = rows.sparkSession.createDataFrame([(e,) for e in ends], "end long").withColumn("divided", F.lit(True))
+    return rows.withColumn("end", F.shiftrightunsigned(tail(k + 1), BITS)).join(F.broadcast(known), "end", "left").drop("end")
+
+
+def divide(items: DataFrame) -> tuple[dict[int, list[int]], int]:
+    """For each length the ends of contexts of which ``items`` (key, n) have more than GROUP grams, and a number of
+    buckets. At most one end a length for each GROUP grams reaches the driver; of two symbols all, 258 * 258 at most."""
+    divided: dict[int, list[int]] = {}
     rows, total = items, 0
     for k in range(2, ORDER):
         end = F.shiftrightunsigned(tail(k + 1), BITS)
@@ -229,11 +225,39 @@ def divide(items: DataFrame) -> tuple[dict[int, np.ndarray], dict[int, tuple[np.
         ends = sorted(r.end for r in found if r["size"] > GROUP)
         if not ends:
             break
-        rows = rows.where(end.isin(ends))
-        counts = rows.where("n > 0").groupBy(tail(k + 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-        divided[k] = np.array(ends, np.int64)
-        after[k] = tuple(counts.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
-    return divided, after, max(BUCKETS, math.ceil(total / BUCKET))
+        rows = marked(rows, k, ends).where("divided").drop("divided")
+        divided[k] = ends
+    return divided, max(BUCKETS, math.ceil(total / BUCKET))
+
+
+def grouped(rows: DataFrame, divided: dict[int, list[int]], buckets: int) -> DataFrame:
+    """``rows`` (key, n) with ``depth``, the length of the end of its context by which a gram is dealt, ``end``, this end,
+    and ``bucket``."""
+    rows = rows.withColumns({"depth": F.lit(2), "group": F.shiftrightunsigned(tail(3), BITS)})
+    for k, ends in divided.items():
+        longer = F.shiftrightunsigned(tail(k + 2), BITS)
+        rows = marked(rows, k, ends).withColumns({
+            "depth": F.when(F.col("divided"), k + 1).otherwise(F.col("depth")), "group": F.when(F.col("divided"), longer).otherwise(F.col("group")),
+        }).drop("divided")
+    return rows.withColumn("bucket", F.pmod(F.hash("group"), F.lit(buckets)))
+
+
+def shorter_counts(rows: DataFrame, divided: dict[int, list[int]]) -> DataFrame:
+    """bucket, depth, key, n: for each bucket of ``grouped`` rows the counts of the symbols after the divided ends of its
+    grams' contexts, keyed by end and symbol."""
+    kind = "bucket int, depth int, key long, n long"
+    if not divided:
+        return rows.sparkSession.createDataFrame([], kind)
+    groups = rows.where("depth > 2").select("bucket", "group", "depth").distinct()
+    ends = groups.select("bucket", "group", F.explode(F.sequence(F.lit(2), F.col("depth") - 1)).alias("depth"))
+    wanted = ends.select("bucket", "depth", F.expr(f"group & (shiftleft(1L, {BITS} * depth) - 1)").alias("end")).distinct()
+    after = None
+    for k in divided:
+        counts = rows.where((F.col("depth") > k) & (F.col("n") > 0)).groupBy(tail(k + 1).alias("key")).agg(F.sum("n").alias("n"))
+        counts = counts.select(F.lit(k).alias("depth"), F.shiftrightunsigned("key", BITS).alias("end"), "key", "n")
+        after = counts if after is None else after.unionByName(counts)
+    found = wanted.join(after, ["depth", "end"])
+    return found.select(F.col("bucket").alias("bucket"), *(F.col(c).alias(c) for c in ("depth", "key", "n")))  # apart from those of ``rows``
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -247,19 +271,19 @@ def score(docs: DataFrame) -> DataFrame:
     train_tokens, kinds = (facts[0] or 0) + ends, facts[1] + (ends > 0)
     grams_ = items.where("key >= 0")
     pairs = grams_.where("n > 0").groupBy(tail(2).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    divided, after, buckets = divide(grams_)
-    table = Short(*(pairs.column(c).to_numpy().astype(np.int64) for c in ("key", "n")), divided, after)
+    divided, buckets = divide(grams_)
+    table = Short(*(pairs.column(c).to_numpy().astype(np.int64) for c in ("key", "n")))
     short = docs.sparkSession.sparkContext.broadcast(table)
 
-    def price(table: pa.Table) -> pa.Table:
-        keys, n = (table.column(c).to_numpy() for c in ("key", "n"))
-        return pa.table({"key": keys, "value": walk(keys, n, short.value)})
+    def price(table: pa.Table, more: pa.Table) -> pa.Table:
+        keys, n, depths = (table.column(c).to_numpy() for c in ("key", "n", "depth"))
+        level, ends, counts = (more.column(c).to_numpy() for c in ("depth", "key", "n"))
+        after = {int(k): (ends[level == k], counts[level == k]) for k in np.unique(level)}
+        return pa.table({"key": keys, "value": walk(keys, n, depths, after, short.value)})
 
-    # Without a divided end the group of a gram is the last two symbols of its context.
-    group = F.shiftrightunsigned(tail(3), BITS)
-    for k, large in divided.items():
-        group = F.when(F.shiftrightunsigned(tail(k + 1), BITS).isin(large.tolist()), F.shiftrightunsigned(tail(k + 2), BITS)).otherwise(group)
-    trie = grams_.withColumn("bucket", F.pmod(F.hash(group), F.lit(buckets))).groupBy("bucket").applyInArrow(price, "key long, value double")
+    rows = grouped(grams_, divided, buckets)
+    mine, lacking = (x.select("bucket", "depth", "key", "n").groupBy("bucket") for x in (rows, shorter_counts(rows, divided)))
+    trie = mine.cogroup(lacking).applyInArrow(price, "key long, value double")
     lexicon = items.where("key < 0 AND n > 0").select("key", F.col("n").cast("double").alias("value"))
     known = lexicon.unionByName(trie)
 

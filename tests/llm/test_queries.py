@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -108,10 +110,13 @@ def test_a_training_step_follows_the_gradient() -> None:
     start = langid.train(x, y, ["a", "b", "c"], langid.Settings(window=24, filters=3, epochs=0, batch=6))
     after = langid.train(x, y, ["a", "b", "c"], s)
     loss = lambda net: -np.mean([naive(net, w)[k] for w, k in zip(x, y, strict=True)])
-    checked = 0
-    for name in ("weights", "offset", "bias"):
-        values, moved = getattr(start, name), getattr(after, name) - getattr(start, name)
-        for at in np.ndindex(values.shape):
+    checked = pooled = 0
+    of = lambda net: {"weights": net.weights, "offset": net.offset, "bias": net.bias} | {f"filters {len(f)}": f for f in net.filters}
+    used = {n: sorted({(k, int(b), f) for k in range(int(n[-1])) for b in np.unique(x) for f in range(3)}) for n in of(start) if n.startswith("filters")}
+    for name, values in of(start).items():
+        moved = of(after)[name] - values
+        places = used[name][:: 1 + len(used[name]) // 150] if name in used else np.ndindex(values.shape)
+        for at in places:
             old = values[at]
             values[at] = old + 1e-2
             up = loss(start)
@@ -121,7 +126,34 @@ def test_a_training_step_follows_the_gradient() -> None:
             if abs(up - down) > 1e-4:
                 assert np.sign(moved[at]) == -np.sign(up - down), (name, at)
                 checked += 1
-    assert checked > 10
+                pooled += name in used
+    assert checked > 30 and pooled > 12
+
+
+def test_a_text_is_the_mean_of_its_windows(monkeypatch: pytest.MonkeyPatch) -> None:
+    """Texts of no, one and many windows, the last of them short, however many are looked at together."""
+    net, _, _ = small_net()
+    texts = ["", "short", "x" * 24, "Der schnelle Fuchs springt, and then some more. " * 9, "ab" * 12 + "c"]
+    want = []
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        cut = [np.pad(data[i : i + 24], (0, max(0, 24 - len(data) + i))) for i in range(0, len(data), 24)]
+        z = np.mean([naive(net, w) for w in cut], axis=0) if cut else np.zeros(3)
+        want.append((int(z.argmax()), float(np.exp(z - np.log(np.exp(z).sum())).max())))
+    for block in (4096, 3):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        found, score = langid.Predictor(net).predict(pa.array(texts))
+        assert found.tolist() == [k for k, _ in want] and score == pytest.approx([p for _, p in want], abs=1e-4)
+
+
+def test_a_long_text_needs_little_memory() -> None:
+    net, _, _ = small_net()
+    text = pa.array(["lorem ipsum " * 1_000_000, "x"])
+    tracemalloc.start()
+    windows = langid.Windows(text, 256)
+    peaks = [windows.cut(slice(k, k + langid.BLOCK)).shape for k in range(0, len(windows), langid.BLOCK)]
+    assert sum(n for n, _ in peaks) == len(windows) == 46_876 and tracemalloc.get_traced_memory()[1] < 48 << 20
+    tracemalloc.stop()
 
 
 def test_rare_labels_are_not_learned(spark: SparkSession) -> None:
