@@ -14,6 +14,7 @@ from ..functions.price import is_short_term
 from ..functions.text import fold
 from ..operators import replay, store, views
 from ..operators.criteria import APPLIANCES, Criteria, judge, parse
+from ..operators.history import PriceHistory
 from ..operators.table import ListingsTable
 from ..sources import cards, frontier, pages, synthetic
 from ..streaming.upserts import Feeds, run_feeds
@@ -184,6 +185,16 @@ def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.groupBy(*KEY).agg(F.count("*").alias("n_seen"), F.count("drop").alias("n_drops"), F.max("drop").cast("double").alias("largest_drop"))
 
 
+def appended_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``price_history`` kept by three appends, each with observations of all days, so that many come late."""
+    rows = synthetic.derive(spark, sf_dir, synthetic.RUNS).withColumnRenamed("run_day", "seen_at")
+    kept = PriceHistory(spark, new_path(spark, "history"), PARTS)
+    for n in range(3):
+        kept.append(rows.where(F.col("seq") % 3 == n))
+    history = kept.history()
+    return history.groupBy(*KEY).agg(F.count("*").alias("n_seen"), F.count("drop").alias("n_drops"), F.max("drop").cast("double").alias("largest_drop"))
+
+
 def new_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, batch = _runs(spark, sf_dir)
     at = F.lit(RUN_AT).cast("timestamp")
@@ -341,5 +352,6 @@ QUERIES: dict[str, Query] = {
     "run_counters": counters,
     "run_summary": run_summary,
     "price_history": price_history,
+    "appended_history": appended_history,
     "new_matches": new_matches,
 }

@@ -44,6 +44,9 @@ class Manifest:
     folders: dict[str, str]
     #: Stream -> its last batch in the table.
     ledger: dict[str, int] = field(default_factory=dict)
+    #: Folders that were only ever added, for tables that keep a log beside their parts; and whether rows of it are void.
+    log: list[str] = field(default_factory=list)
+    rebased: bool = False
 
 
 @dataclass(frozen=True)
@@ -72,8 +75,8 @@ def part_of(parts: int) -> Column:
     return F.pmod(F.xxhash64(*KEY), F.lit(parts)).cast("int")
 
 
-class ListingsTable:
-    """The table in the folder ``root``, which all executors share; ``parts`` counts when it is first written."""
+class PartedTable:
+    """A table in the folder ``root``, which all executors share; ``parts`` counts when it is first written."""
 
     def __init__(self, spark: SparkSession, root: str, parts: int = PARTS) -> None:
         self.spark, self.root, self.new_parts = spark, root.rstrip("/"), parts
@@ -95,52 +98,12 @@ class ListingsTable:
         version = self.version() if version is None else version
         return None if version is None else self._rows(self.manifest(version), None)
 
-    def stage(self, batch: DataFrame, at: str | None = None) -> Staged:
-        """Write ``batch`` (rows of the table with ``seq``, without times) for ``upsert``; it is computed once."""
-        last = self.newest()
-        return stage(batch, last.parts if last else self.new_parts, at)
-
-    def upsert(self, staged: list[Staged], run_at: Column, stream: tuple[str, int] | None = None) -> Upserted:
-        """Bring the rows of ``staged`` into the table at the time ``run_at``, as batch ``stream`` (stream, batch) if that
-        is given. Without rows the table stays; a stream's batch is noted even so."""
-        last = self.newest()
-        if stream and last and last.ledger.get(stream[0], -1) >= stream[1]:
-            return Upserted(last.version, [], repeated=True)
-        staged = [s for s in staged if s.parts]
-        if not staged:
-            if stream and last:
-                self._commit(replace(last, version=last.version + 1, ledger=last.ledger | dict([stream])))
-            return Upserted(self.version(), [])
-        parts = last.parts if last else self.new_parts
-        touched = sorted(frozenset().union(*(s.parts for s in staged)))
-        platforms = sorted(frozenset().union(*(s.platforms for s in staged)))
-        batch = staged[0].rows
-        for more in staged[1:]:
-            batch = batch.unionByName(more.rows)
-        known = [str(p) for p in touched if last and str(p) in last.folders]
-        rows = first_merge(batch, run_at) if last is None else merge(self._rows(last, known), batch, run_at)
-        columns = [c for c in rows.columns if c not in (*BOOK, "fresh")]
-        folder, seen = f"data/{uuid.uuid4().hex}", Observation()
-        # Counted where tasks write: work that is done again for a lost executor before that counts once.
-        dealt = rows.withColumn("part", part_of(parts)).hint("rebalance", "part").observe(seen, *counting(platforms))
-        out = dealt.select(*columns, "part")
-        out.write.partitionBy("part").parquet(f"{self.root}/{folder}")
-        folders = (last.folders if last else {}) | {str(p): f"{folder}/part={p}" for p in touched}
-        ledger = (last.ledger if last else {}) | (dict([stream]) if stream else {})
-        version = last.version + 1 if last else 0
-        schema = out.drop("part").schema.jsonValue()
-        self._commit(Manifest(version, parts, schema, folders, ledger))
-        return Upserted(version, counted(platforms, seen.get), len(known), len(touched))
-
-    def counters(self, done: Upserted) -> DataFrame:
-        return self.spark.createDataFrame(done.counters, COUNTERS)
-
     def expire(self, keep: int = 2, orphans_after: int = 7 * DAY) -> None:
         """Remove all but the last ``keep`` versions, what only they had, and what writers that never committed left
         behind ``orphans_after`` seconds ago or earlier."""
         fs, versions = self._fs(), self._versions()
         kept = [self.manifest(v) for v in versions[-keep:]]
-        needed = {f for m in kept for f in m.folders.values()}
+        needed = {f for m in kept for f in (*m.folders.values(), *m.log)}
         old = {f for v in versions[:-keep] for f in self.manifest(v).folders.values()} - needed
         for v in versions[:-keep]:
             fs.delete(self._path(self._manifest_path(v)), False)
@@ -186,6 +149,54 @@ class ListingsTable:
     def _fs(self):  # noqa: ANN202
         return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _write(self, rows: DataFrame, parts: int, touched: Iterable[int], *observed: Column, seen: Observation | None = None) -> tuple[dict[str, str], dict]:
+        """Write ``rows``, all of the parts ``touched``; their folders, and the schema. What is observed is counted where
+        tasks write: work that is done again for a lost executor before that counts once."""
+        folder = f"data/{uuid.uuid4().hex}"
+        dealt = rows.withColumn("part", part_of(parts)).hint("rebalance", "part")
+        out = dealt.observe(seen, *observed).drop(*BOOK, "fresh") if seen else dealt
+        out.write.partitionBy("part").parquet(f"{self.root}/{folder}")
+        return {str(p): f"{folder}/part={p}" for p in touched}, out.drop("part").schema.jsonValue()
+
+
+class ListingsTable(PartedTable):
+    """The stored listings."""
+
+    def stage(self, batch: DataFrame, at: str | None = None) -> Staged:
+        """Write ``batch`` (rows of the table with ``seq``, without times) for ``upsert``; it is computed once."""
+        last = self.newest()
+        return stage(batch, last.parts if last else self.new_parts, at)
+
+    def upsert(self, staged: list[Staged], run_at: Column, stream: tuple[str, int] | None = None) -> Upserted:
+        """Bring the rows of ``staged`` into the table at the time ``run_at``, as batch ``stream`` (stream, batch) if that
+        is given. Without rows the table stays; a stream's batch is noted even so."""
+        last = self.newest()
+        if stream and last and last.ledger.get(stream[0], -1) >= stream[1]:
+            return Upserted(last.version, [], repeated=True)
+        staged = [s for s in staged if s.parts]
+        if not staged:
+            if stream and last:
+                self._commit(replace(last, version=last.version + 1, ledger=last.ledger | dict([stream])))
+            return Upserted(self.version(), [])
+        parts = last.parts if last else self.new_parts
+        touched = sorted(frozenset().union(*(s.parts for s in staged)))
+        platforms = sorted(frozenset().union(*(s.platforms for s in staged)))
+        batch = staged[0].rows
+        for more in staged[1:]:
+            batch = batch.unionByName(more.rows)
+        known = [str(p) for p in touched if last and str(p) in last.folders]
+        rows = first_merge(batch, run_at) if last is None else merge(self._rows(last, known), batch, run_at)
+        seen = Observation()
+        written, schema = self._write(rows, parts, touched, *counting(platforms), seen=seen)
+        folders = (last.folders if last else {}) | written
+        ledger = (last.ledger if last else {}) | (dict([stream]) if stream else {})
+        version = last.version + 1 if last else 0
+        self._commit(Manifest(version, parts, schema, folders, ledger))
+        return Upserted(version, counted(platforms, seen.get), len(known), len(touched))
+
+    def counters(self, done: Upserted) -> DataFrame:
+        return self.spark.createDataFrame(done.counters, COUNTERS)
+
 
 def stage(batch: DataFrame, parts: int, at: str | None = None) -> Staged:
     """Write ``batch`` without its time column ``at``, and see meanwhile what is in it."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import datetime
 from decimal import Decimal
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rentmill.jobs.run import Source, run_into
 from rentmill.operators import replay, store
 from rentmill.operators.criteria import Criteria, judge
+from rentmill.operators.history import OBSERVED, PriceHistory
 from rentmill.operators.table import Conflict, ListingsTable
 from rentmill.sources import pages
 from rentmill.streaming.upserts import Feeds, run_feeds
@@ -183,3 +185,31 @@ def test_rebuilt_listings_are_judged_as_collected_ones(spark: SparkSession) -> N
     assert [i for i, r in got.items() if r.differs] == ["9"] and got["9"].by_columns == "reject"
     with pytest.raises(ValueError, match="no platform"):
         replay.rebuilt(stored, {})
+
+
+def test_appended_history_equals_the_whole_window(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
+    """After several appends, some of them late, repeated or without prices, in one part or in many."""
+    rng = random.Random(4)
+    for parts in (1, 8):
+        h, seen = PriceHistory(spark, f"{tmp_path}/h{parts}", parts), []
+        assert h.history().count() == 0
+        for day in (10, 11, 9, 12, 12, 3):
+            new = [(rng.choice("kf"), str(rng.randrange(6)), datetime(2026, 8, day, rng.randrange(24)), rng.choice([None, Decimal(900), Decimal(950), Decimal(800)])) for _ in range(12)]
+            new += [] if day < 12 else [("late", "1", datetime(2026, 8, 20 - len(seen) // 12), Decimal(700 + day))]
+            h.append(spark.createDataFrame(new, OBSERVED))
+            seen += new
+            want = store.price_history(spark.createDataFrame(seen, OBSERVED).where("price_cad IS NOT NULL"))
+            assert sorted(map(str, h.history().collect())) == sorted(map(str, want.collect()))
+        assert h.append(spark.createDataFrame([("k", "1", datetime(2026, 9, 1), None)], OBSERVED)) == 5 and h.newest().rebased
+        h.expire(keep=1, orphans_after=-1)
+        assert sorted(map(str, h.history().collect())) == sorted(map(str, want.collect()))
+
+
+def test_history_reads_no_log_for_what_is_on_time(spark: SparkSession, tmp_path, monkeypatch: pytest.MonkeyPatch) -> None:  # noqa: ANN001
+    h = PriceHistory(spark, f"{tmp_path}/h", 4)
+    row = lambda day, price: spark.createDataFrame([("k", "1", datetime(2026, 8, day), Decimal(price))], OBSERVED)
+    h.append(row(1, 900))
+    with monkeypatch.context() as m:
+        m.setattr(PriceHistory, "_log", lambda *_: pytest.fail("the log was read"))
+        h.append(row(2, 850))
+    assert [(r.seen_at.day, r.previous, r["drop"]) for r in h.history().orderBy("seen_at").collect()] == [(1, None, None), (2, 900, 50)]
