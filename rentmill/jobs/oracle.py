@@ -391,3 +391,4 @@ SQL["streamed_table"] = f"""WITH b AS (SELECT * FROM (WITH {folded(LANDED, FACTS
 SQL["replay_from_raw"] = f"""WITH {folded(BOTH, FACTS)}, {PRICES}, {PLACES}, {APPLIANCES}, {DWELLINGS}, {verdicts(2000, NEEDED, "judged")}, {verdicts(2500, ("fridge", "stove"), "loose")}
     SELECT platform, j.verdict AS before, l.verdict AS after, count(*) AS n, 0 AS n_differ FROM judged j JOIN loose l USING (platform, external_id) GROUP BY ALL"""
 SQL["appended_history"] = SQL["price_history"]
+SQL["streamed_cutoff"] = SQL["kept_pages"]

@@ -16,7 +16,9 @@ from ..operators import replay, store, views
 from ..operators.criteria import APPLIANCES, Criteria, judge, parse
 from ..operators.history import PriceHistory
 from ..operators.table import ListingsTable
-from ..sources import cards, frontier, pages, synthetic
+from ..sources import cards, frontier, landed, pages, synthetic
+from ..streaming import cutoff
+from ..streaming.cutoff import PageCutoff
 from ..streaming.upserts import Feeds, run_feeds
 from ..tables import materialise, new_path
 from .run import Run, Source, run
@@ -97,6 +99,17 @@ def kept_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("base", "page", "url", "n_listings", "stop_reason")
 
 
+def streamed_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``kept_pages`` kept by a stream of landed responses, the later pages of each search first."""
+    root = new_path(spark, "cutoff")
+    rows = synthetic.derive(spark, sf_dir, synthetic.RESPONSES)
+    table = PageCutoff(spark, f"{root}/table", PARTS)
+    for landing in (F.col("page") > 8, (F.col("page") > 4) & (F.col("page") <= 8), F.col("page") <= 4):
+        rows.where(landing).select("base", F.col("page").cast("long").alias("page"), "url", "status", "n_listings").write.mode("append").parquet(f"{root}/landed")
+        cutoff.run(landed.read(spark, f"{root}/landed", landed.RESPONSES, stream=True), table, f"{root}/checkpoint").awaitTermination()
+    return table.kept().select("base", F.col("page").cast("int").alias("page"), "url", "n_listings", "stop_reason")
+
+
 def page_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every listing on every page, the supplied pages (which hold none) among them."""
     rows = synthetic.derive(spark, sf_dir, synthetic.PAGES)
@@ -336,6 +349,7 @@ QUERIES: dict[str, Query] = {
     "replay_transitions": replayed,
     "search_frontier": search_frontier,
     "kept_pages": kept_pages,
+    "streamed_cutoff": streamed_cutoff,
     "page_listings": page_listings,
     "page_details": page_details,
     "card_listings": card_listings,

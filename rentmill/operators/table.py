@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime
 
@@ -71,13 +71,16 @@ class Upserted:
     repeated: bool = False
 
 
-def part_of(parts: int) -> Column:
-    return F.pmod(F.xxhash64(*KEY), F.lit(parts)).cast("int")
+def part_of(parts: int, key: Sequence[str] = KEY) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
 
 
 class PartedTable:
     """A table in the folder ``root``, which all executors share; ``parts`` counts when it is first written."""
 
+    #: The columns by which rows are dealt to parts.
+    key: Sequence[str] = KEY
+
     def __init__(self, spark: SparkSession, root: str, parts: int = PARTS) -> None:
         self.spark, self.root, self.new_parts = spark, root.rstrip("/"), parts
 
@@ -153,7 +156,7 @@ class PartedTable:
         """Write ``rows``, all of the parts ``touched``; their folders, and the schema. What is observed is counted where
         tasks write: work that is done again for a lost executor before that counts once."""
         folder = f"data/{uuid.uuid4().hex}"
-        dealt = rows.withColumn("part", part_of(parts)).hint("rebalance", "part")
+        dealt = rows.withColumn("part", part_of(parts, self.key)).hint("rebalance", "part")
         out = dealt.observe(seen, *observed).drop(*BOOK, "fresh") if seen else dealt
         out.write.partitionBy("part").parquet(f"{self.root}/{folder}")
         return {str(p): f"{folder}/part={p}" for p in touched}, out.drop("part").schema.jsonValue()
@@ -198,10 +201,11 @@ class ListingsTable(PartedTable):
         return self.spark.createDataFrame(done.counters, COUNTERS)
 
 
-def stage(batch: DataFrame, parts: int, at: str | None = None) -> Staged:
+def stage(batch: DataFrame, parts: int, at: str | None = None, key: Sequence[str] = KEY) -> Staged:
     """Write ``batch`` without its time column ``at``, and see meanwhile what is in it."""
     spark, path, seen = batch.sparkSession, new_path(batch.sparkSession, "batch"), Observation()
-    what = {"parts": F.collect_set(part_of(parts)), "platforms": F.collect_set("platform"), "latest": F.max(at) if at else F.max(F.lit(None))}
+    platform = F.col("platform") if "platform" in batch.columns else F.lit(None).cast("string")
+    what = {"parts": F.collect_set(part_of(parts, key)), "platforms": F.collect_set(platform), "latest": F.max(at) if at else F.max(F.lit(None))}
     observed = batch.observe(seen, *(c.alias(n) for n, c in what.items()))
     out = observed.drop(at) if at else observed
     out.write.parquet(path)

@@ -16,7 +16,8 @@ from rentmill.operators import replay, store
 from rentmill.operators.criteria import Criteria, judge
 from rentmill.operators.history import OBSERVED, PriceHistory
 from rentmill.operators.table import Conflict, ListingsTable
-from rentmill.sources import pages
+from rentmill.sources import frontier, pages
+from rentmill.streaming.cutoff import PageCutoff
 from rentmill.streaming.upserts import Feeds, run_feeds
 
 from .test_jobs import IDEAL, LISTED, page, table
@@ -213,3 +214,23 @@ def test_history_reads_no_log_for_what_is_on_time(spark: SparkSession, tmp_path,
         m.setattr(PriceHistory, "_log", lambda *_: pytest.fail("the log was read"))
         h.append(row(2, 850))
     assert [(r.seen_at.day, r.previous, r["drop"]) for r in h.history().orderBy("seen_at").collect()] == [(1, None, None), (2, 900, 50)]
+
+
+def test_any_order_of_responses_keeps_the_same_pages(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
+    rng = random.Random(7)
+    rows = [(f"s{b}", p, f"u{b}-{p}", rng.choice([200, 200, 200, 200, 404, 429, 503]), rng.choice([None, 0, 3, 5, 8, 9])) for b in range(12) for p in range(1, 8)]
+    rows += [rows[0], ("blocked", 1, "u", 429, 1), ("ends", 1, "u", 500, 0)]
+    kind = "base string, page long, url string, status long, n_listings long"
+    want = sorted(map(str, frontier.kept_responses(spark.createDataFrame(rows, kind)).collect()))
+    for n, order in enumerate((rows, rows[::-1], rng.sample(rows, len(rows)))):
+        t = PageCutoff(spark, f"{tmp_path}/t{n}", 4)
+        assert t.kept().count() == 0
+        for k in range(0, len(order), 23):
+            version = t.append(spark.createDataFrame(order[k : k + 23], kind), ("s", k))
+            assert t.append(spark.createDataFrame(order[k : k + 23], kind), ("s", k)) == version
+        assert sorted(map(str, t.kept().collect())) == want
+    late = PageCutoff(spark, f"{tmp_path}/late", 4)
+    late.append(spark.createDataFrame([("a", 1, "a1", 200, 2), ("a", 2, "a2", 200, 2), ("a", 3, "a3", 200, 2)], kind))
+    late.append(spark.createDataFrame([("a", 2, "a2 again", 404, 0), ("b", 1, "b1", 200, 1)], kind))
+    assert {(r.url, r.added) for r in late.changes(0).collect()} == {("a2", False), ("a3", False), ("b1", True)}
+    assert late.append(spark.createDataFrame([], kind)) == 1
