@@ -5,20 +5,19 @@ other labels whose score lies in a window, ``least`` to ``most`` percent of the
 integer vectors, ties go to smaller ids.
 
 **File.** Each dimension is cut into ``CELLS`` cells at quantiles of all rows' components (the outer cells end at the
-least and the largest); a row's approximation is its cell in each dimension, two dimensions a byte. It is written beside
-the vector.
+least and the largest); a row's approximation is its cell in each dimension, a byte each. It is written beside the vector.
 
 **Bounds.** For an anchor and a cell the smallest and the largest product are known, so an anchor has a table of both for
-each pair of dimensions; adding up what a row's bytes find there gives a lower and an upper bound of its score.
+each dimension; adding up what a row's bytes find there gives a lower and an upper bound of its score.
 
 **Search.** A task goes through its rows in slices and keeps the best of each window. Exactly scored are only rows whose
 bounds let them into a window: the upper bound reaches its floor and what the window has kept so far, the lower bound
 doesn't exceed its ceiling. A window that isn't full yet asks for as much as its best surely fitting rows of the slice
-have at least. What the tasks keep, at most the limit for each window, is ranked once more by a window function.
+have at least; slices begin small and double, so that windows fill up at a small cost. What the tasks keep, at most the limit for each window, is ranked once more by a window function.
 
 **Scale.** Rows stay where they are. Anchors are sent to the tasks in blocks of at most ``block``, one block after
 another, so what is broadcast and what comes to the driver (a block's anchors, and their positives) has a fixed bound.
-Work is anchors x rows, as the search is exact; a lookup of two dimensions costs one addition.
+Work is anchors x rows, as the search is exact.
 
 **Defined cases.** Rows with a null label, a null vector, or a null or non-finite component take no part. Components a
 vector lacks count as 0. A row is never a positive or negative of an anchor with its own id. Of rows that share an
@@ -39,10 +38,10 @@ from .shared import materialise, new_path
 from .vectors import best, matrix, received_id, scaled, sent_ids, usable
 
 OUT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
-CELLS = 16
+CELLS = 64
 ANY = 1 << 62
-#: Rows and anchors whose bounds are found at a time: 2 x 4 or 8 bytes for each pair.
-SLICE, GROUP = 4096, 64
+#: Rows and anchors whose bounds are found at a time: 2 x 4 or 8 bytes for each pair. Rows of a task's first slice.
+SLICE, GROUP, FIRST = 4096, 64, 64
 
 
 @dataclass(frozen=True)
@@ -69,20 +68,19 @@ class Cells:
         return len(self.low)
 
     def codes(self, rows: np.ndarray) -> np.ndarray:
-        """The approximations of ``rows``: the cells of two dimensions in a byte."""
+        """The approximations of ``rows``: the number of the cell in each dimension."""
         cells = np.empty(rows.shape, np.uint8)
         for d in range(self.width):
             cells[:, d] = np.searchsorted(self.high[d, :-1], rows[:, d])
-        return cells[:, 0::2] * CELLS + cells[:, 1::2]
+        return cells
 
     def tables(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """By pair of dimensions, byte and anchor: the least and the largest that a row with this byte can score there."""
+        """By dimension, cell and anchor: the least and the largest that a row of this cell can score there."""
         ends = np.stack([self.low[:, :, None] * anchors.T[:, None, :], self.high[:, :, None] * anchors.T[:, None, :]])
         out = []
         for t in (ends.min(0), ends.max(0)):
-            pairs = (t[0::2, :, None, :] + t[1::2, None, :, :]).reshape(self.width // 2, CELLS * CELLS, len(anchors))
-            small = np.abs(pairs).max(axis=(1, 2), initial=0).sum() < 1 << 31
-            out.append(pairs.astype(np.int32) if small else pairs)
+            small = np.abs(t).max(axis=(1, 2), initial=0).sum() < 1 << 31
+            out.append(t.astype(np.int32) if small else t)
         return out[0], out[1]
 
 
@@ -99,7 +97,7 @@ def cells_of(rows: DataFrame) -> Cells:
     each = rows.select(F.posexplode("cells").alias("dim", "x")).groupBy("dim")
     found = {r.dim: r for r in each.agg(F.min("x").alias("least"), F.max("x").alias("most"), F.percentile_approx("x", quantiles, 1000).alias("marks")).collect()}
     width = max([*found, 0]) + 1
-    low, high = np.zeros((width + width % 2, CELLS), np.int64), np.zeros((width + width % 2, CELLS), np.int64)
+    low, high = np.zeros((width, CELLS), np.int64), np.zeros((width, CELLS), np.int64)
     for d, r in found.items():  # 0 lies in a cell everywhere: it stands for what a vector lacks
         low[d] = [min(r.least, 0), *(m + 1 for m in r.marks)]
         high[d] = [*r.marks, max(r.most, 0)]
@@ -187,10 +185,13 @@ def found_in(table: DataFrame, block: Block, cells: Cells, limit: int, same: boo
         starts = range(0, len(sent.value.ids), GROUP)
         parts = [sent.value.part(s) for s in starts]
         kept = [Kept(slots, len(p.ids), limit) for p in parts]
+        size = FIRST
         for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                rows = batch.iloc[at : at + SLICE]
-                codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), cells.width // 2)
+            at = 0
+            while at < len(batch):
+                rows = batch.iloc[at : at + size]
+                at, size = at + size, min(2 * size, SLICE)
+                codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), cells.width)
                 vectors = matrix(rows["cells"], cells.width)
                 for part, mine in zip(parts, kept, strict=True):
                     search(rows, codes, vectors, part, cells, mine, same)
