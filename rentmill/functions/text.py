@@ -11,9 +11,12 @@ from pyspark.sql import Column, functions as F
 
 from .lexicons import APOSTROPHES, DASHES, FRACTION_SLASH
 
-#: Blocks whose characters are folded: Latin to CJK squares, compatibility ideographs and presentation forms, full-width
-#: forms, mathematical letters and digits, enclosed letters, more compatibility ideographs.
-BLOCKS = ((0x80, 0x3400), (0xF900, 0xFB50), (0xFE00, 0xFE70), (0xFF00, 0xFFF0), (0x1D400, 0x1D800), (0x1F100, 0x1F200), (0x2F800, 0x2FA20))
+#: All characters that fold to anything but themselves are in here: the two lower planes without ideographs, Hangul
+#: syllables, surrogates and private use, then compatibility ideographs and variation selectors.
+BLOCKS = ((0x80, 0x3400), (0x4DC0, 0x4E00), (0xA000, 0xAC00), (0xD7A4, 0xD800), (0xF900, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE01F0))
+#: Hangul syllables are put together from so many consonants, vowels and last consonants, the first of which is none.
+SYLLABLE, LEADS, VOWELS, TAILS = 0xAC00, 0x1100, 0x1161, 0x11A7
+N_LEADS, N_VOWELS, N_TAILS = 19, 21, 28
 #: Lower-cased by its place in the word, so it is left to ``lower``.
 FINAL_SIGMA = "Σ"
 #: White space, but for single plain spaces.
@@ -61,13 +64,24 @@ def fold(text: Column) -> Column:
     """Lower-case text without accents, with plain punctuation and single spaces; null becomes empty.
 
     A pass of ``translate`` does most, where a text has anything but plain ASCII; the rare characters that become
-    several are replaced only in texts that have one. Characters outside ``BLOCKS`` only lose their case."""
+    several are replaced only in texts that have one."""
     source, target, several = tables()
     text = F.coalesce(text, F.lit(""))
     text = F.when(text.rlike(r"[^\x00-_a-\x7f]"), unaccented(text, source, target, several)).otherwise(text)
     return F.trim(F.regexp_replace(F.lower(text), SPACES, " "))
 
 
+def without_syllables(text: Column) -> Column:
+    """Hangul syllables as the letters that they are made of."""
+    points = [(x, v, t) for t in range(N_TAILS - 1, -1, -1) for x in range(N_LEADS) for v in range(N_VOWELS)]  # those without a tail last
+    syllables = "".join(chr(SYLLABLE + (x * N_VOWELS + v) * N_TAILS + t) for x, v, t in points)
+    letters = ("".join(chr(LEADS + x) for x, _, _ in points), "".join(chr(VOWELS + v) for _, v, _ in points), "".join(chr(TAILS + t) for _, _, t in points if t))
+    apart = lambda c: F.concat(*(F.translate(c, syllables, to) for to in letters))
+    first, last = chr(SYLLABLE), chr(SYLLABLE + N_LEADS * N_VOWELS * N_TAILS - 1)
+    each = lambda c: F.when((c >= first) & (c <= last), apart(c)).otherwise(c)
+    return F.when(text.rlike(f"[{first}-{last}]"), F.array_join(F.transform(F.split(text, ""), each), "")).otherwise(text)
+
+
 def unaccented(text: Column, source: str, target: str, several: tuple[tuple[str, str], ...]) -> Column:
     for a, b in several:
         if a in FREQUENT:
@@ -77,7 +91,7 @@ def unaccented(text: Column, source: str, target: str, several: tuple[tuple[str,
     pairs = F.from_json(F.lit(json.dumps(rare)), "array<struct<a:string,b:string>>")
     some = ranges([ord(p["a"]) for p in rare])
     wide = lambda t: F.when(t.rlike(some), F.aggregate(pairs, t, lambda t, p: F.replace(t, p.a, p.b))).otherwise(t)
-    return F.translate(let(text, wide), source, target)
+    return F.translate(without_syllables(let(text, wide)), source, target)
 
 
 def literals(words: Sequence[str]) -> Column:

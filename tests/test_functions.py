@@ -133,3 +133,14 @@ def test_dwellings(spark: SparkSession) -> None:
     for i, (text, *expected) in enumerate(DWELLINGS):
         d = got[i]
         assert [d.is_room, d.rooms, d.bedrooms, d.unit_type, d.evidence] == expected, text
+
+
+def test_fold_of_every_character(spark: SparkSession) -> None:
+    """All assigned characters but surrogates, each between letters, and syllables in words; nothing leaves the JVM."""
+    points = [i for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000 and not 0x3400 <= i < 0x4DC0 and not 0x20000 <= i < 0x2F800 and not 0x30000 <= i < 0xE0000 and not i >= 0xF0000]
+    texts = [f"a{chr(i)}b" for i in points if chr(i) != "Σ" and unicodedata.category(chr(i)) not in ("Cn", "Co")]
+    texts += ["세탁기 포함 Laveuse", "각힣가 \U0001d5f9", "ﷺ ﻻ", "кириллица Ё й"]
+    folded = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4).select("t", fold(F.col("t")).alias("f"))
+    assert "Python" not in folded._jdf.queryExecution().executedPlan().toString()
+    wrong = [(r.t, r.f, expected_fold(r.t)) for r in folded.collect() if r.f != expected_fold(r.t)]
+    assert not wrong, (len(wrong), wrong[:5])
