@@ -71,27 +71,42 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), SPACES, " "))
 
 
+@cache
+def syllables() -> tuple[str, tuple[str, str, str]]:
+    """All Hangul syllables, those without a last consonant at the end; and the letters at each of their three places."""
+    points = [(x, v, t) for t in range(N_TAILS - 1, -1, -1) for x in range(N_LEADS) for v in range(N_VOWELS)]
+    whole = "".join(chr(SYLLABLE + (x * N_VOWELS + v) * N_TAILS + t) for x, v, t in points)
+    return whole, ("".join(chr(LEADS + x) for x, _, _ in points), "".join(chr(VOWELS + v) for _, v, _ in points), "".join(chr(TAILS + t) for _, _, t in points if t))
+
+
+FIRST_SYLLABLE, LAST_SYLLABLE = chr(SYLLABLE), chr(SYLLABLE + N_LEADS * N_VOWELS * N_TAILS - 1)
+
+
 def without_syllables(text: Column) -> Column:
     """Hangul syllables as the letters that they are made of."""
-    points = [(x, v, t) for t in range(N_TAILS - 1, -1, -1) for x in range(N_LEADS) for v in range(N_VOWELS)]  # those without a tail last
-    syllables = "".join(chr(SYLLABLE + (x * N_VOWELS + v) * N_TAILS + t) for x, v, t in points)
-    letters = ("".join(chr(LEADS + x) for x, _, _ in points), "".join(chr(VOWELS + v) for _, v, _ in points), "".join(chr(TAILS + t) for _, _, t in points if t))
-    apart = lambda c: F.concat(*(F.translate(c, syllables, to) for to in letters))
-    first, last = chr(SYLLABLE), chr(SYLLABLE + N_LEADS * N_VOWELS * N_TAILS - 1)
-    each = lambda c: F.when((c >= first) & (c <= last), apart(c)).otherwise(c)
-    return F.when(text.rlike(f"[{first}-{last}]"), F.array_join(F.transform(F.split(text, ""), each), "")).otherwise(text)
+    whole, letters = syllables()
+    apart = lambda c: F.concat(*(F.translate(c, whole, to) for to in letters))
+    each = lambda c: F.when((c >= FIRST_SYLLABLE) & (c <= LAST_SYLLABLE), apart(c)).otherwise(c)
+    return F.when(text.rlike(f"[{FIRST_SYLLABLE}-{LAST_SYLLABLE}]"), F.array_join(F.transform(F.split(text, ""), each), "")).otherwise(text)
+
+
+@cache
+def rare_characters() -> tuple[str, str]:
+    """JSON of the pairs of rare characters that become several, and a pattern of texts that may have one, or a syllable."""
+    rare = [{"a": a, "b": b} for a, b in tables()[2] if a not in FREQUENT]
+    some = ranges(sorted([ord(p["a"]) for p in rare] + [ord(FIRST_SYLLABLE), ord(LAST_SYLLABLE)]))
+    return json.dumps(rare), f"{some[:-1]}{FIRST_SYLLABLE}-{LAST_SYLLABLE}]"
 
 
 def unaccented(text: Column, source: str, target: str, several: tuple[tuple[str, str], ...]) -> Column:
     for a, b in several:
         if a in FREQUENT:
             text = F.replace(text, F.lit(a), F.lit(b))
-    rare = [{"a": a, "b": b} for a, b in several if a not in FREQUENT]
+    rare, some = rare_characters()
     # One constant, where an array of literals would make a plan of thousands of nodes.
-    pairs = F.from_json(F.lit(json.dumps(rare)), "array<struct<a:string,b:string>>")
-    some = ranges([ord(p["a"]) for p in rare])
-    wide = lambda t: F.when(t.rlike(some), F.aggregate(pairs, t, lambda t, p: F.replace(t, p.a, p.b))).otherwise(t)
-    return F.translate(without_syllables(let(text, wide)), source, target)
+    pairs = F.from_json(F.lit(rare), "array<struct<a:string,b:string>>")
+    spread = lambda t: let(F.aggregate(pairs, t, lambda t, p: F.replace(t, p.a, p.b)), without_syllables)
+    return F.translate(let(text, lambda t: F.when(t.rlike(some), spread(t)).otherwise(t)), source, target)
 
 
 def literals(words: Sequence[str]) -> Column:
