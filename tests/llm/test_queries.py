@@ -34,7 +34,7 @@ def test_query_equals_sql(spark: SparkSession, name: str) -> None:
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SMALL}/{table}.parquet')")
     want = con.execute(entry.oracle_sql()[name])
     columns = [d[0] for d in want.description]
