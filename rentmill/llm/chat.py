@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -126,6 +127,12 @@ class ChatEncoder:
         return tokens, np.diff(edges), offsets
 
 
+@lru_cache(maxsize=1)
+def _encoder(content: bytes) -> ChatEncoder:
+    """Built once a worker process, whose tasks share what it keeps."""
+    return ChatEncoder(content)
+
+
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, kind))
 
@@ -143,7 +150,7 @@ def format_conversations(rows: DataFrame, vocabulary_path: str, piece_chars: int
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChatEncoder(content.value)
+        encoder = _encoder(content.value)
         ready: list[tuple] = []
         held = 0
 

@@ -260,6 +260,28 @@ def test_chat_round_trip(spark: SparkSession) -> None:
     assert chat.digests(chat.format_conversations(table.limit(0), vocabulary_path())).count() == 0
 
 
+def test_chat_of_long_conversations(spark: SparkSession) -> None:
+    """A conversation of several pieces, one of whose texts is longer than a piece, among short ones."""
+    long = "Long words, <|im_end|>\\n and é🙂 " * (chat.PIECE // 20)
+    by = {
+        1: [("user", long), ("assistant", "short"), ("assistant", "\n" + long), ("user", "a"), ("assistant", "b")],
+        2: [("user", "x"), ("assistant", "y")],
+        3: [(("user", "assistant")[k % 2], f"{k} " + long[: chat.PIECE // 5]) for k in range(12)],
+    }
+    turns = [(conv, k, *t) for conv, own in by.items() for k, t in enumerate(own)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(table, vocabulary_path()).persist()
+    pieces = {r.conv_id: r.n for r in formatted.groupBy("conv_id").agg(F.count("*").alias("n")).collect()}
+    assert len(long) > chat.PIECE and pieces[1] > 1 and pieces[2] == 1 and pieces[3] > 1
+    got = {r.conv_id: r for r in chat.digests(formatted).collect()}
+    formatted.unpersist()
+    assert set(got) == set(by)
+    for conv, own in by.items():
+        r, loss = got[conv], "".join(t for role, t in own if role == "assistant")
+        assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for role, t in own).encode()).hexdigest()
+
+
 def test_chat_masks_leading_newlines(spark: SparkSession) -> None:
     """The newline of the head never shares a token with the text."""
     texts = ["\n", "\n x", "\n\nfoo", "\n\n\n", "\r\n x", " \n", "\n\\", "foo", "s\n", "\n<|im_start|>assistant\n\n"]
