@@ -371,6 +371,7 @@ SQL["table_runs"] = f"""WITH {NUMBERED}
     SELECT platform, external_id, arg_max(verdict, [run, seq]) AS verdict, (arg_max(price_cad, [run, seq]) FILTER (WHERE price_cad IS NOT NULL))::DOUBLE AS price_cad,
         CASE WHEN count(price_cad) > 0 THEN 'month' END AS price_period, '2026-08-0' || (min(run) + 1) AS first_seen_at, '2026-08-0' || (max(run) + 1) AS last_seen_at
     FROM r GROUP BY platform, external_id"""
+SQL["table_newest"] = f"""SELECT * FROM ({SQL["table_runs"]}) WHERE verdict = 'maybe' ORDER BY last_seen_at DESC, platform, external_id LIMIT 50"""
 SQL["table_counters"] = f"""WITH {NUMBERED}, f AS (SELECT platform, external_id, min(run) AS run FROM r GROUP BY ALL),
     n AS (SELECT platform, run, count(*) AS new FROM f GROUP BY ALL)
     SELECT run, platform, count(*) AS seen, coalesce(any_value(new), 0) AS new, count(*) - coalesce(any_value(new), 0) AS updated,

@@ -303,6 +303,12 @@ def table_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table_runs(spark, sf_dir)[1]
 
 
+def table_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest maybes of the table after three runs, read from the shelves that can have them."""
+    rows = _table_runs(spark, sf_dir)[0].newest_rows("maybe")
+    return rows.select(*KEY, "verdict", number("price_cad"), "price_period", day("first_seen_at"), day("last_seen_at"))
+
+
 def streamed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table kept by a stream of landed pages and cards, which is started anew, from its checkpoint, after each of
     three landings; what a page lands with is its id modulo 3."""
@@ -360,6 +366,7 @@ QUERIES: dict[str, Query] = {
     "run_document": run_document,
     "table_runs": table_runs,
     "table_counters": table_counters,
+    "table_newest": table_newest,
     "streamed_table": streamed_table,
     "replay_from_raw": replayed_raw,
     "upsert_listings": upserted,

@@ -9,7 +9,11 @@ one fails with ``Conflict`` and loses nothing of the other.
 A manifest also keeps, for each stream, the last batch that is in the table: a batch that is run again after a crash
 between this commit and the stream's own is recognised and left alone.
 
-The counters of a run are observed while its rows are written; neither the batch nor the table is read for them."""
+The counters of a run are observed while its rows are written; neither the batch nor the table is read for them.
+
+A part's rows lie on shelves by their verdict and by how long before the run they were last seen. The manifest has each
+shelf's number of rows and the times between which these were last seen, so a report of the newest rows of a verdict
+reads only shelves that can have one of them."""
 
 from __future__ import annotations
 
@@ -25,10 +29,14 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from pyspark.sql.types import StructType
 
 from ..tables import new_path
-from .store import BOOK, COUNTERS, KEY, counted, counting, first_merge, merge
+from . import views
+from .store import BOOK, COUNTERS, KEY, VERDICTS, counted, counting, first_merge, merge
 
 PARTS = 64
 DAY = 86_400
+#: Rows that the run saw have a shelf of their own; others one for each of these ages, in seconds, and one beyond.
+AGES = (0, DAY, 7 * DAY)
+SEEN = "last_seen_at"
 
 
 class Conflict(RuntimeError):
@@ -47,6 +55,9 @@ class Manifest:
     #: Folders that were only ever added, for tables that keep a log beside their parts; and whether rows of it are void.
     log: list[str] = field(default_factory=list)
     rebased: bool = False
+    #: Part -> shelf -> its number of rows, and the microseconds at which the first and the last of these was last seen
+    #: (first: none if a row has no such time). Of tables without shelves empty.
+    shelves: dict[str, dict[str, list[int | None]]] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -75,6 +86,19 @@ def part_of(parts: int, key: Sequence[str] = KEY) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
 
 
+def verdict_shelf(verdict: str | None) -> str:
+    return verdict if verdict in VERDICTS else "other"
+
+
+def shelf_of(run_at: Column) -> Column:
+    """The shelf of a row of the table as of ``run_at``."""
+    age = F.unix_micros(run_at.cast("timestamp")) - F.unix_micros(F.col(SEEN).cast("timestamp"))
+    band = F.lit(len(AGES))
+    for n, seconds in reversed(tuple(enumerate(AGES))):
+        band = F.when(age <= seconds * 1_000_000, n).otherwise(band)
+    return F.concat(F.when(F.col("verdict").isin(*VERDICTS), F.col("verdict")).otherwise("other"), F.lit("-"), band.cast("string"))
+
+
 class PartedTable:
     """A table in the folder ``root``, which all executors share; ``parts`` counts when it is first written."""
 
@@ -120,7 +144,9 @@ class PartedTable:
 
     def _rows(self, m: Manifest, parts: Iterable[str] | None) -> DataFrame:
         schema = StructType.fromJson(m.schema)
-        paths = [f"{self.root}/{m.folders[p]}" for p in (m.folders if parts is None else parts)]
+        paths = []
+        for p in m.folders if parts is None else parts:
+            paths += [f"{self.root}/{m.folders[p]}/shelf={s}" for s in m.shelves[p]] if p in m.shelves else [f"{self.root}/{m.folders[p]}"]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _versions(self) -> list[int]:
@@ -152,13 +178,17 @@ class PartedTable:
     def _fs(self):  # noqa: ANN202
         return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _write(self, rows: DataFrame, parts: int, touched: Iterable[int], *observed: Column, seen: Observation | None = None) -> tuple[dict[str, str], dict]:
+    def _write(
+        self, rows: DataFrame, parts: int, touched: Iterable[int], *observed: Column, seen: Observation | None = None, shelf: Column | None = None
+    ) -> tuple[dict[str, str], dict]:
         """Write ``rows``, all of the parts ``touched``; their folders, and the schema. What is observed is counted where
         tasks write: work that is done again for a lost executor before that counts once."""
         folder = f"data/{uuid.uuid4().hex}"
         dealt = rows.withColumn("part", part_of(parts, self.key)).hint("rebalance", "part")
         out = dealt.observe(seen, *observed).drop(*BOOK, "fresh") if seen else dealt
-        out.write.partitionBy("part").parquet(f"{self.root}/{folder}")
+        by = ["part"] if shelf is None else ["part", "shelf"]
+        laid = out if shelf is None else out.withColumn("shelf", shelf)
+        laid.write.partitionBy(*by).parquet(f"{self.root}/{folder}")
         return {str(p): f"{folder}/part={p}" for p in touched}, out.drop("part").schema.jsonValue()
 
 
@@ -190,13 +220,55 @@ class ListingsTable(PartedTable):
         known = [str(p) for p in touched if last and str(p) in last.folders]
         rows = first_merge(batch, run_at) if last is None else merge(self._rows(last, known), batch, run_at)
         seen = Observation()
-        written, schema = self._write(rows, parts, touched, *counting(platforms), seen=seen)
+        written, schema = self._write(rows, parts, touched, *counting(platforms), seen=seen, shelf=shelf_of(run_at))
         folders = (last.folders if last else {}) | written
+        shelves = (last.shelves if last else {}) | self._stocked(next(iter(written.values())).rpartition("/")[0])
         ledger = (last.ledger if last else {}) | (dict([stream]) if stream else {})
         version = last.version + 1 if last else 0
-        self._commit(Manifest(version, parts, schema, folders, ledger))
+        self._commit(Manifest(version, parts, schema, folders, ledger, shelves=shelves))
         return Upserted(version, counted(platforms, seen.get), len(known), len(touched))
 
+    def newest_rows(self, verdict: str = "match", limit: int = 50) -> DataFrame | None:
+        """``views.newest`` of the table, read from the shelves that can have one of its rows; none before the first
+        version."""
+        last = self.newest()
+        if last is None:
+            return None
+        chosen, since = self.shelves_of_newest(last, verdict, limit)
+        schema = StructType.fromJson(last.schema)
+        paths = [f"{self.root}/{last.folders[p]}/shelf={s}" for p, s in chosen]
+        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        if since is not None:
+            rows = rows.where(F.col(SEEN) >= F.timestamp_micros(F.lit(since)))
+        return views.newest(rows, verdict, limit)
+
+    @staticmethod
+    def shelves_of_newest(m: Manifest, verdict: str | None, limit: int) -> tuple[list[tuple[str, str]], int | None]:
+        """The shelves (part, shelf) that can have one of the ``limit`` newest rows of ``verdict``, and the microseconds
+        since which these were last seen, where that is known: shelves whose rows were all seen since then have
+        ``limit`` rows together, so a shelf whose last row was seen earlier has none of the newest."""
+        own = verdict_shelf(verdict)
+        shelves = [(p, s, *stock) for p, of_part in m.shelves.items() for s, stock in of_part.items() if s.rpartition("-")[0] == own]
+        since, certain = None, 0
+        # Rows of the shelf for other verdicts can't be counted on.
+        countable = [x for x in shelves if x[3] is not None and own == verdict]
+        for _, _, rows, first, _ in sorted(countable, key=lambda x: -x[3]):
+            certain += rows
+            if certain >= limit:
+                since = first
+                break
+        return [(p, s) for p, s, _, _, newest in shelves if since is None or (newest is not None and newest >= since)], since
+
+    def _stocked(self, folder: str) -> dict[str, dict[str, list[int | None]]]:
+        """What lies on the shelves of ``folder``; of the rows only their time is read."""
+        rows = self.spark.read.schema(f"{SEEN} timestamp, part int, shelf string").parquet(f"{self.root}/{folder}")
+        time = F.unix_micros(SEEN)
+        first = F.when(F.count(time) == F.count("*"), F.min(time)).alias("first")
+        out: dict[str, dict[str, list[int | None]]] = {}
+        for r in rows.groupBy("part", "shelf").agg(F.count("*").alias("n"), first, F.max(time).alias("newest")).collect():
+            out.setdefault(str(r.part), {})[r.shelf] = [r.n, r.first, r.newest]
+        return out
+
     def counters(self, done: Upserted) -> DataFrame:
         return self.spark.createDataFrame(done.counters, COUNTERS)
 

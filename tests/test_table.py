@@ -91,6 +91,26 @@ def test_a_crash_before_the_commit_leaves_the_last_version(spark: SparkSession,
     assert listed(t) == before
 
 
+def test_the_newest_are_read_from_few_shelves(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
+    """Runs of all kinds, by day and by minute; after each the report is that of the whole table."""
+    t, rng = ListingsTable(spark, f"{tmp_path}/t", 8), random.Random(3)
+    assert t.newest_rows() is None
+    kinds = ("match", "maybe", "reject", None, "odd")
+    for n, (when, size) in enumerate([("01 00:00:00", 400), ("02 00:00:00", 300), ("02 00:01:00", 3), ("20 00:00:00", 40), ("20 00:00:00", 2), ("21 06:00:00", 200)]):
+        batch = rows(spark, *((rng.choice("kf"), str(rng.randrange(500)), "t", rng.choice(kinds), None, None, i) for i in range(size)))
+        t.upsert([t.stage(batch)], F.lit(f"2026-08-{when}").cast("timestamp"))
+        stored = sorted(t.read().collect(), key=lambda r: (-r.last_seen_at.timestamp(), r.platform, r.external_id))
+        for verdict, limit in (("match", 20), (rng.choice(kinds[1:]), rng.choice((1, 10_000)))):
+            want = [r for r in stored if r.verdict == verdict and verdict is not None][:limit]
+            assert t.newest_rows(verdict, limit).collect() == want, (n, verdict, limit)
+    m = t.newest()
+    assert sum(stock[0] for of_part in m.shelves.values() for stock in of_part.values()) == t.read().count()
+    chosen, since = t.shelves_of_newest(m, "match", 20)
+    assert since is not None and {s for _, s in chosen} == {"match-0"} and len(chosen) <= 8
+    assert len(t.newest_rows("match", 20).inputFiles()) <= 8 < len(t.read().inputFiles()) // 8
+    assert len(t.shelves_of_newest(m, "match", 10_000)[0]) == sum(s.startswith("match-") for of_part in m.shelves.values() for s in of_part)
+
+
 def landings(spark: SparkSession) -> tuple[list[DataFrame], list[DataFrame]]:
     node = lambda i, **more: {**LISTED, "id": str(i), **more}
     html = [
