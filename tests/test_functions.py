@@ -144,3 +144,20 @@ def test_fold_of_every_character(spark: SparkSession) -> None:
     assert "Python" not in folded._jdf.queryExecution().executedPlan().toString()
     wrong = [(r.t, r.f, expected_fold(r.t)) for r in folded.collect() if r.f != expected_fold(r.t)]
     assert not wrong, (len(wrong), wrong[:5])
+
+
+def test_usual_characters_are_spared_the_rare_ones() -> None:
+    from rentmill.functions import text
+
+    several = dict(text.tables()[2])
+    assert not any(text.is_usual(c) for c in several if c not in text.FREQUENT) and len(text.usual_tables()[0]) < 200
+    assert all(text.is_usual(c) for c in "abcÀÉçœ’‘“”—–…½€  ") and not text.is_usual("ﬁ")
+
+
+def test_tasks_are_as_large_however_many_rows(spark: SparkSession) -> None:
+    from rentmill.tables import spread
+
+    for rows in (1_000, 20_000):
+        dealt = spread(spark.range(0, rows, 1, 1), "id", 100)
+        sizes = [len(part) for part in dealt.rdd.glom().collect()]
+        assert sum(sizes) == rows and max(sizes) < 200
