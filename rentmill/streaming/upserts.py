@@ -76,8 +76,8 @@ class Feeds:
 
     def listings(self, batch: DataFrame, c: Criteria = Criteria()) -> DataFrame:
         """The listings of a batch: of each key the last, by page."""
-        found = pages.listings(batch.where("what = 'page'").select("page_id", "html"), self.page_platform, self.host)
-        of_pages = pages.latest(found).drop("visit")
+        landed_pages = batch.where("what = 'page'").select("page_id", "html")
+        of_pages = pages.latest_listings(landed_pages, self.page_platform, self.host).drop("visit")
         anchors = batch.where("what = 'card'").select("page_id", "ord", "href", "text")
         of_cards = last_by(cards.to_listings(cards.harvest(anchors), self.card_platform), KEY, ["page_id"])
         of_cards = cards.enrich(cards.worth_opening(of_cards, c), self.details).drop("worth_opening")

@@ -104,3 +104,21 @@ def test_old_versions_go(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
     assert len(list(tmp_path.glob("data/*/part=*"))) == len(kept.newest().folders)
     got = {r.external_id: r.first_seen_at for r in kept.read().collect()}
     assert got == {str(n): datetime(2026, 8, 1 + n) for n in range(4)}
+
+
+def test_values_are_given_unless_empty(spark: SparkSession) -> None:
+    texts = ["null", '""', "[]", "{}", "0", "false", '"[]"', '"{}"', '"null"', "[null]", "[[]]", '{"a":{}}', '"x"', "1.5", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").withColumn("v", F.parse_json("t"))
+    got = [r.g for r in rows.orderBy("i").select(pages.given(F.col("v")).alias("g")).collect()]
+    assert got == [False] * 4 + [True] * 10 + [False]
+
+
+def test_only_the_last_nodes_become_listings(spark: SparkSession) -> None:
+    nodes = [{"id": "7", "title": f"t{i}", "price": i} for i in range(3)] + [{"id": "", "listingId": 8, "title": "u", "url": "/u"}, {"id": None, "title": "v", "url": "/v"}]
+    html = '<script id="__NEXT_DATA__">' + json.dumps({"l": nodes}) + "</script>"
+    rows = spark.createDataFrame([(1, html), (2, html)], "page_id long, html string")
+    want = pages.latest(pages.listings(rows, "k", "https://h"))
+    got = pages.latest_listings(rows, "k", "https://h")
+    assert sorted(map(str, got.drop("attributes").collect())) == sorted(map(str, want.drop("attributes").collect())) and got.count() == 2
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" in plan and "price_text" not in plan[plan.index("Aggregate"):]
