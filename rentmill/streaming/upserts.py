@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.criteria import Criteria, judge
-from ..operators.store import KEY, last_by, to_rows
+from ..operators.store import to_rows
 from ..operators.table import ListingsTable, stage
 from ..sources import cards, landed, pages
 
@@ -79,8 +79,8 @@ class Feeds:
         landed_pages = batch.where("what = 'page'").select("page_id", "html")
         of_pages = pages.latest_listings(landed_pages, self.page_platform, self.host).drop("visit")
         anchors = batch.where("what = 'card'").select("page_id", "ord", "href", "text")
-        of_cards = last_by(cards.to_listings(cards.harvest(anchors), self.card_platform), KEY, ["page_id"])
-        of_cards = cards.enrich(cards.worth_opening(of_cards, c), self.details).drop("worth_opening")
+        of_cards = cards.worth_opening(cards.to_listings(cards.latest(anchors), self.card_platform), c)
+        of_cards = cards.enrich(of_cards, self.details).drop("worth_opening")
         return of_pages.unionByName(of_cards).withColumn("seq", F.col("page_id"))
 
 

@@ -89,6 +89,16 @@ def test_cards(spark: SparkSession) -> None:
     assert full["1"].description is None and full["4"].description is None
 
 
+def test_only_the_last_cards_are_parsed(spark: SparkSession) -> None:
+    """Of an item's cards that of its last page counts, whatever lands first, and it is chosen before texts are parsed."""
+    rows = [(2, 1, "/marketplace/item/1/?r", "900 $\nold"), (3, 2, "/marketplace/item/1/", "9 $\nshort"), (3, 3, "/marketplace/item/1/?s", " 800 $\nlonger "),
+            (3, 4, "/marketplace/item/1/?t", "700 $\nlonger"), (4, 5, "/marketplace/item/1/", " "), (1, 6, "/marketplace/item/2/", "x"), (5, 7, "/other", "y"), (None, 8, "/marketplace/item/2/", "zz")]
+    anchors = spark.createDataFrame(rows, "page_id long, ord long, href string, text string")
+    got = sorted(tuple(r) for r in cards.latest(anchors).collect())
+    assert got == [(1, "2", "/marketplace/item/2/", "x"), (3, "1", "/marketplace/item/1/", "800 $\nlonger")]
+    assert got == sorted(tuple(r) for r in store.last_by(cards.harvest(anchors), ("id",), ["page_id"]).collect())
+
+
 def test_frontier(spark: SparkSession) -> None:
     got = frontier.frontier(spark.createDataFrame([("https://h/b-x/c1/",)], "base string"), 3).orderBy("page").collect()
     assert [r.url for r in got] == ["https://h/b-x/c1/", "https://h/b-x/page-2/c1", "https://h/b-x/page-3/c1"]
