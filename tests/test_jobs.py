@@ -8,6 +8,7 @@ from decimal import Decimal
 
 from pyspark.sql import SparkSession, functions as F
 
+from rentmill.jobs import queries
 from rentmill.operators import store, views
 from rentmill.operators.criteria import LISTING, Criteria, judge
 from rentmill.sources import cards, frontier, pages
@@ -99,6 +100,15 @@ def test_only_the_last_cards_are_parsed(spark: SparkSession) -> None:
     assert got == sorted(tuple(r) for r in store.last_by(cards.harvest(anchors), ("id",), ["page_id"]).collect())
 
 
+def test_cards_are_read_once(spark: SparkSession) -> None:
+    """Neither the details nor a pushed-down filter read the anchors once more, and only the last cards are parsed."""
+    plan = queries.QUERIES["card_listings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+    below = plan[plan.index("RepartitionByExpression"):]
+    above = plan[: plan.index("Aggregate")]
+    assert "regexp" not in below and plan.count("Aggregate") == 1 and "location_text" in above
+
+
 def test_frontier(spark: SparkSession) -> None:
     got = frontier.frontier(spark.createDataFrame([("https://h/b-x/c1/",)], "base string"), 3).orderBy("page").collect()
     assert [r.url for r in got] == ["https://h/b-x/c1/", "https://h/b-x/page-2/c1", "https://h/b-x/page-3/c1"]
