@@ -109,6 +109,15 @@ def test_cards_are_read_once(spark: SparkSession) -> None:
     assert "regexp" not in below and plan.count("Aggregate") == 1 and "location_text" in above
 
 
+def test_replay_keeps_what_it_reads(spark: SparkSession) -> None:
+    """No hash of a seller is made for a replay, and nothing else that it doesn't read; its rows are those of all columns."""
+    made = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    plan = made(queries.QUERIES["replay_transitions"](spark, "/root/testdata/sf0.001"))
+    assert not any(word in plan for word in ("sha2", "postal_prefix#", "unit_type#", "Vendeur"))
+    narrow = queries._stored(spark, "/root/testdata/sf0.001", store.REPLAYED)
+    assert narrow.exceptAll(queries._stored(spark, "/root/testdata/sf0.001").select(narrow.columns)).count() == 0
+
+
 def test_frontier(spark: SparkSession) -> None:
     got = frontier.frontier(spark.createDataFrame([("https://h/b-x/c1/",)], "base string"), 3).orderBy("page").collect()
     assert [r.url for r in got] == ["https://h/b-x/c1/", "https://h/b-x/page-2/c1", "https://h/b-x/page-3/c1"]
